@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from embergrid.config import Config
 from embergrid.functions.dates import day, day_key
-from embergrid.functions.numbers import half_even, ratio
+from embergrid.functions.numbers import half_even, ratio, settled
 
 COUNTS = ("m", "v", "t")
 
@@ -113,12 +113,17 @@ def harmonize_daily(flagged: DataFrame, ratios: DataFrame, cfg: Config) -> DataF
 
 
 def fill_no_record(harmonized: DataFrame) -> DataFrame:
-    """Adds h: days without any record get the area's usual fire for the date at the month's level."""
+    """Adds h: days without any record get the area's usual fire for the date at the month's level.
+
+    Hashing on area alone serves both windows (and any later one by area) with one shuffle; every area
+    has the same number of days, so no partition is hot.
+    """
     known = F.when(~F.col("unknown"), F.col("h0"))
     by_key = Window.partitionBy("area", "key")
     by_month = Window.partitionBy("area", F.trunc("d", "month"))
     rated = (
-        harmonized.withColumn("key", day_key(F.col("d")))
+        harmonized.repartition("area")
+        .withColumn("key", day_key(F.col("d")))
         .withColumn("clim", F.coalesce(F.avg(known).over(by_key), F.lit(0.0)))
         .withColumn("recorded", F.coalesce(F.sum(known).over(by_month), F.lit(0.0)))
         .withColumn("expected", F.sum(F.when(~F.col("unknown"), F.col("clim"))).over(by_month))
@@ -154,6 +159,6 @@ def daily_export(series: DataFrame, cfg: Config) -> DataFrame:
         half_even(F.col("m"), 1).alias("coarse_cell_days"),
         half_even(F.col("v"), 1).alias("fine_cell_days"),
         half_even(F.col("h"), 2).alias("harmonized_cell_days"),
-        half_even(frp, 0).alias("frp_mw"),
+        settled(frp, 0).alias("frp_mw"),
         source_label(cfg).alias("source"),
     )

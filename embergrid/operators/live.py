@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window, WindowSpec, functions as F
 
 from embergrid.config import Config
 from embergrid.functions.cells import in_tile
-from embergrid.functions.numbers import half_even
+from embergrid.functions.numbers import half_even, settled
 from embergrid.operators.grid import bin_cells, clean_live
 
 
@@ -74,7 +74,7 @@ def live_area_counts(masked: DataFrame, links: DataFrame) -> DataFrame:
     spine = per_area.join(F.broadcast(listed), F.size("ds") > 0).select("area", "total_frp", F.explode("ds").alias("d"))
     return spine.join(per_day.drop("frp"), ["area", "d"], "left").select(
         "area", "d", F.coalesce("cells", F.lit(0)).cast("bigint").alias("cells"),
-        half_even(F.col("total_frp"), 0).alias("frp"),
+        settled(F.col("total_frp"), 0).alias("frp"),
     )
 
 
@@ -140,7 +140,7 @@ def nowcast_now(cell_days: DataFrame, links: DataFrame, static: DataFrame, areas
     area = Window.partitionBy("area")
     return filled.select(
         "area", "d", "cells", F.sum("cells").over(area).alias("total"),
-        half_even(F.sum("frp").over(area), 0).alias("frp"),
+        settled(F.sum("frp").over(area), 0).alias("frp"),
     )
 
 

@@ -50,14 +50,23 @@ def rolling_median(daily: DataFrame, x: str, cfg: Config) -> DataFrame:
     return daily.select("d", x, usual(x, cfg).alias("usual"))
 
 
+def _fine_gap(cfg: Config) -> Column:
+    """Condition on a world series: the fine sensor far under its usual ratio on an ordinary day.
+
+    The ratio is NULL before the fine era, so the rolling median sees only days both could fly.
+    """
+    return F.coalesce(
+        (F.col("m") >= cfg.gap_min_coarse) & (F.col("r") < cfg.gap_share * usual("r", cfg)), F.lit(False)
+    )
+
+
+def _with_ratio(daily: DataFrame, cfg: Config) -> DataFrame:
+    return daily.withColumn("r", F.when(F.col("d") >= day(cfg.fine_start), ratio(F.col("v"), F.col("m"))))
+
+
 def fine_gaps(daily: DataFrame, cfg: Config) -> DataFrame:
     """Days the fine sensor was out everywhere."""
-    r = daily.filter(F.col("d") >= day(cfg.fine_start)).withColumn("r", ratio(F.col("v"), F.col("m")))
-    return (
-        r.withColumn("u", usual("r", cfg))
-        .filter((F.col("m") >= cfg.gap_min_coarse) & (F.col("r") < cfg.gap_share * F.col("u")))
-        .select("d")
-    )
+    return _with_ratio(daily, cfg).withColumn("fine_out", _fine_gap(cfg)).filter("fine_out").select("d")
 
 
 def fine_strips(bands: DataFrame, gaps: DataFrame, cfg: Config) -> DataFrame:
@@ -81,7 +90,7 @@ def fine_strips(bands: DataFrame, gaps: DataFrame, cfg: Config) -> DataFrame:
     )
 
 
-def coarse_flags(daily: DataFrame, cfg: Config) -> DataFrame:
+def coarse_flags(daily: DataFrame, cfg: Config, *keep: str) -> DataFrame:
     """(d, coarse_out, b_out): the coarse record or its platform A part out; its platform B part out."""
     share = lambda c: F.col(c) < cfg.gap_share * F.col(f"u_{c}")
     no = lambda c: F.coalesce(c, F.lit(False))
@@ -94,7 +103,7 @@ def coarse_flags(daily: DataFrame, cfg: Config) -> DataFrame:
         "coarse_out", F.col("low") | (F.col("era") & no(share("a")))
     )
     return flagged.select(
-        "d", "coarse_out", (F.col("era") & ~F.col("coarse_out") & no(share("b"))).alias("b_out")
+        "d", *keep, "coarse_out", (F.col("era") & ~F.col("coarse_out") & no(share("b"))).alias("b_out")
     )
 
 
@@ -106,15 +115,13 @@ def platform_b_outages(daily: DataFrame, cfg: Config) -> DataFrame:
     return coarse_flags(daily, cfg).filter("b_out").select("d")
 
 
-def outage_calendar(daily: DataFrame, gaps: DataFrame, cfg: Config) -> DataFrame:
-    """One row per affected day: fine_out, coarse_out, b_out, unknown (no usable record at all)."""
-    flags = (
-        coarse_flags(daily, cfg)
-        .join(gaps.withColumn("fine_out", F.lit(True)), "d", "left")
-        .withColumn("fine_out", F.coalesce("fine_out", F.lit(False)))
-        .filter("coarse_out or b_out or fine_out")
-    )
-    return with_unknown(flags, cfg)
+def outage_calendar(daily: DataFrame, cfg: Config) -> DataFrame:
+    """One row per affected day: fine_out, coarse_out, b_out, unknown (no usable record at all).
+
+    All four rolling medians share one ordering of the daily rows.
+    """
+    with_gap = _with_ratio(daily, cfg).withColumn("fine_out", _fine_gap(cfg))
+    return with_unknown(coarse_flags(with_gap, cfg, "fine_out").filter("coarse_out or b_out or fine_out"), cfg)
 
 
 def with_unknown(calendar: DataFrame, cfg: Config) -> DataFrame:

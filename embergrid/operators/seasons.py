@@ -43,26 +43,23 @@ def season_start(climatology: DataFrame, areas: DataFrame, cfg: Config) -> DataF
     """
     area = Window.partitionBy("area")
     tied = ring_sums(climatology, cfg.quiet_days).withColumn("tied", F.col("total") == F.min("total").over(area))
-    first_out = F.min(F.when(~F.col("tied"), F.col("i"))).over(area)
-    turned = tied.withColumn("f", first_out).withColumn("p", F.pmod(F.col("i") - F.col("f") - 1, F.col("n")))
-    runs = (
-        turned.filter(F.col("tied") & F.col("f").isNotNull())
-        .withColumn("run", F.col("p") - F.row_number().over(area.orderBy("p")))
-        .groupBy("area", "run")
-        .agg(F.min("p").alias("start"), F.count(F.lit(1)).alias("length"), F.max("f").alias("f"), F.max("n").alias("n"))
-    )
-    longest = Window.partitionBy("area").orderBy(F.col("length").desc(), "start")
-    middle = F.floor((F.col("length") - 1) / 2)
-    best = (
-        runs.withColumn("rn", F.row_number().over(longest))
-        .filter("rn = 1")
-        .select("area", F.pmod(F.col("f") + 1 + F.col("start") + middle, F.col("n")).cast("int").alias("i"))
-    )
-    found = tied.join(best, ["area", "i"]).select("area", F.col("key").alias("k"))
-    all_tied = turned.filter(F.col("f").isNull() & (F.col("i") == 0)).select("area", F.col("key").alias("k"))
+    turned = tied.withColumn("f", F.min(F.when(~F.col("tied"), F.col("i"))).over(area)).withColumn(
+        "p", F.pmod(F.col("i") - F.col("f") - 1, F.col("n"))
+    )
+    # a run of tied days keeps the same difference between place and rank; every window below clusters
+    # on area first, so the ring is shuffled once
+    in_order = Window.partitionBy("area", "tied").orderBy("p")
+    run = Window.partitionBy("area", "tied", "run")
+    runs = turned.withColumn("run", F.col("p") - F.row_number().over(in_order)).withColumns(
+        {"length": F.count(F.lit(1)).over(run), "first": F.min("p").over(run)}
+    )
+    longest = F.max(F.when(F.col("tied"), F.struct(F.col("length"), -F.col("first")))).over(area)
+    middle = F.floor((F.col("longest")["length"] - 1) / 2) - F.col("longest")["col2"]
+    best = F.when(F.col("f").isNull(), F.lit(0)).otherwise(F.pmod(F.col("f") + 1 + middle, F.col("n")))
+    found = runs.withColumn("longest", longest).filter(F.col("i") == best).select("area", F.col("key").alias("k"))
     return (
         areas.select("area")
-        .join(found.unionByName(all_tied), "area", "left")
+        .join(found, "area", "left")
         .select("area", F.coalesce("k", F.lit("01-01")).alias("season_start"))
     )
 

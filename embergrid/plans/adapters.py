@@ -78,8 +78,8 @@ def as_feed(events: DataFrame) -> DataFrame:
 
 
 LIVE_FROM = "2024-01-23 06:00:00"
-SITE_UNTIL = "2024-01-29 20:00:00"  # the published copy ends here
-FRESH_FROM = "2024-01-29 08:00:00"  # the last-24-hours feed starts after this
+SITE_UNTIL = "2024-01-29 12:00:00"  # the published copy ends here
+FRESH_FROM = "2024-01-28 18:00:00"  # the short, newer feed starts here
 
 
 def live(spark: SparkSession, sf_dir: str, since: str = LIVE_FROM, until: str | None = None) -> DataFrame:

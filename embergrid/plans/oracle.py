@@ -273,7 +273,7 @@ TABLES: dict[str, str] = {
     "masked_days_t": "SELECT d FROM (SELECT DISTINCT d FROM masked_t) WHERE d > (SELECT min(d) FROM masked_t) AND d < (SELECT max(d) FROM masked_t)",
     "window_t": """SELECT CAST(unnest(generate_series(min(d) + INTERVAL 1 DAY, max(d) - INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS d FROM live_t""",
     "now_t": f"""SELECT c.area, w.d, count(x.d) AS cells, CAST(sum(count(x.d)) OVER (PARTITION BY c.area) AS BIGINT) AS total,
-        {r('sum(coalesce(sum(x.frp), 0)) OVER (PARTITION BY c.area)', 0)} AS frp
+        {r(r('sum(coalesce(sum(x.frp), 0)) OVER (PARTITION BY c.area)', 6), 0)} AS frp
       FROM cat_t c CROSS JOIN window_t w
       LEFT JOIN (SELECT k.area, l.d, l.frp FROM live_t l JOIN links_t k ON k.yi = l.yi AND k.xi = l.xi
                  WHERE NOT EXISTS (SELECT 1 FROM static_t s WHERE s.area = k.area AND s.yi = l.yi AND s.xi = l.xi)) x
@@ -320,4 +320,8 @@ def sql(final: str) -> str:
 
     visit(final)
     blocks = ",\n".join(f"{n} AS ({TABLES[n]})" for n in needed)
-    return f"WITH {blocks}\n{final}" if blocks else final
+    if not blocks:
+        return final
+    own = final.lstrip()
+    # a SELECT with blocks of its own continues the list
+    return f"WITH {blocks},\n{own[5:]}" if own.startswith("WITH ") else f"WITH {blocks}\n{own}"

@@ -70,7 +70,7 @@ query("read_places", "SELECT place_id, name, lat, lon, region, CAST(pop AS BIGIN
     lambda w: roundtrips.read_places(w)
 )
 query("export_daily_csv", f"""SELECT area, d, {r('m', 1)} AS coarse_cell_days, {r('v', 1)} AS fine_cell_days, {r('h', 2)} AS harmonized_cell_days,
-  {r(f"CASE WHEN d < {oracle.FINE} THEN m_frp ELSE v_frp END", 0)} AS frp_mw, CASE
+  {r(r(f"CASE WHEN d < {oracle.FINE} THEN m_frp ELSE v_frp END", 6), 0)} AS frp_mw, CASE
     WHEN unknown THEN '{labels.NO_RECORD.replace("'", "''")}' WHEN b_out AND (d < {oracle.FINE} OR gap) THEN '{labels.A_ONLY_OUTAGE}'
     WHEN d < {oracle.PLATFORM_B} THEN '{labels.A_ONLY}' WHEN d < {oracle.FINE} THEN '{labels.COARSE}'
     WHEN gap THEN '{labels.COARSE_FOR_FINE}' WHEN strip THEN '{labels.FINE_WITH_STRIP}' ELSE '{labels.FINE}' END AS source
@@ -125,9 +125,9 @@ query("bbox_label", f"""SELECT aoi_id, {_deg('s', 'S', 'N')} || '–' || {_deg('
 query("strip_reclass", "SELECT area, d, yi, xi, s, n FROM reclassed_t")(
     lambda w: w.reclassed.select("area", "d", "yi", "xi", "s", "n")
 )
-query("fine_equivalent", f"SELECT area, d, yi, xi, s, {r('val', 6)} AS val FROM values_t")(
+query("fine_equivalent", f"SELECT area, d, yi, xi, s, {r('val', 8)} AS val FROM values_t")(
     lambda w: rounded(
-        layers.fine_equivalent(w.grid, w.outages, w.strips, w.ratios, w.no_record_scale, w.cfg), 6, "val")
+        layers.fine_equivalent(w.grid, w.outages, w.strips, w.ratios, w.no_record_scale, w.cfg), 8, "val")
 )
 query("record_end", """SELECT CAST(min(y) AS INT) AS year, make_date(CAST(min(y) AS INT), 12, 31) AS record_end FROM (
   SELECT least(max(year(acq_date)) FILTER (instrument = 'C'), max(year(acq_date)) FILTER (instrument = 'F')) AS y FROM det_t GROUP BY area)""")(
@@ -213,8 +213,8 @@ query("join_feeds", f"""WITH site AS ({_SITE}), fresh AS ({_FRESH}), cut AS (SEL
 query("rebuild_from_tiles", "SELECT d, yi, xi, n FROM live_t")(
     lambda w: live.rebuild_from_tiles(live.live_tiles(w.live, w.cfg))
 )
-query("multi_area_max", f"SELECT layer, xi, yi, {r('val', 6)} AS val FROM all_layers_t")(
-    lambda w: rounded(layers.multi_area_max(w.area_layers), 6, "val")
+query("multi_area_max", f"SELECT layer, xi, yi, {r('val', 8)} AS val FROM all_layers_t")(
+    lambda w: rounded(layers.multi_area_max(w.area_layers), 8, "val")
 )
 
 
@@ -322,7 +322,7 @@ query("unusual_months", "SELECT area, CAST(rank AS INT) AS rank, CAST(y AS INT)
     lambda w: w.unusual
 )
 query("doy_climatology", f"SELECT area, key, {r('mean', 6)} AS mean, {r('p10', 6)} AS p10, {r('p50', 6)} AS p50, {r('p90', 6)} AS p90 FROM clim_t")(
-    lambda w: rounded(calendar.doy_climatology(calendar.centered_mean(w.series, w.cfg), w.cfg), 6, "mean", "p10", "p50", "p90")
+    lambda w: rounded(calendar.doy_climatology(calendar.centered_mean(w.series_lazy, w.cfg), w.cfg), 6, "mean", "p10", "p50", "p90")
 )
 query("season_totals_z", "SELECT area, CAST(start_year AS INT) AS start_year, label, total, z FROM seasons_z_t")(
     lambda w: seasons.season_totals_z(w.timing).select("area", "start_year", "label", "total", "z")
@@ -342,13 +342,13 @@ query("pooled_prior", f"""SELECT {r('fine / nullif(coarse, 0)', 4)} AS k, {r('f2
   FROM (SELECT CAST(coalesce(sum(n) FILTER (s = 1), 0) AS BIGINT) AS fine, CAST(coalesce(sum(n) FILTER (s = 0), 0) AS BIGINT) AS coarse,
     CAST(coalesce(sum(n) FILTER (s = 1 AND d < {oracle.DRIFT}), 0) AS BIGINT) AS f2, CAST(coalesce(sum(n) FILTER (s = 2 AND d < {oracle.DRIFT}), 0) AS BIGINT) AS a2
     FROM kept_bands_t WHERE d >= {oracle.OVERLAP})""")(lambda w: outages.pooled_prior(w.bands, w.outages, w.strips, w.cfg))
-query("cell_months", f"SELECT area, CAST(y AS INT) AS y, CAST(mon AS INT) AS mon, xi, yi, {r('val', 6)} AS val FROM cell_months_t")(
+query("cell_months", f"SELECT area, CAST(y AS INT) AS y, CAST(mon AS INT) AS mon, xi, yi, {r('val', 8)} AS val FROM cell_months_t")(
     lambda w: rounded(
-        layers.cell_months(w.grid, w.outages, w.strips, w.ratios, w.no_record_scale, w.cfg), 6, "val")
+        layers.cell_months(w.grid, w.outages, w.strips, w.ratios, w.no_record_scale, w.cfg), 8, "val")
 )
 for _name, _cond in (("layer_all", "layer = 'all'"), ("layer_year", "layer LIKE 'y%'"), ("layer_month", "layer LIKE 'm%'")):
-    query(_name, f"SELECT layer, xi, yi, {r('val', 6)} AS val FROM layers_t WHERE {_cond}")(
-        lambda w, cond=_cond: rounded(w.published.filter(cond), 6, "val")
+    query(_name, f"SELECT layer, xi, yi, {r('val', 8)} AS val FROM layers_t WHERE {_cond}")(
+        lambda w, cond=_cond: rounded(w.published.filter(cond), 8, "val")
     )
 query("layer_years", f"SELECT layer, {r('years', 6)} AS years FROM layer_years_t")(
     lambda w: rounded(layers.layer_years(w.daily_lazy), 6, "years")
@@ -372,13 +372,13 @@ def _scale_words(w: Workspace) -> DataFrame:
 
 
 query("coarsen", f"""SELECT f.layer, CAST(f.f AS INT) AS f, CAST(floor(l.xi / CAST(f.f AS DOUBLE)) AS INT) AS bx, CAST(floor(l.yi / CAST(f.f AS DOUBLE)) AS INT) AS by,
-    {r('sum(l.val) / (f.f * f.f)', 6)} AS val FROM layers_t l
+    {r('sum(l.val) / any_value(f.f * f.f)', 8)} AS val FROM layers_t l
   JOIN (SELECT layer, min(f) AS f FROM (SELECT layer, f, count(DISTINCT (floor(xi / CAST(f AS DOUBLE)), floor(yi / CAST(f AS DOUBLE)))) AS blocks
           FROM layers_t CROSS JOIN (SELECT unnest(range(1, 20)) AS f) q GROUP BY layer, f) WHERE blocks <= 20 GROUP BY layer) f ON f.layer = l.layer
-  GROUP BY ALL""")(lambda w: rounded(layers.coarsen(w.published, 20, "mean", ("layer",)), 6, "val"))
+  GROUP BY ALL""")(lambda w: rounded(layers.coarsen(w.published, 20, "mean", ("layer",)), 8, "val"))
 query("overview", f"""SELECT layer, bx, "by", {r('val', 2)} AS val FROM (SELECT layer, CAST(floor(xi / 5e0) AS INT) AS bx, CAST(floor(yi / 5e0) AS INT) AS "by", sum(val) / 25 AS val
   FROM layers_t GROUP BY ALL) WHERE val >= 0.005e0""")(lambda w: layers.overview(w.published, w.cfg))
-query("viewport_cells", f"""SELECT layer, xi, yi, {r('val', 6)} AS val, yi BETWEEN -3 AND 2 AND xi BETWEEN -3 AND 1 AS exact FROM all_layers_t
+query("viewport_cells", f"""SELECT layer, xi, yi, {r('val', 8)} AS val, yi BETWEEN -3 AND 2 AND xi BETWEEN -3 AND 1 AS exact FROM all_layers_t
   WHERE (xi + 1) * 0.1e0 >= -0.25e0 - 0.1e0 AND xi * 0.1e0 <= 0.2e0 + 0.1e0 AND (yi + 1) * 0.1e0 >= -0.3e0 - 0.1e0 AND yi * 0.1e0 <= 0.25e0 + 0.1e0""")(
     lambda w: _viewport(w)
 )
@@ -387,7 +387,7 @@ query("viewport_cells", f"""SELECT layer, xi, yi, {r('val', 6)} AS val, yi BETWE
 def _viewport(w: Workspace) -> DataFrame:
     cells = layers.multi_area_max(w.area_layers)
     y0, y1, x0, x1 = grid.cell_bounds(BOX, w.cfg)
-    return rounded(layers.viewport_cells(cells, BOX, w.cfg, margin=True), 6, "val").withColumn(
+    return rounded(layers.viewport_cells(cells, BOX, w.cfg, margin=True), 8, "val").withColumn(
         "exact", F.col("yi").between(y0, y1) & F.col("xi").between(x0, x1)
     )
 
@@ -400,7 +400,7 @@ query("all_static", "SELECT yi, xi FROM mask_t")(lambda w: grid.all_static(w.sta
 query("data_extent", """SELECT area, min(xi) / 1e1 AS w, min(yi) / 1e1 AS s, (max(xi) + 1) / 1e1 AS e, (max(yi) + 1) / 1e1 AS n, max(d) AS last_day
   FROM grid_t GROUP BY area""")(lambda w: grid.data_extent(w.grid_lazy, w.cfg))
 query("main_side_extent", """SELECT area, east, cells, x0 / 1e1 AS w, y0 / 1e1 AS s, (x1 + 1) / 1e1 AS e, (y1 + 1) / 1e1 AS n FROM (
-    SELECT area, xi >= 0 AS east, count(*) AS cells, min(xi) AS x0, min(yi) AS y0, max(xi) AS x1, max(yi) AS y1 FROM own_t GROUP BY ALL
+    SELECT area, xi >= 0 AS east, count(*) AS cells, min(xi) AS x0, min(yi) AS y0, max(xi) AS x1, max(yi) AS y1 FROM own_t GROUP BY area, xi >= 0
     QUALIFY row_number() OVER (PARTITION BY area ORDER BY count(*) DESC, xi >= 0) = 1) x
   WHERE area IN (SELECT area FROM own_t GROUP BY area HAVING (max(xi) - min(xi)) / 1e1 > 0.5e0)""")(
     lambda w: grid.main_side_extent(w.grid_lazy, w.cfg)
@@ -424,12 +424,12 @@ query("centered_mean_7", f"SELECT area, d, {r('h', 6)} AS h, {r('h7', 6)} AS h7
 query("rolling_median_61", f"SELECT d, m, {oracle.usual('m')} AS usual FROM world_t")(
     lambda w: outages.rolling_median(outages.world_daily(w.bands), "m", w.cfg)
 )
-query("fine_gaps", "SELECT d FROM gaps_t")(lambda w: w.gaps)
+query("fine_gaps", "SELECT d FROM gaps_t")(lambda w: outages.fine_gaps(w.world, w.cfg))
 query("fine_strips", "SELECT d, band FROM strips_t")(lambda w: outages.fine_strips(w.bands, w.gaps, w.cfg))
 query("coarse_outages", "SELECT d FROM coarse_t WHERE coarse_out")(lambda w: outages.coarse_outages(w.world, w.cfg))
 query("platformB_outages", "SELECT d FROM coarse_t WHERE b_out")(lambda w: outages.platform_b_outages(w.world, w.cfg))
 query("unknown_days", "SELECT d FROM outages_t WHERE unknown")(
-    lambda w: outages.outage_calendar(w.world, w.gaps, w.cfg).filter("unknown").select("d")
+    lambda w: outages.outage_calendar(w.world, w.cfg).filter("unknown").select("d")
 )
 query("harmonize_daily", f"SELECT area, d, m, v, t, mg, {r('h0', 6)} AS h0 FROM h0_t")(
     lambda w: rounded(harmonize.harmonize_daily(w.flagged, w.ratios, w.cfg), 6, "h0").select(
@@ -496,7 +496,7 @@ query("live_latest", "SELECT max(acq_date || ' ' || lpad(CAST(hhmm AS VARCHAR),
 query("live_map", "SELECT xi, yi, CAST(sum(n) AS DOUBLE) AS val FROM masked_t WHERE yi BETWEEN -3 AND 2 AND xi BETWEEN -3 AND 1 GROUP BY ALL")(
     lambda w: live.live_map(grid.scan_grid(grid.mask_static(w.live, w.static), bbox=BOX, cfg=w.cfg))
 )
-query("live_area_counts", f"""SELECT a.area, d.d, count(x.d) AS cells, {r('any_value(a.frp)', 0)} AS frp FROM (
+query("live_area_counts", f"""SELECT a.area, d.d, count(x.d) AS cells, {r(r('any_value(a.frp)', 6), 0)} AS frp FROM (
     SELECT k.area, sum(m.frp) AS frp FROM masked_t m JOIN links_t k USING (yi, xi) WHERE m.d IN (SELECT d FROM masked_days_t) GROUP BY k.area) a
   CROSS JOIN masked_days_t d LEFT JOIN (SELECT k.area, m.d FROM masked_t m JOIN links_t k USING (yi, xi)) x ON x.area = a.area AND x.d = d.d GROUP BY a.area, d.d""")(
     lambda w: live.live_area_counts(w.live_masked, w.links(w.live_masked))

@@ -72,11 +72,11 @@ class Workspace:
 
     @cached_property
     def world(self) -> DataFrame:
-        return self._keep(outages.world_daily(self.bands), "world")
+        return outages.world_daily(self.bands)
 
     @cached_property
     def gaps(self) -> DataFrame:
-        return outages.fine_gaps(self.world, self.cfg)
+        return self.outages.filter("fine_out").select("d")
 
     @cached_property
     def strips(self) -> DataFrame:
@@ -84,7 +84,7 @@ class Workspace:
 
     @cached_property
     def outages(self) -> DataFrame:
-        return self._keep(outages.outage_calendar(self.world, self.gaps, self.cfg), "outages")
+        return self._keep(outages.outage_calendar(self.world, self.cfg), "outages")
 
     # ---- harmonized series
     @cached_property
@@ -113,7 +113,8 @@ class Workspace:
 
     @cached_property
     def series(self) -> DataFrame:
-        return self._keep(self.series_lazy, "series")
+        """Harmonized days with their smoothed value: both windows cluster on area, one shuffle."""
+        return self._keep(calendar.centered_mean(self.series_lazy, self.cfg), "series")
 
     @cached_property
     def no_record_scale(self) -> DataFrame:
@@ -122,7 +123,7 @@ class Workspace:
     # ---- calendar
     @cached_property
     def smoothed(self) -> DataFrame:
-        return self._keep(calendar.centered_mean(self.series, self.cfg), "smoothed")
+        return self.series
 
     @cached_property
     def months(self) -> DataFrame:

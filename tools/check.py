@@ -38,7 +38,8 @@ def main() -> int:
     base = f"/root/testdata/{sf}"
     spark = (
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "12g").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+        .config("spark.driver.memory", "12g").config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.execution.arrow.pyspark.enabled", "true").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
@@ -59,7 +60,12 @@ def main() -> int:
             print(f"{name:24} rows={len(got_raw)} {took:.1f}s (no SQL)", flush=True)
             continue
         t0 = time.time()
-        want_raw = con.execute(registry.SQL[name]).df()
+        try:
+            want_raw = con.execute(registry.SQL[name]).df()
+        except Exception as e:
+            bad.append(name)
+            print(f"{name:24} SQL ERROR {str(e)[:500]}", flush=True)
+            continue
         sql_took = time.time() - t0
         got, want = norm(got_raw), norm(want_raw)
         ok = list(got.columns) == list(want.columns) and len(got) == len(want) and got.equals(want)
@@ -68,7 +74,7 @@ def main() -> int:
             bad.append(name)
             print("   cols", list(got.columns), list(want.columns))
             if list(got.columns) == list(want.columns):
-                m = got.merge(want, how="outer", indicator=True)
+                m = got.astype(str).merge(want.astype(str), how="outer", indicator=True)
                 print(m[m._merge != "both"].head(8).to_string())
         types = {c: str(t) for c, t in zip(want_raw.columns, want_raw.dtypes)}
         mine = {c: str(t) for c, t in zip(got_raw.columns, got_raw.dtypes)}
