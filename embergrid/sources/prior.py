@@ -27,13 +27,12 @@ def load_outages(spark: SparkSession, path: str, cfg: Config) -> tuple[DataFrame
     """(calendar, strips): flags per affected day, and (d, band) pairs."""
     raw = _raw(spark, path)
     kinds = {"viirs_gaps": "fine_out", "modis_gaps": "coarse_out", "aqua_gaps": "b_out"}
-    each = F.concat(
-        *[
-            F.transform(F.coalesce(F.col(c), F.array().cast("array<date>")), lambda d, k=k: F.struct(d.alias("d"), F.lit(k).alias("k")))
-            for c, k in kinds.items()
-        ]
-    )
-    days = raw.select(F.inline(each))
+
+    def tagged(column: str, kind: str):
+        listed = F.coalesce(F.col(column), F.array().cast("array<date>"))
+        return F.transform(listed, lambda d: F.struct(d.alias("d"), F.lit(kind).alias("k")))
+
+    days = raw.select(F.inline(F.concat(*[tagged(c, k) for c, k in kinds.items()])))
     flags = days.groupBy("d").agg(*[F.bool_or(F.col("k") == k).alias(k) for k in kinds.values()])
     # a day the coarse record was out altogether is not a platform B outage
     calendar = flags.withColumn("b_out", F.col("b_out") & ~F.col("coarse_out"))
