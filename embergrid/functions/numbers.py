@@ -17,7 +17,7 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
-def settled(value: Column, digits: int = 0) -> Column:
-    """``half_even`` of a long float sum: the last bits depend on the order of addition, so noise below
-    1e-6 is settled first and a sum that ends in exactly .5 rounds alike on every run."""
-    return half_even(half_even(value, 6), digits)
+def settled(value: Column, digits: int = 0, noise: int = 6) -> Column:
+    """``half_even`` of a long float sum: the last bits depend on the order of addition, so noise beyond
+    ``noise`` digits is settled first and a sum that ends in exactly 5 rounds alike on every run."""
+    return half_even(half_even(value, noise), digits)

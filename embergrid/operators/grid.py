@@ -186,6 +186,11 @@ def distinct_cells(grid: DataFrame) -> DataFrame:
     return grid.select("area", "yi", "xi").distinct()
 
 
+def recorded_cells(detections: DataFrame, cfg: Config) -> DataFrame:
+    """``distinct_cells`` straight from detections, when no cell-day table is at hand."""
+    return bin_cells(clean_archive(detections, cfg), cfg).select("area", "yi", "xi").distinct()
+
+
 def data_extent(grid: DataFrame, cfg: Config) -> DataFrame:
     """Extent in degrees and last day of every area that has records."""
     c = float(cfg.cell)

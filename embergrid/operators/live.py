@@ -69,11 +69,14 @@ def live_area_counts(masked: DataFrame, links: DataFrame) -> DataFrame:
     days = complete_days(masked)
     hits = masked.join(F.broadcast(days), "d", "left_semi").join(links, ["yi", "xi"])
     per_day = hits.groupBy("area", "d").agg(F.count(F.lit(1)).alias("cells"), F.sum("frp").alias("frp"))
-    per_area = per_day.groupBy("area").agg(F.sum("frp").alias("total_frp"))
+    # one map entry per day of the feed
+    per_area = per_day.groupBy("area").agg(
+        F.map_from_entries(F.collect_list(F.struct("d", "cells"))).alias("on"), F.sum("frp").alias("total_frp")
+    )
     listed = days.agg(F.collect_list("d").alias("ds"))
-    spine = per_area.join(F.broadcast(listed), F.size("ds") > 0).select("area", "total_frp", F.explode("ds").alias("d"))
-    return spine.join(per_day.drop("frp"), ["area", "d"], "left").select(
-        "area", "d", F.coalesce("cells", F.lit(0)).cast("bigint").alias("cells"),
+    spine = per_area.join(F.broadcast(listed), F.size("ds") > 0).withColumn("d", F.explode("ds"))
+    return spine.select(
+        "area", "d", F.coalesce(F.try_element_at("on", F.col("d")), F.lit(0)).cast("bigint").alias("cells"),
         settled(F.col("total_frp"), 0).alias("frp"),
     )
 

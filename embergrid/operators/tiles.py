@@ -25,10 +25,11 @@ def tile_delta_encode(grid: DataFrame, cfg: Config) -> DataFrame:
         .groupBy("ty", "tx", "s", F.year("d").alias("y"))
         .agg(F.sort_array(F.collect_list(entry)).alias("e"))
     )
-    previous = F.concat(F.array(F.lit(0)), F.transform("e", lambda x: x["day"]))
-    return packs.withColumn("p", previous).select(
+    # the list against itself one entry later: one pass over the pack
+    later = F.concat(F.array(F.lit(0)), F.transform(F.slice("e", 1, F.size("e") - 1), lambda x: x["day"]))
+    return packs.select(
         "ty", "tx", "s", "y", F.size("e").alias("n"),
-        F.transform("e", lambda x, i: x["day"] - F.get("p", i)).alias("steps"),
+        F.zip_with("e", later, lambda x, before: x["day"] - before).alias("steps"),
         F.transform("e", lambda x: x["idx"]).alias("places"),
     )
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from embergrid.functions import labels
-from embergrid.functions.numbers import half_even
+from embergrid.functions.numbers import half_even, settled
 from embergrid.operators import (
     calendar, documents, geo, grid, harmonize, layers, live, outages, places, quantiles, seasons, tiles, validate,
 )
@@ -38,8 +38,10 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
-    return df.withColumns({c: half_even(F.col(c), digits) for c in columns})
+def rounded(df: DataFrame, digits: int, *columns: str, noise: int | None = None) -> DataFrame:
+    """Rounds for printing; ``noise`` settles sums of rounded factors, which often end in exactly 5."""
+    nice = half_even if noise is None else lambda c, nd: settled(c, nd, noise)
+    return df.withColumns({c: nice(F.col(c), digits) for c in columns})
 
 
 def listed(column: str):
@@ -125,9 +127,9 @@ query("bbox_label", f"""SELECT aoi_id, {_deg('s', 'S', 'N')} || '–' || {_deg('
 query("strip_reclass", "SELECT area, d, yi, xi, s, n FROM reclassed_t")(
     lambda w: w.reclassed.select("area", "d", "yi", "xi", "s", "n")
 )
-query("fine_equivalent", f"SELECT area, d, yi, xi, s, {r('val', 8)} AS val FROM values_t")(
+query("fine_equivalent", f"SELECT area, d, yi, xi, s, {r(r('val', 9), 5)} AS val FROM values_t")(
     lambda w: rounded(
-        layers.fine_equivalent(w.grid, w.outages, w.strips, w.ratios, w.no_record_scale, w.cfg), 8, "val")
+        layers.fine_equivalent(w.grid, w.outages, w.strips, w.ratios, w.no_record_scale, w.cfg), 5, "val", noise=9)
 )
 query("record_end", """SELECT CAST(min(y) AS INT) AS year, make_date(CAST(min(y) AS INT), 12, 31) AS record_end FROM (
   SELECT least(max(year(acq_date)) FILTER (instrument = 'C'), max(year(acq_date)) FILTER (instrument = 'F')) AS y FROM det_t GROUP BY area)""")(
@@ -186,7 +188,7 @@ query("own_cells_outside", f"""SELECT area, yi, xi FROM own_t ANTI JOIN (
   {oracle.ray_cast("(SELECT DISTINCT yi, xi, CAST(xi AS BIGINT) * 1000 + 500 AS x, CAST(yi AS BIGINT) * 1000 + 500 AS y FROM own_t) p", "yi, xi")}) USING (area, yi, xi)""")(
     lambda w: _own_outside(w)
 )
-query("cell_area_link", "SELECT area, yi, xi FROM links_t")(lambda w: w.links(w.live))
+query("cell_area_link", "SELECT area, yi, xi FROM links_t")(lambda w: w.links(w.live_kept))
 query("nearest_place_global", None)(lambda w: places.nearest_place_global(_cell_points(w), w.places, w.cfg))
 query("nearest_place", None)(
     lambda w: places.nearest_place(_cell_points(w), places.place_candidates(w.places, w.cfg), w.cfg)
@@ -213,8 +215,8 @@ query("join_feeds", f"""WITH site AS ({_SITE}), fresh AS ({_FRESH}), cut AS (SEL
 query("rebuild_from_tiles", "SELECT d, yi, xi, n FROM live_t")(
     lambda w: live.rebuild_from_tiles(live.live_tiles(w.live, w.cfg))
 )
-query("multi_area_max", f"SELECT layer, xi, yi, {r('val', 8)} AS val FROM all_layers_t")(
-    lambda w: rounded(layers.multi_area_max(w.area_layers), 8, "val")
+query("multi_area_max", f"SELECT layer, xi, yi, {r(r('val', 9), 5)} AS val FROM all_layers_t")(
+    lambda w: rounded(layers.multi_area_max(w.area_layers), 5, "val", noise=9)
 )
 
 
@@ -342,13 +344,13 @@ query("pooled_prior", f"""SELECT {r('fine / nullif(coarse, 0)', 4)} AS k, {r('f2
   FROM (SELECT CAST(coalesce(sum(n) FILTER (s = 1), 0) AS BIGINT) AS fine, CAST(coalesce(sum(n) FILTER (s = 0), 0) AS BIGINT) AS coarse,
     CAST(coalesce(sum(n) FILTER (s = 1 AND d < {oracle.DRIFT}), 0) AS BIGINT) AS f2, CAST(coalesce(sum(n) FILTER (s = 2 AND d < {oracle.DRIFT}), 0) AS BIGINT) AS a2
     FROM kept_bands_t WHERE d >= {oracle.OVERLAP})""")(lambda w: outages.pooled_prior(w.bands, w.outages, w.strips, w.cfg))
-query("cell_months", f"SELECT area, CAST(y AS INT) AS y, CAST(mon AS INT) AS mon, xi, yi, {r('val', 8)} AS val FROM cell_months_t")(
+query("cell_months", f"SELECT area, CAST(y AS INT) AS y, CAST(mon AS INT) AS mon, xi, yi, {r(r('val', 9), 5)} AS val FROM cell_months_t")(
     lambda w: rounded(
-        layers.cell_months(w.grid, w.outages, w.strips, w.ratios, w.no_record_scale, w.cfg), 8, "val")
+        layers.cell_months(w.grid, w.outages, w.strips, w.ratios, w.no_record_scale, w.cfg), 5, "val", noise=9)
 )
 for _name, _cond in (("layer_all", "layer = 'all'"), ("layer_year", "layer LIKE 'y%'"), ("layer_month", "layer LIKE 'm%'")):
-    query(_name, f"SELECT layer, xi, yi, {r('val', 8)} AS val FROM layers_t WHERE {_cond}")(
-        lambda w, cond=_cond: rounded(w.published.filter(cond), 8, "val")
+    query(_name, f"SELECT layer, xi, yi, {r(r('val', 9), 5)} AS val FROM layers_t WHERE {_cond}")(
+        lambda w, cond=_cond: rounded(w.published_lazy.filter(cond), 5, "val", noise=9)
     )
 query("layer_years", f"SELECT layer, {r('years', 6)} AS years FROM layer_years_t")(
     lambda w: rounded(layers.layer_years(w.daily_lazy), 6, "years")
@@ -372,13 +374,13 @@ def _scale_words(w: Workspace) -> DataFrame:
 
 
 query("coarsen", f"""SELECT f.layer, CAST(f.f AS INT) AS f, CAST(floor(l.xi / CAST(f.f AS DOUBLE)) AS INT) AS bx, CAST(floor(l.yi / CAST(f.f AS DOUBLE)) AS INT) AS by,
-    {r('sum(l.val) / any_value(f.f * f.f)', 8)} AS val FROM layers_t l
+    {r(r('sum(l.val) / any_value(f.f * f.f)', 9), 5)} AS val FROM layers_t l
   JOIN (SELECT layer, min(f) AS f FROM (SELECT layer, f, count(DISTINCT (floor(xi / CAST(f AS DOUBLE)), floor(yi / CAST(f AS DOUBLE)))) AS blocks
           FROM layers_t CROSS JOIN (SELECT unnest(range(1, 20)) AS f) q GROUP BY layer, f) WHERE blocks <= 20 GROUP BY layer) f ON f.layer = l.layer
-  GROUP BY ALL""")(lambda w: rounded(layers.coarsen(w.published, 20, "mean", ("layer",)), 8, "val"))
+  GROUP BY ALL""")(lambda w: rounded(layers.coarsen(w.published, 20, "mean", ("layer",)), 5, "val", noise=9))
 query("overview", f"""SELECT layer, bx, "by", {r('val', 2)} AS val FROM (SELECT layer, CAST(floor(xi / 5e0) AS INT) AS bx, CAST(floor(yi / 5e0) AS INT) AS "by", sum(val) / 25 AS val
-  FROM layers_t GROUP BY ALL) WHERE val >= 0.005e0""")(lambda w: layers.overview(w.published, w.cfg))
-query("viewport_cells", f"""SELECT layer, xi, yi, {r('val', 8)} AS val, yi BETWEEN -3 AND 2 AND xi BETWEEN -3 AND 1 AS exact FROM all_layers_t
+  FROM layers_t GROUP BY ALL) WHERE val >= 0.005e0""")(lambda w: layers.overview(w.published_lazy, w.cfg))
+query("viewport_cells", f"""SELECT layer, xi, yi, {r(r('val', 9), 5)} AS val, yi BETWEEN -3 AND 2 AND xi BETWEEN -3 AND 1 AS exact FROM all_layers_t
   WHERE (xi + 1) * 0.1e0 >= -0.25e0 - 0.1e0 AND xi * 0.1e0 <= 0.2e0 + 0.1e0 AND (yi + 1) * 0.1e0 >= -0.3e0 - 0.1e0 AND yi * 0.1e0 <= 0.25e0 + 0.1e0""")(
     lambda w: _viewport(w)
 )
@@ -387,13 +389,13 @@ query("viewport_cells", f"""SELECT layer, xi, yi, {r('val', 8)} AS val, yi BETWE
 def _viewport(w: Workspace) -> DataFrame:
     cells = layers.multi_area_max(w.area_layers)
     y0, y1, x0, x1 = grid.cell_bounds(BOX, w.cfg)
-    return rounded(layers.viewport_cells(cells, BOX, w.cfg, margin=True), 8, "val").withColumn(
+    return rounded(layers.viewport_cells(cells, BOX, w.cfg, margin=True), 5, "val", noise=9).withColumn(
         "exact", F.col("yi").between(y0, y1) & F.col("xi").between(x0, x1)
     )
 
 
 query("tile_index", """SELECT layer, CAST(floor(yi / 1e2) AS INT) AS ty, CAST(floor(xi / 1e2) AS INT) AS tx, count(*) AS cells FROM layers_t GROUP BY ALL""")(
-    lambda w: layers.tile_index(w.published, w.cfg.map_tile, "layer")
+    lambda w: layers.tile_index(w.published_lazy, w.cfg.map_tile, "layer")
 )
 query("distinct_cells", "SELECT area, yi, xi FROM own_t")(lambda w: grid.distinct_cells(w.grid_lazy))
 query("all_static", "SELECT yi, xi FROM mask_t")(lambda w: grid.all_static(w.static))
@@ -507,23 +509,23 @@ query("live_meta", f"""SELECT {sql_list('d')} AS days, (SELECT {sql_list('d')} F
 )
 query("nowcast_now", "SELECT area, d, cells, total, frp FROM now_t")(lambda w: _now(w))
 query("nowcast_history", f"SELECT area, CAST(y AS INT) AS y, {r('total', 6)} AS total FROM history_t")(
-    lambda w: rounded(live.nowcast_history(w.live, w.series_lazy, w.cfg), 6, "total")
+    lambda w: rounded(live.nowcast_history(w.live_kept, w.series_lazy, w.cfg), 6, "total")
 )
 _RANK = f"""SELECT h.area, n.now, {r('quantile_cont(h.total, 0.1)', 1)} AS p10, {r('quantile_cont(h.total, 0.5)', 1)} AS p50, {r('quantile_cont(h.total, 0.9)', 1)} AS p90,
     {r('max(h.total)', 1)} AS max, {r('avg(CAST(h.total < n.now AS INT)) * 100 + avg(CAST(h.total = n.now AS INT)) * 50', 0)} AS percentile,
     count(*) AS n_years, n.now > max(h.total) AS record
   FROM history_t h JOIN (SELECT area, max(total) AS now FROM now_t GROUP BY area) n ON n.area = h.area GROUP BY h.area, n.now"""
 query("nowcast_rank", _RANK)(
-    lambda w: live.nowcast_rank(_now(w), live.nowcast_history(w.live, w.series, w.cfg), w.cfg).drop("status")
+    lambda w: live.nowcast_rank(_now(w), live.nowcast_history(w.live_kept, w.series, w.cfg), w.cfg).drop("status")
 )
 query("now_status", f"""SELECT area, CASE WHEN record THEN 'Highest for these dates since 1996' WHEN percentile >= 90 THEN 'Well above normal'
     WHEN percentile >= 70 THEN 'Above normal' WHEN percentile <= 10 THEN 'Well below normal' ELSE 'Near normal' END AS status FROM ({_RANK})""")(
-    lambda w: live.nowcast_rank(_now(w), live.nowcast_history(w.live, w.series, w.cfg), w.cfg).select("area", "status")
+    lambda w: live.nowcast_rank(_now(w), live.nowcast_history(w.live_kept, w.series, w.cfg), w.cfg).select("area", "status")
 )
 
 
 def _now(w: Workspace) -> DataFrame:
-    return live.nowcast_now(w.live, w.links(w.live), w.static, w.areas)
+    return live.nowcast_now(w.live_kept, w.links(w.live_kept), w.static, w.areas)
 
 
 # ------------------------------------------------------------------ reports

@@ -181,21 +181,30 @@ class Workspace:
         return layers.area_layers(self.cell_months, self.layer_years)
 
     @cached_property
-    def published(self) -> DataFrame:
+    def published_lazy(self) -> DataFrame:
         return layers.published_layers(self.cell_months, self.layer_years, self.cfg)
 
+    @cached_property
+    def published(self) -> DataFrame:
+        """Kept for operators that read the layers several times."""
+        return self._keep(self.published_lazy, "layers")
+
     # ---- live
     @cached_property
     def live(self) -> DataFrame:
         return live.live_cell_days(self.feed, self.cfg)
 
+    @cached_property
+    def live_kept(self) -> DataFrame:
+        return self._keep(self.live, "live")
+
     @cached_property
     def live_masked(self) -> DataFrame:
-        return self._keep(grid.mask_static(self.live, self.static), "live")
+        return self._keep(grid.mask_static(self.live, self.static), "masked")
 
     @cached_property
     def own_cells(self) -> DataFrame:
-        return grid.distinct_cells(self.grid_lazy)
+        return grid.recorded_cells(self.detections, self.cfg)
 
     def links(self, cell_days: DataFrame) -> DataFrame:
         return self.links_with(cell_days, self.own_cells)
