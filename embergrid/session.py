@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,9 +20,12 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-    scratch = tempfile.mkdtemp(prefix="embergrid-")
-    spark.conf.set("spark.checkpoint.dir", scratch)
-    return scratch
+    return _local_scratch(spark.sparkContext.applicationId)
+
+
+@cache
+def _local_scratch(application: str) -> str:
+    return tempfile.mkdtemp(prefix="embergrid-")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -28,7 +28,7 @@ def norm(pdf: pd.DataFrame) -> pd.DataFrame:
     # numbers that arrive as float on one side only because of NULLs compare as floats
     for c in pdf.columns:
         if pdf[c].dtype.kind in "iu":
-            as_text[c] = pdf[c].map(lambda v: f"{float(v):.12g}")
+            as_text[c] = pdf[c].map(lambda v: "~" if pd.isna(v) else f"{float(v):.12g}")
     return as_text.sort_values(list(as_text.columns)).reset_index(drop=True)
 
 
