@@ -185,7 +185,7 @@ def coarsen(cells: DataFrame, limit: int, how: str = "mean", keys: tuple[str, ..
     ranges = sizes.select(*k, lo.alias("lo"), F.greatest(lo, hi).alias("hi"))
     bx, by = F.floor(F.col("xi") / F.col("f")).cast("int"), F.floor(F.col("yi") / F.col("f")).cast("int")
     tried = (
-        src.join(ranges, k)
+        src.join(F.broadcast(ranges), k)  # one row per layer
         .select(*k, "xi", "yi", F.explode(F.sequence("lo", "hi")).alias("f"))
         .select(*k, "f", bx.alias("bx"), by.alias("by"))
         .distinct()
@@ -197,5 +197,5 @@ def coarsen(cells: DataFrame, limit: int, how: str = "mean", keys: tuple[str, ..
     )
     total = F.sum("val")
     value = total / (F.col("f") * F.col("f")) if how == "mean" else total
-    merged = src.join(tried, k).groupBy(*k, "f", bx.alias("bx"), by.alias("by")).agg(value.alias("val"))
+    merged = src.join(F.broadcast(tried), k).groupBy(*k, "f", bx.alias("bx"), by.alias("by")).agg(value.alias("val"))
     return merged.drop("_all")

@@ -193,7 +193,22 @@ query("nearest_place_global", None)(lambda w: places.nearest_place_global(_cell_
 query("nearest_place", None)(
     lambda w: places.nearest_place(_cell_points(w), places.place_candidates(w.places, w.cfg), w.cfg)
 )
-query("place_candidates")(
+_HYPOT = lambda a, b: f"sqrt(({a}) * ({a}) + ({b}) * ({b}))"
+_SCORE = lambda lat, lon: _HYPOT(
+    f"({lat} - p.lat) * 111.2e0", f"(((({lon} - p.lon + 180e0) % 360) + 360) % 360 - 180e0) * 111.2e0 * cos(radians({lat}))") + " / p.pull"
+_SIDE = lambda n, step: (
+    f"(SELECT unnest(range(0, {n})) * {step} AS dy) gy CROSS JOIN (SELECT unnest(range(0, {n})) * {step} AS dx) gx")
+query("place_candidates", f"""WITH p AS (SELECT place_id, lat, lon, 1 + 0.25e0 * log10(greatest(pop, 1000) / 1000e0) AS pull FROM places_t),
+  tile AS (SELECT ty, tx, ty * 2 - 90 AS s, tx * 2 - 180 AS w, cos(radians(least(89.9e0, greatest(abs(ty * 2 - 90), abs(ty * 2 - 88))))) AS c
+    FROM (SELECT unnest(range(CAST(floor((min(lat) + 84) / 2) AS INT), CAST(floor((max(lat) + 96) / 2) AS INT) + 1)) AS ty FROM p)
+    CROSS JOIN (SELECT unnest(range(CAST(floor((min(lon) + 174) / 2) AS INT), CAST(floor((max(lon) + 186) / 2) AS INT) + 1)) AS tx FROM p)),
+  first_pass AS (SELECT ty, tx, s, w, c, dy, dx, min({_SCORE('(s + dy)', '(w + dx)')}) AS best FROM tile CROSS JOIN {_SIDE(5, '0.5e0')} CROSS JOIN p GROUP BY ALL),
+  kept AS (SELECT ty, tx, s, w, c, max(best) + 0.5e0 * {_HYPOT('0.5e0 * 111.2e0', '0.5e0 * 111.2e0 * c')} AS upper FROM first_pass GROUP BY ty, tx, s, w, c HAVING min(best) <= 250),
+  near AS (SELECT k.*, p.* FROM kept k JOIN p ON {_HYPOT('greatest(0, s - p.lat, p.lat - s - 2) * 111.2e0', 'greatest(0, abs(p.lon - w - 1) - 1) * 111.2e0 * c')} / p.pull <= upper),
+  scored AS (SELECT p.ty, p.tx, p.c, p.place_id, dy, dx, {_SCORE('(s + dy)', '(w + dx)')} AS score FROM near p CROSS JOIN {_SIDE(33, '0.0625e0')}),
+  floor_at AS (SELECT ty, tx, dy, dx, min(score) AS best FROM scored GROUP BY ALL)
+  SELECT CAST(ty AS INT) AS ty, CAST(tx AS INT) AS tx, count(DISTINCT place_id) AS places FROM scored JOIN floor_at USING (ty, tx, dy, dx)
+  WHERE score - best <= {_HYPOT('0.0625e0 * 111.2e0', '0.0625e0 * 111.2e0 * c')} GROUP BY ty, tx""")(
     lambda w: places.place_candidates(w.places, w.cfg).groupBy("ty", "tx").agg(F.count(F.lit(1)).alias("places"))
 )
 query("resolve_aoi", f"""SELECT b.aoi_id, {sql_list('t.area', 't.ready')} AS have, {sql_list('t.area', 'NOT t.ready')} AS missing,
