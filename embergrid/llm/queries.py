@@ -5,8 +5,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from embergrid.llm import bytebpe, decontaminate, language, nearcopies, pii, spans
+from embergrid.llm import bytebpe, decontaminate, idfile, language, nearcopies, pii, secret_scan, spans, topk, toxicity, urls
+from embergrid.session import materialize, scratch_path
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+RULES = [
+    urls.Rule("block", "net/"), urls.Rule("allow", "example.net/en/"), urls.Rule("block", "example.com/de/"), urls.Rule("allow", "org/fr/"),
+]
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -40,16 +45,52 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = records(_table(spark, sf_dir, "documents"))
+    found = secret_scan.find_secrets(docs, secret_scan.train_markov(docs))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select(
+        F.col("area").alias("doc_id"), *map(count, secret_scan.BASE), F.sha2(spans.listing(F.col("base")), 256).alias("base_sha256"),
+        spans.listing(F.col("spans")).alias("spans"),
+    )
+
+
+def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token_ids")
+    tokenized = materialize(idfile.tokenize(records(_table(spark, sf_dir, "documents")), TOKENIZER), "tokenized")
+    idfile.write_ids(tokenized, path)
+    return idfile.read_ids(spark, path).withColumnRenamed("area", "doc_id")
+
+
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profiles = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("area"), F.col("embedding").alias("profile"))
+    best = topk.nearest_profiles(profiles, profiles.filter("area % 100 = 0").select("area"))
+    return best.select(F.col("area").alias("query_id"), "rank", F.col("other").alias("vec_id"), "score")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = records(_table(spark, sf_dir, "documents"))
     return bytebpe.encode_and_check(docs, RANKS, public_tokenizers.PATTERN).withColumnRenamed("area", "doc_id")
 
 
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(_table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = decontaminate.benchmark_leaks(records(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
     return leaks.withColumnRenamed("area", "doc_id")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = records(_table(spark, sf_dir, "documents"))
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("area"), "toxic")
+    model = toxicity.train_toxicity(docs, labels.filter(_remainder(3) != 1))
+    return toxicity.score_toxicity(docs, model).select(
+        F.col("area").alias("doc_id"), (_remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = nearcopies.near_copies(records(_table(spark, sf_dir, "documents")))
     return found.select(
@@ -61,8 +102,31 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_language": op2_language,
+    "op3_secrets": op3_secrets,
+    "op4_token_file": op4_token_file,
+    "op5_topk": op5_topk,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_urls": op7_urls,
     "op8_decontaminate": op8_decontaminate,
+    "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), parts AS (
+  SELECT vec_id, len(q) AS dims, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM v
+), pairs AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(sum(a.x * b.x) AS BIGINT) AS score
+  FROM parts a JOIN parts b ON a.i = b.i AND a.dims = b.dims AND a.vec_id <> b.vec_id
+  WHERE a.vec_id % 100 = 0 GROUP BY ALL
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM pairs
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+""",
+}
