@@ -225,7 +225,7 @@ def find_pii(documents: DataFrame, model: PiiModel) -> DataFrame:
     ``base`` holds the fixed formats, by kind, then start; kinds may overlap. ``spans`` holds these and the
     candidates that the trees accept and that overlap no base span; of accepted candidates that overlap each
     other, the one with the best score (ties: smaller start) stays. Offsets are code points, end exclusive. Null and empty texts have
-    no spans. Whole texts are read. Other columns are kept as they are, so the names base and spans must be free;
+    no spans. Whole texts are read. Other columns are kept, but for any named base or spans, which are replaced;
     repeated rows repeat.
     """
     text = F.coalesce(F.col("document"), F.lit(""))

@@ -111,7 +111,7 @@ def find_secrets(documents: DataFrame, model: MarkovModel) -> DataFrame:
     ``base`` holds the fixed formats; kinds may overlap. ``spans`` adds, as kind ``random``, runs of 16 or more key
     characters that the random model explains better by the model's threshold and that overlap no base span.
     Offsets are code points, end exclusive. Null and empty texts have no spans. Whole texts are read. Other columns are
-    kept as they are, so the names base and spans must be free; repeated rows repeat.
+    kept, but for any named base or spans, which are replaced; repeated rows repeat.
     """
     found = documents.withColumn("__text", F.coalesce(F.col("document"), F.lit("")))
     t = F.col("__text")
