@@ -75,7 +75,6 @@ class Config:
     place_deg: int = 2
     place_km: float = 111.2
     place_reach_km: float = 250.0
-    place_max_pull: float = 2.1
     place_samples: int = 33
 
     # live feed

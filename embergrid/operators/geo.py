@@ -165,17 +165,17 @@ def cell_area_link(inside: DataFrame, own: DataFrame, live_cells: DataFrame) ->
 
 
 def bbox_normalize(boxes: DataFrame, cfg: Config) -> DataFrame:
-    """Clamp to the globe, 3 decimals; empty boxes and boxes beyond the size limit are rejected."""
+    """Every box with a status: clamped to the globe, 3 decimals, ``ok``; ``empty`` and ``too large`` boxes have NULL sides."""
     from embergrid.functions.numbers import half_even
 
     w, e = F.greatest(F.lit(-180.0), F.col("w")), F.least(F.lit(180.0), F.col("e"))
     s, n = F.greatest(F.lit(-90.0), F.col("s")), F.least(F.lit(90.0), F.col("n"))
     rounded = {c: half_even(v, 3) for c, v in (("w", w), ("s", s), ("e", e), ("n", n))}
-    return (
-        boxes.filter((w < e) & (s < n))
-        .withColumns(rounded)
-        .filter((F.col("e") - F.col("w")) * (F.col("n") - F.col("s")) <= cfg.max_box_deg2)
-    )
+    size = (rounded["e"] - rounded["w"]) * (rounded["n"] - rounded["s"])
+    status = F.when((w < e) & (s < n), F.when(size <= cfg.max_box_deg2, "ok").otherwise("too large")).otherwise("empty")
+    judged = boxes.withColumns({"status": status, **{f"_{c}": v for c, v in rounded.items()}})
+    sides = [F.when(F.col("status") == "ok", F.col(f"_{c}")).alias(c) for c in ("w", "s", "e", "n")]
+    return judged.select("aoi_id", *sides, "status")
 
 
 def bbox_cells(boxes: DataFrame, cfg: Config) -> DataFrame:
@@ -204,7 +204,8 @@ def normal_name(name: Column) -> Column:
 def name_match(areas: DataFrame, features: DataFrame, name_columns: tuple[str, ...], aliases: DataFrame) -> DataFrame:
     """(area, feature_id, priority): the border feature of every area by name.
 
-    Name columns are tried in order; an alias (area, alias) replaces the area's own name.
+    Name columns are tried in order; an alias (area, alias) replaces the area's own name. An area that no feature
+    answers to stays, with NULL: it has no shape.
     """
     wanted = areas.join(aliases, "area", "left").select(
         "area", normal_name(F.coalesce("alias", F.regexp_replace("name", "_", " "))).alias("k")
@@ -219,4 +220,4 @@ def name_match(areas: DataFrame, features: DataFrame, name_columns: tuple[str, .
         .groupBy("k")
         .agg(F.min(F.struct("priority", "feature_id")).alias("f"))
     )
-    return wanted.join(known, "k").select("area", F.col("f.feature_id").alias("feature_id"), F.col("f.priority").alias("priority"))
+    return wanted.join(known, "k", "left").select("area", F.col("f.feature_id").alias("feature_id"), F.col("f.priority").alias("priority"))

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from embergrid.config import Config
 from embergrid.functions.cells import cell_index, floor_div
-from embergrid.functions.dates import day
 
 CELL_KEYS = ["area", "d", "yi", "xi", "s"]
 
@@ -246,5 +245,13 @@ def record_end(records: DataFrame) -> DataFrame:
     )
 
 
-def within_record(grid: DataFrame, cfg: Config) -> DataFrame:
-    return grid.filter(F.col("d") <= day(cfg.record_end))
+def last_full_year(detections: DataFrame, cfg: Config) -> DataFrame:
+    """(year): the last year that both sensors cover to its end, by the last day of the one that stops first.
+
+    A year that stops early is left out whole: a missing month must not read as a month without fire. NULL without
+    detections of both sensors.
+    """
+    last = lambda name: F.max(F.when(F.col("instrument") == name, F.col("acq_date")))
+    ends = detections.agg(last(cfg.coarse_name).alias("c"), last(cfg.fine_name).alias("f"))
+    end = F.when(F.col("c") < F.col("f"), F.col("c")).otherwise(F.when(F.col("c").isNotNull(), F.col("f")))
+    return ends.select((F.year(F.date_add(end, 1)) - 1).alias("year"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from embergrid.config import Config
@@ -171,17 +173,18 @@ def coarsen(cells: DataFrame, limit: int, how: str = "mean", keys: tuple[str, ..
     """Merge f x f blocks, f the smallest side that leaves at most ``limit`` squares per key.
 
     Every candidate f is counted in one job: a block holds at most f*f cells, so f starts at
-    sqrt(n / limit); the extent gives an f that surely fits. Returns keys, f, bx, by, val.
+    sqrt(n / limit); the extent gives an f that surely fits: with f beyond span / (sqrt(limit) - 1) each axis has at
+    most sqrt(limit) blocks, as span cells touch at most ceil(span / f) + 1 of them. Returns keys, f, bx, by, val.
     """
-    if limit < 9:
-        raise ValueError("limit must be at least 9 squares")
+    if limit < 4:
+        raise ValueError("cells on both sides of the origin's corner need 4 squares whatever their size")
     k = [*keys, "_all"] if not keys else list(keys)
     src = cells.withColumn("_all", F.lit(0)) if not keys else cells
     span = F.greatest(F.max("xi") - F.min("xi"), F.max("yi") - F.min("yi")) + 1
     sizes = src.groupBy(*k).agg(F.count(F.lit(1)).alias("n"), span.alias("span"))
     fits = F.col("n") <= limit
     lo = F.when(fits, 1).otherwise(F.greatest(F.lit(2), F.ceil(F.sqrt(F.col("n") / limit)))).cast("int")
-    hi = F.when(fits, 1).otherwise(F.ceil(F.col("span") / (float(limit) ** 0.5 - 2)) + 1).cast("int")
+    hi = F.when(fits, 1).otherwise(F.ceil(F.col("span") / (math.isqrt(limit) - 1))).cast("int")
     ranges = sizes.select(*k, lo.alias("lo"), F.greatest(lo, hi).alias("hi"))
     bx, by = F.floor(F.col("xi") / F.col("f")).cast("int"), F.floor(F.col("yi") / F.col("f")).cast("int")
     tried = (

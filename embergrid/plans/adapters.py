@@ -17,7 +17,6 @@ TABLE_CONFIG = Config(
     platform_b_start=dt.date(1995, 7, 4),
     fine_start=dt.date(1997, 1, 20),
     drift_from=dt.date(2000, 1, 1),
-    record_end=dt.date(2000, 12, 31),
     check_from=dt.date(1996, 1, 1),
     prior_k=0.6,
     prior_kt=1.2,
@@ -77,15 +76,22 @@ def as_feed(events: DataFrame) -> DataFrame:
     )
 
 
-LIVE_FROM = "2024-01-23 06:00:00"
-SITE_UNTIL = "2024-01-29 12:00:00"  # the published copy ends here
-FRESH_FROM = "2024-01-28 18:00:00"  # the short, newer feed starts here
+FEED_HOURS = 168  # a feed reaches back so far from its newest detection
+SITE_LAG_HOURS = 36  # the published copy of the feed is older by this
+FRESH_HOURS = 54  # the short, newer feed
 
 
-def live(spark: SparkSession, sf_dir: str, since: str = LIVE_FROM, until: str | None = None) -> DataFrame:
+def newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(newest): time of the last event, one row."""
+    return read(spark, sf_dir, "events").agg(F.max("ts").alias("newest"))
+
+
+def live(spark: SparkSession, sf_dir: str, hours: int = FEED_HOURS, lag_hours: int = 0) -> DataFrame:
+    """The feed as it stands ``lag_hours`` before the newest event, reaching back ``hours`` from the newest one."""
     feed = as_feed(read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value"))
-    feed = feed.filter(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
-    return feed if until is None else feed.filter(F.col("ts") <= F.lit(until).cast("timestamp_ntz"))
+    dated = feed.crossJoin(F.broadcast(newest(spark, sf_dir)))  # one row
+    before = lambda h: F.col("newest") - F.expr(f"INTERVAL {h} HOURS")
+    return dated.filter((F.col("ts") >= before(hours)) & (F.col("ts") <= before(lag_hours))).drop("newest")
 
 
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,13 +102,13 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def border_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Diamonds on a 5 x 5 lattice; even areas have a hole."""
+    """Diamonds on a 5 x 5 lattice; even areas have a hole, every fifth area has no border."""
     key = F.col("n_nationkey").cast("bigint")
     rings = F.array(
         F.struct(F.lit(0).alias("ring"), F.lit(1600).cast("bigint").alias("r")),
         F.when(F.col("n_nationkey") % 2 == 0, F.struct(F.lit(1).alias("ring"), F.lit(400).cast("bigint").alias("r"))),
     )
-    c = read(spark, sf_dir, "nation").select(
+    c = read(spark, sf_dir, "nation").filter(F.col("n_nationkey") % 5 != 4).select(
         F.col("n_nationkey").alias("area"), F.lit(0).alias("poly"),
         ((key % 5) * 1500 - 3000).alias("cx"), (F.floor(key / 5) * 1500 - 3000).alias("cy"),
         F.inline(F.array_compact(rings)),

@@ -9,9 +9,9 @@ from __future__ import annotations
 import re
 
 START, PLATFORM_B, FINE = "DATE '1995-01-01'", "DATE '1995-07-04'", "DATE '1997-01-20'"
-DRIFT, END, OVERLAP = "DATE '2000-01-01'", "DATE '2000-12-31'", "DATE '1997-02-01'"
+DRIFT, END, OVERLAP = "DATE '2000-01-01'", "(SELECT record_end FROM end_t)", "DATE '1997-02-01'"
 PRIOR_K, PRIOR_KT = "0.6e0", "1.2e0"
-FIRST_FULL, LAST_FULL = 1996, 2000
+FIRST_FULL, LAST_FULL = 1996, "(SELECT year FROM end_t)"
 
 
 def r(expr: str, digits: int) -> str:
@@ -56,10 +56,10 @@ SELECT area, 0 AS poly, ring,
   cx + r*CASE k WHEN 3 THEN 1 WHEN 1 THEN -1 ELSE 0 END AS x2, cy + r*CASE k WHEN 0 THEN 1 WHEN 2 THEN -1 ELSE 0 END AS y2
 FROM (
   SELECT n_nationkey AS area, 0 AS ring, CAST(n_nationkey % 5 AS BIGINT)*1500-3000 AS cx,
-         CAST(floor(n_nationkey/5) AS BIGINT)*1500-3000 AS cy, CAST(1600 AS BIGINT) AS r FROM nation
+         CAST(floor(n_nationkey/5) AS BIGINT)*1500-3000 AS cy, CAST(1600 AS BIGINT) AS r FROM nation WHERE n_nationkey % 5 <> 4
   UNION ALL
   SELECT n_nationkey, 1, CAST(n_nationkey % 5 AS BIGINT)*1500-3000,
-         CAST(floor(n_nationkey/5) AS BIGINT)*1500-3000, CAST(400 AS BIGINT) FROM nation WHERE n_nationkey % 2 = 0
+         CAST(floor(n_nationkey/5) AS BIGINT)*1500-3000, CAST(400 AS BIGINT) FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey % 5 <> 4
 ) c CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) q"""
 
 CELL = "CAST(floor({0} * 10) AS INT)"
@@ -84,10 +84,12 @@ def live_days(feed: str) -> str:
 
 TABLES: dict[str, str] = {
     "det_t": DETECTIONS,
+    "end_t": """SELECT y AS year, make_date(y, 12, 31) AS record_end FROM (SELECT CAST(year(CAST(least(
+        max(acq_date) FILTER (instrument = 'C'), max(acq_date) FILTER (instrument = 'F')) AS DATE) + 1) - 1 AS INT) AS y FROM det_t)""",
     "cat_t": "SELECT n_nationkey AS area, n_name AS name, n_nationkey % 4 <> 1 AS ready FROM nation",
     "edges_t": EDGES,
     "feed_all_t": FEED,
-    "feed_t": "SELECT * FROM feed_all_t WHERE ts >= TIMESTAMP '2024-01-23 06:00:00'",
+    "feed_t": "SELECT * FROM feed_all_t WHERE ts >= (SELECT max(ts) FROM feed_all_t) - INTERVAL 168 HOUR",
     "places_t": """SELECT s_suppkey AS place_id, s_name AS name,
         (s_suppkey % 16) * CAST(0.05 AS DOUBLE) - CAST(0.387 AS DOUBLE) AS lat,
         (s_suppkey % 14) * CAST(0.05 AS DOUBLE) - CAST(0.281 AS DOUBLE) AS lon,
@@ -220,7 +222,7 @@ TABLES: dict[str, str] = {
              ELSE CAST(y AS VARCHAR) || '–' || right(CAST(y + 1 AS VARCHAR), 2) END AS label
       FROM (SELECT area, season_start, y, CAST(y || '-' || season_start AS DATE) AS a,
               CAST(CAST((y + 1) || '-' || season_start AS DATE) - INTERVAL 1 DAY AS DATE) AS b
-            FROM starts_t CROSS JOIN (SELECT unnest(range(1994, 2002)) AS y) q) WHERE a >= {START} AND b <= {END}""",
+            FROM starts_t CROSS JOIN (SELECT unnest(range(1990, 2100)) AS y) q) WHERE a >= {START} AND b <= {END}""",
     "assigned_t": """SELECT x.area, x.d, x.h, x.h7, l.start_year, l.season_from, l.season_to, l.label FROM smooth_t x
       JOIN season_list_t l ON l.area = x.area AND x.d BETWEEN l.season_from AND l.season_to""",
     "season_days_t": """SELECT *, sum(h) OVER (PARTITION BY area, start_year) AS raw,
@@ -281,7 +283,7 @@ TABLES: dict[str, str] = {
     "past_t": f"""SELECT y, a, CAST(a + CAST(len - 1 AS INT) AS DATE) AS b FROM (
         SELECT y, len, CASE WHEN month(d0) = 2 AND day(d0) = 29 AND NOT (y % 4 = 0 AND (y % 100 <> 0 OR y % 400 = 0))
                             THEN make_date(y, 2, 28) ELSE make_date(y, month(d0), day(d0)) END AS a
-        FROM (SELECT min(d) AS d0, count(*) AS len FROM window_t) CROSS JOIN (SELECT unnest(range({FIRST_FULL}, {LAST_FULL + 1})) AS y) q)
+        FROM (SELECT min(d) AS d0, count(*) AS len FROM window_t) CROSS JOIN (SELECT unnest(range({FIRST_FULL}, {LAST_FULL} + 1)) AS y) q)
       WHERE a + CAST(len - 1 AS INT) <= {END}""",
     "history_t": "SELECT s.area, p.y, sum(s.h) AS total FROM series_t s JOIN past_t p ON s.d BETWEEN p.a AND p.b GROUP BY ALL",
 }

@@ -5,7 +5,6 @@ Every query starts from the raw tables of ``sf_dir``; nothing is shared between
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -25,7 +24,8 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 BOX = (-0.25, -0.3, 0.2, 0.25)  # west, south, east, north
-TODAY = dt.date(2024, 1, 30)  # the live feed's last day
+NEWEST = "(SELECT max(ts) FROM events)"
+TODAY = f"CAST({NEWEST} AS DATE)"  # the live feed's last day
 
 
 def query(name: str, sql: str | None = None):
@@ -56,7 +56,7 @@ def sql_list(expr: str, cond: str = "true") -> str:
 # ------------------------------------------------------------------ scans and sinks
 
 query("scan_grid", f"SELECT area, d, yi, xi, s, n, {r('frp', 2)} AS frp FROM grid_t WHERE area IN (3, 7, 11) AND yi BETWEEN -3 AND 2 AND xi BETWEEN -3 AND 1")(
-    lambda w: rounded(grid.scan_grid(w.grid_lazy, [3, 7, 11], BOX, w.cfg), 2, "frp")
+    lambda w: rounded(grid.scan_grid(w.grid_lazy, [3, 7, 11], BOX, w.base), 2, "frp")
 )
 query("scan_with_provenance", "SELECT area, count(*) AS rows, CAST(sum(n) AS BIGINT) AS detections FROM grid_t GROUP BY area")(
     lambda w: roundtrips.provenance(w)
@@ -78,7 +78,7 @@ query("export_daily_csv", f"""SELECT area, d, {r('m', 1)} AS coarse_cell_days, {
     WHEN gap THEN '{labels.COARSE_FOR_FINE}' WHEN strip THEN '{labels.FINE_WITH_STRIP}' ELSE '{labels.FINE}' END AS source
   FROM series_t""")(lambda w: harmonize.daily_export(w.series_lazy, w.cfg))
 query("build_record", """SELECT area, CAST(least(max(year(acq_date)) FILTER (instrument = 'C'), max(year(acq_date)) FILTER (instrument = 'F')) AS INT) AS archive_through
-  FROM det_t GROUP BY area""")(lambda w: grid.build_record(w.detections, w.cfg))
+  FROM det_t GROUP BY area""")(lambda w: grid.build_record(w.detections, w.base))
 query("write_packed_tiles", """SELECT CAST(floor(yi / 2e1) AS INT) AS ty, CAST(floor(xi / 2e1) AS INT) AS tx, s, CAST(year(d) AS INT) AS y, count(*) AS entries
   FROM (SELECT DISTINCT d, yi, xi, s FROM grid_t) GROUP BY ALL""")(lambda w: roundtrips.packed_tiles(w))
 query("analysis_document", f"""SELECT c.area, {r('tot', 0)} AS total_cell_days, months, seasons, season_start FROM cat_t c
@@ -90,26 +90,28 @@ query("analysis_document", f"""SELECT c.area, {r('tot', 0)} AS total_cell_days,
 # ------------------------------------------------------------------ projections and filters
 
 query("bin_cells", f"SELECT area, acq_date, {oracle.YI} AS yi, {oracle.XI} AS xi, frp FROM det_t")(
-    lambda w: grid.bin_cells(w.detections, w.cfg).select("area", "acq_date", "yi", "xi", "frp")
+    lambda w: grid.bin_cells(w.detections, w.base).select("area", "acq_date", "yi", "xi", "frp")
 )
 query("clean_archive", """SELECT area, acq_date, instrument, satellite, latitude, longitude, frp FROM det_t
   WHERE type = 0 AND ((instrument = 'C' AND conf_pct >= 30) OR (instrument = 'F' AND conf_cls IN ('n', 'h')))""")(
-    lambda w: grid.clean_archive(w.detections, w.cfg).select(
+    lambda w: grid.clean_archive(w.detections, w.base).select(
         "area", "acq_date", "instrument", "satellite", "latitude", "longitude", "frp")
 )
 query("clean_live", "SELECT det_id, acq_date, confidence, frp FROM feed_t WHERE confidence IN ('nominal', 'high', 'n', 'h')")(
-    lambda w: grid.clean_live(w.feed, w.cfg).select("det_id", "acq_date", "confidence", "frp")
+    lambda w: grid.clean_live(w.feed, w.base).select("det_id", "acq_date", "confidence", "frp")
 )
 query("tag_sensors", "SELECT area, acq_date, latitude, longitude, s, frp FROM tagged_t")(
-    lambda w: grid.tag_sensors(w.detections, w.cfg).select("area", "acq_date", "latitude", "longitude", "s", "frp")
+    lambda w: grid.tag_sensors(w.detections, w.base).select("area", "acq_date", "latitude", "longitude", "s", "frp")
 )
-query("bbox_normalize", f"""SELECT * FROM (SELECT aoi_id, {r('greatest(-180e0, w)', 3)} AS w, {r('greatest(-90e0, s)', 3)} AS s,
-    {r('least(180e0, e)', 3)} AS e, {r('least(90e0, n)', 3)} AS n FROM raw_boxes_t
-    WHERE greatest(-180e0, w) < least(180e0, e) AND greatest(-90e0, s) < least(90e0, n)) WHERE (e - w) * (n - s) <= 5000""")(
-    lambda w: geo.bbox_normalize(adapters.raw_boxes(w.spark, w.dir), w.cfg)
+query("bbox_normalize", f"""SELECT aoi_id, CASE WHEN status = 'ok' THEN w END AS w, CASE WHEN status = 'ok' THEN s END AS s,
+    CASE WHEN status = 'ok' THEN e END AS e, CASE WHEN status = 'ok' THEN n END AS n, status FROM (
+  SELECT *, CASE WHEN empty THEN 'empty' WHEN (e - w) * (n - s) > 5000 THEN 'too large' ELSE 'ok' END AS status FROM (
+    SELECT aoi_id, {r('greatest(-180e0, w)', 3)} AS w, {r('greatest(-90e0, s)', 3)} AS s, {r('least(180e0, e)', 3)} AS e, {r('least(90e0, n)', 3)} AS n,
+      NOT (greatest(-180e0, w) < least(180e0, e) AND greatest(-90e0, s) < least(90e0, n)) AS empty FROM raw_boxes_t))""")(
+    lambda w: geo.bbox_normalize(adapters.raw_boxes(w.spark, w.dir), w.base)
 )
 query("bbox_cells", """SELECT aoi_id, CAST(floor(s * 10) AS INT) AS y0, CAST(ceil(n * 10) - 1 AS INT) AS y1,
-  CAST(floor(w * 10) AS INT) AS x0, CAST(ceil(e * 10) - 1 AS INT) AS x1 FROM boxes_t""")(lambda w: geo.bbox_cells(w.boxes, w.cfg))
+  CAST(floor(w * 10) AS INT) AS x0, CAST(ceil(e * 10) - 1 AS INT) AS x1 FROM boxes_t""")(lambda w: geo.bbox_cells(w.boxes, w.base))
 query("area_around", """SELECT place_id, floor(greatest(-180e0, lon - 0.25e0) * 100 + 0.5e0) / 100 AS w, floor(greatest(-90e0, lat - 0.25e0) * 100 + 0.5e0) / 100 AS s,
   floor(least(180e0, lon + 0.25e0) * 100 + 0.5e0) / 100 AS e, floor(least(90e0, lat + 0.25e0) * 100 + 0.5e0) / 100 AS n FROM places_t""")(
     lambda w: geo.area_around(w.places).select("place_id", "w", "s", "e", "n")
@@ -131,13 +133,12 @@ query("fine_equivalent", f"SELECT area, d, yi, xi, s, {r(r('val', 9), 5)} AS val
     lambda w: rounded(
         layers.fine_equivalent(w.grid, w.outages, w.strips, w.ratios, w.no_record_scale, w.cfg), 5, "val", noise=9)
 )
-query("record_end", """SELECT CAST(min(y) AS INT) AS year, make_date(CAST(min(y) AS INT), 12, 31) AS record_end FROM (
-  SELECT least(max(year(acq_date)) FILTER (instrument = 'C'), max(year(acq_date)) FILTER (instrument = 'F')) AS y FROM det_t GROUP BY area)""")(
-    lambda w: grid.record_end(grid.build_record(w.detections, w.cfg))
+query("record_end", "SELECT year, record_end FROM end_t")(
+    lambda w: grid.record_end(grid.build_record(w.detections, w.base, archive_year=w.full_year))
 )
 query("tile_keys", """SELECT d, yi, xi, s, ty, tx, CAST((yi - ty * 20) * 20 + (xi - tx * 20) AS INT) AS idx FROM (
   SELECT DISTINCT d, yi, xi, s, CAST(floor(yi / 2e1) AS INT) AS ty, CAST(floor(xi / 2e1) AS INT) AS tx FROM grid_t)""")(
-    lambda w: tiles.tile_keys(w.grid_lazy, w.cfg)
+    lambda w: tiles.tile_keys(w.grid_lazy, w.base)
 )
 query("source_label", f"""SELECT area, CASE
     WHEN unknown THEN '{labels.NO_RECORD.replace("'", "''")}' WHEN b_out AND (d < {oracle.FINE} OR gap) THEN '{labels.A_ONLY_OUTAGE}'
@@ -150,7 +151,7 @@ query("source_label", f"""SELECT area, CASE
 query("era_tag", """SELECT DISTINCT area, CAST(year(d) AS INT) AS y, CASE WHEN year(d) < 1995 THEN 'T' WHEN year(d) < 1997 AND year(d) = 1995 THEN 'T/A'
   WHEN year(d) < 1997 THEN 'T+A' ELSE 'V' END AS tag FROM grid_t""")(
     lambda w: w.grid_lazy.select("area", F.year("d").alias("y")).distinct().withColumn(
-        "tag", labels.era_tag(F.col("y"), w.cfg))
+        "tag", labels.era_tag(F.col("y"), w.base))
 )
 
 # ------------------------------------------------------------------ joins
@@ -171,7 +172,7 @@ query("date_spine_join", f"SELECT area, d, m, v, t, mg, m_det, v_det, t_det, {r(
     lambda w: rounded(
         w.daily_lazy.drop("fine_out", "coarse_out", "b_out", "unknown"), 2, "m_frp", "v_frp", "t_frp")
 )
-query("point_in_area", "SELECT area, yi, xi FROM inside_t")(lambda w: geo.cells_in_areas(w.live, w.edges, w.cfg))
+query("point_in_area", "SELECT area, yi, xi FROM inside_t")(lambda w: geo.cells_in_areas(w.live, w.edges, w.base))
 QBOX = "(SELECT aoi_id, " + ", ".join(f"CAST(floor({c} * 10000 + 0.5e0) AS BIGINT) AS b{c}" for c in "wsen") + " FROM boxes_t)"
 _SIDES = [f"sign((x2 - x1) * ({y} - y1) - (y2 - y1) * ({x} - x1))" for x in ("bw", "be") for y in ("bs", "bn")]
 TOUCH = f"""SELECT DISTINCT aoi_id, area FROM {QBOX} b CROSS JOIN edges_t
@@ -179,19 +180,19 @@ TOUCH = f"""SELECT DISTINCT aoi_id, area FROM {QBOX} b CROSS JOIN edges_t
       AND least({', '.join(_SIDES)}) <= 0 AND greatest({', '.join(_SIDES)}) >= 0
   UNION SELECT aoi_id, area FROM ({oracle.ray_cast('(SELECT aoi_id, bw AS x, bs AS y FROM ' + QBOX + ') p', 'aoi_id')})"""
 query("box_touches_area", TOUCH)(lambda w: geo.box_touches_area(w.boxes, w.edges))
-query("box_touches_extent", """SELECT aoi_id, area FROM boxes_t b JOIN (
-    SELECT area, min(xi) / 1e1 AS w, min(yi) / 1e1 AS s, (max(xi) + 1) / 1e1 AS e, (max(yi) + 1) / 1e1 AS n FROM grid_t WHERE area % 5 = 0 GROUP BY area) x
-  ON NOT (x.e < b.w OR x.w > b.e OR x.n < b.s OR x.s > b.n)""")(
-    lambda w: geo.box_touches_extent(w.boxes, grid.data_extent(w.grid_lazy.filter("area % 5 = 0"), w.cfg))
-)
+EXTENT_TOUCH = """SELECT aoi_id, area FROM boxes_t b JOIN (
+    SELECT area, min(xi) / 1e1 AS w, min(yi) / 1e1 AS s, (max(xi) + 1) / 1e1 AS e, (max(yi) + 1) / 1e1 AS n FROM grid_t
+    WHERE area NOT IN (SELECT area FROM edges_t) GROUP BY area) x
+  ON NOT (x.e < b.w OR x.w > b.e OR x.n < b.s OR x.s > b.n)"""
+query("box_touches_extent", EXTENT_TOUCH)(lambda w: _extent_touches(w))
 query("own_cells_outside", f"""SELECT area, yi, xi FROM own_t ANTI JOIN (
   {oracle.ray_cast("(SELECT DISTINCT yi, xi, CAST(xi AS BIGINT) * 1000 + 500 AS x, CAST(yi AS BIGINT) * 1000 + 500 AS y FROM own_t) p", "yi, xi")}) USING (area, yi, xi)""")(
     lambda w: _own_outside(w)
 )
 query("cell_area_link", "SELECT area, yi, xi FROM links_t")(lambda w: w.links(w.live_kept))
-query("nearest_place_global", None)(lambda w: places.nearest_place_global(_cell_points(w), w.places, w.cfg))
+query("nearest_place_global", None)(lambda w: places.nearest_place_global(_cell_points(w), w.places, w.base))
 query("nearest_place", None)(
-    lambda w: places.nearest_place(_cell_points(w), places.place_candidates(w.places, w.cfg), w.cfg)
+    lambda w: places.nearest_place(_cell_points(w), places.place_candidates(w.places, w.base), w.base)
 )
 _HYPOT = lambda a, b: f"sqrt(({a}) * ({a}) + ({b}) * ({b}))"
 _SCORE = lambda lat, lon: _HYPOT(
@@ -209,18 +210,17 @@ query("place_candidates", f"""WITH p AS (SELECT place_id, lat, lon, 1 + 0.25e0 *
   floor_at AS (SELECT ty, tx, dy, dx, min(score) AS best FROM scored GROUP BY ALL)
   SELECT CAST(ty AS INT) AS ty, CAST(tx AS INT) AS tx, count(DISTINCT place_id) AS places FROM scored JOIN floor_at USING (ty, tx, dy, dx)
   WHERE score - best <= {_HYPOT('0.0625e0 * 111.2e0', '0.0625e0 * 111.2e0 * c')} GROUP BY ty, tx""")(
-    lambda w: places.place_candidates(w.places, w.cfg).groupBy("ty", "tx").agg(F.count(F.lit(1)).alias("places"))
+    lambda w: places.place_candidates(w.places, w.base).groupBy("ty", "tx").agg(F.count(F.lit(1)).alias("places"))
 )
 query("resolve_aoi", f"""SELECT b.aoi_id, {sql_list('t.area', 't.ready')} AS have, {sql_list('t.area', 'NOT t.ready')} AS missing,
     count(*) FILTER (t.ready) = 0 AS needs_data FROM boxes_t b
-  LEFT JOIN (SELECT x.aoi_id, x.area, c.ready FROM ({TOUCH}) x JOIN cat_t c ON c.area = x.area) t ON t.aoi_id = b.aoi_id GROUP BY b.aoi_id""")(
-    lambda w: geo.resolve_aoi(w.boxes, geo.box_touches_area(w.boxes, w.edges), w.catalogue).select(
+  LEFT JOIN (SELECT x.aoi_id, x.area, c.ready FROM ({TOUCH} UNION {EXTENT_TOUCH}) x JOIN cat_t c ON c.area = x.area) t ON t.aoi_id = b.aoi_id GROUP BY b.aoi_id""")(
+    lambda w: geo.resolve_aoi(w.boxes, geo.box_touches_area(w.boxes, w.edges).unionByName(_extent_touches(w)), w.catalogue).select(
         "aoi_id", listed("have"), listed("missing"), "needs_data")
 )
-_NORM = "regexp_replace(lower(strip_accents({0})), '[^a-z0-9]', '', 'g')"
 query("name_match", None)(lambda w: roundtrips.match_names(w))
-_SITE = oracle.live_days("feed_t").replace("WHERE", f"WHERE ts <= TIMESTAMP '{adapters.SITE_UNTIL}' AND", 1)
-_FRESH = oracle.live_days("feed_all_t").replace("WHERE", f"WHERE ts >= TIMESTAMP '{adapters.FRESH_FROM}' AND", 1)
+_SITE = oracle.live_days("feed_t").replace("WHERE", f"WHERE ts <= {NEWEST} - INTERVAL {adapters.SITE_LAG_HOURS} HOUR AND", 1)
+_FRESH = oracle.live_days("feed_all_t").replace("WHERE", f"WHERE ts >= {NEWEST} - INTERVAL {adapters.FRESH_HOURS} HOUR AND", 1)
 query("join_feeds", f"""WITH site AS ({_SITE}), fresh AS ({_FRESH}), cut AS (SELECT min(d) AS c FROM fresh),
     both_feeds AS (SELECT * FROM site WHERE d <= (SELECT c FROM cut) UNION ALL SELECT * FROM fresh WHERE d > (SELECT c FROM cut))
   SELECT d, yi, xi, n, {r('frp', 2)} AS frp FROM both_feeds
@@ -228,21 +228,27 @@ query("join_feeds", f"""WITH site AS ({_SITE}), fresh AS ({_FRESH}), cut AS (SEL
     lambda w: rounded(_joined_feeds(w), 2, "frp")
 )
 query("rebuild_from_tiles", "SELECT d, yi, xi, n FROM live_t")(
-    lambda w: live.rebuild_from_tiles(live.live_tiles(w.live, w.cfg))
+    lambda w: live.rebuild_from_tiles(live.live_tiles(w.live, w.base))
 )
 query("multi_area_max", f"SELECT layer, xi, yi, {r(r('val', 9), 5)} AS val FROM all_layers_t")(
     lambda w: rounded(layers.multi_area_max(w.area_layers), 5, "val", noise=9)
 )
 
 
+def _extent_touches(w: Workspace) -> DataFrame:
+    """Boxes on the data extent of the areas that have no border."""
+    shapeless = w.grid_lazy.join(w.edges.select("area").distinct(), "area", "left_anti")
+    return geo.box_touches_extent(w.boxes, grid.data_extent(shapeless, w.base))
+
+
 def _own_outside(w: Workspace) -> DataFrame:
     cells = grid.distinct_cells(w.grid)
-    return geo.own_cells_outside(cells, geo.cells_in_areas(cells, w.edges, w.cfg))
+    return geo.own_cells_outside(cells, geo.cells_in_areas(cells, w.edges, w.base))
 
 
 def _cell_points(w: Workspace) -> DataFrame:
     """Centres of the live cells."""
-    c = w.cfg.cell
+    c = w.base.cell
     return w.live.select("yi", "xi").distinct().select(
         F.format_string("%d_%d", "yi", "xi").alias("point_id"),
         ((F.col("yi") + 0.5) / c).alias("plat"), ((F.col("xi") + 0.5) / c).alias("plon"),
@@ -250,9 +256,9 @@ def _cell_points(w: Workspace) -> DataFrame:
 
 
 def _joined_feeds(w: Workspace) -> DataFrame:
-    site = adapters.live(w.spark, w.dir, until=adapters.SITE_UNTIL)
-    fresh = adapters.live(w.spark, w.dir, since=adapters.FRESH_FROM)
-    return live.join_feeds(live.live_cell_days(site, w.cfg), live.live_cell_days(fresh, w.cfg), w.cfg)
+    site = adapters.live(w.spark, w.dir, lag_hours=adapters.SITE_LAG_HOURS)
+    fresh = adapters.live(w.spark, w.dir, hours=adapters.FRESH_HOURS)
+    return live.join_feeds(live.live_cell_days(site, w.base), live.live_cell_days(fresh, w.base), w.base)
 
 
 _PULL = "(1 + 0.25e0 * log10(greatest(p.pop, 1000) / 1000e0))"
@@ -279,7 +285,7 @@ query("daily_totals", f"""SELECT area, d, CAST(m AS DOUBLE) AS m, CAST(coalesce(
   CAST(coalesce(t_det, 0) AS DOUBLE) AS t_det, {r('coalesce(t_frp, 0)', 2)} AS t_frp, CAST(mg AS DOUBLE) AS mg FROM daily_t""")(
     lambda w: rounded(grid.daily_totals(w.reclassed), 2, "m_frp", "v_frp", "t_frp")
 )
-query("band_counts", "SELECT d, s, band, n FROM bands_t")(lambda w: outages.band_counts(w.grid_lazy, w.cfg))
+query("band_counts", "SELECT d, s, band, n FROM bands_t")(lambda w: outages.band_counts(w.grid_lazy, w.base))
 query("monthly_sums", "SELECT area, month, CAST(y AS INT) AS y, CAST(mon AS INT) AS mon, m, v, t, overlap FROM monthly_t")(lambda w: w.monthly)
 query("fit_ratios", f"SELECT area, CAST(mon AS INT) AS mon, {r('k_area', 6)} AS k_area, {r('k', 6)} AS k, {r('kt_area', 6)} AS kt_area, {r('kt', 6)} AS kt FROM ratios_t")(
     lambda w: rounded(harmonize.fit_ratios(w.monthly, w.areas, w.cfg), 6, "k_area", "k", "kt_area", "kt")
@@ -403,7 +409,7 @@ query("viewport_cells", f"""SELECT layer, xi, yi, {r(r('val', 9), 5)} AS val, yi
 
 def _viewport(w: Workspace) -> DataFrame:
     cells = layers.multi_area_max(w.area_layers)
-    y0, y1, x0, x1 = grid.cell_bounds(BOX, w.cfg)
+    y0, y1, x0, x1 = grid.cell_bounds(BOX, w.base)
     return rounded(layers.viewport_cells(cells, BOX, w.cfg, margin=True), 5, "val", noise=9).withColumn(
         "exact", F.col("yi").between(y0, y1) & F.col("xi").between(x0, x1)
     )
@@ -415,12 +421,12 @@ query("tile_index", """SELECT layer, CAST(floor(yi / 1e2) AS INT) AS ty, CAST(fl
 query("distinct_cells", "SELECT area, yi, xi FROM own_t")(lambda w: grid.distinct_cells(w.grid_lazy))
 query("all_static", "SELECT yi, xi FROM mask_t")(lambda w: grid.all_static(w.static))
 query("data_extent", """SELECT area, min(xi) / 1e1 AS w, min(yi) / 1e1 AS s, (max(xi) + 1) / 1e1 AS e, (max(yi) + 1) / 1e1 AS n, max(d) AS last_day
-  FROM grid_t GROUP BY area""")(lambda w: grid.data_extent(w.grid_lazy, w.cfg))
+  FROM grid_t GROUP BY area""")(lambda w: grid.data_extent(w.grid_lazy, w.base))
 query("main_side_extent", """SELECT area, east, cells, x0 / 1e1 AS w, y0 / 1e1 AS s, (x1 + 1) / 1e1 AS e, (y1 + 1) / 1e1 AS n FROM (
     SELECT area, xi >= 0 AS east, count(*) AS cells, min(xi) AS x0, min(yi) AS y0, max(xi) AS x1, max(yi) AS y1 FROM own_t GROUP BY area, xi >= 0
     QUALIFY row_number() OVER (PARTITION BY area ORDER BY count(*) DESC, xi >= 0) = 1) x
   WHERE area IN (SELECT area FROM own_t GROUP BY area HAVING (max(xi) - min(xi)) / 1e1 > 0.5e0)""")(
-    lambda w: grid.main_side_extent(w.grid_lazy, w.cfg)
+    lambda w: grid.main_side_extent(w.grid_lazy, w.base)
 )
 query("sensor_ratio_stats", f"""SELECT CAST(y AS INT) AS y, CAST(fine AS BIGINT) AS fine, CAST(a AS BIGINT) AS a, {r('q', 4)} AS ratio, {r('avg(CASE WHEN y < 2000 THEN q END) OVER ()', 4)} AS mean_before_drift,
     {r('stddev_samp(CASE WHEN y < 2000 THEN q END) OVER ()', 4)} AS sd_before_drift FROM (
@@ -441,12 +447,12 @@ query("centered_mean_7", f"SELECT area, d, {r('h', 6)} AS h, {r('h7', 6)} AS h7
 query("rolling_median_61", f"SELECT d, m, {oracle.usual('m')} AS usual FROM world_t")(
     lambda w: outages.rolling_median(outages.world_daily(w.bands), "m", w.cfg)
 )
-query("fine_gaps", "SELECT d FROM gaps_t")(lambda w: outages.fine_gaps(w.world, w.cfg))
-query("fine_strips", "SELECT d, band FROM strips_t")(lambda w: outages.fine_strips(w.bands, w.gaps, w.cfg))
-query("coarse_outages", "SELECT d FROM coarse_t WHERE coarse_out")(lambda w: outages.coarse_outages(w.world, w.cfg))
-query("platformB_outages", "SELECT d FROM coarse_t WHERE b_out")(lambda w: outages.platform_b_outages(w.world, w.cfg))
+query("fine_gaps", "SELECT d FROM gaps_t")(lambda w: outages.fine_gaps(w.world, w.base))
+query("fine_strips", "SELECT d, band FROM strips_t")(lambda w: outages.fine_strips(w.bands, w.gaps, w.base))
+query("coarse_outages", "SELECT d FROM coarse_t WHERE coarse_out")(lambda w: outages.coarse_outages(w.world, w.base))
+query("platformB_outages", "SELECT d FROM coarse_t WHERE b_out")(lambda w: outages.platform_b_outages(w.world, w.base))
 query("unknown_days", "SELECT d FROM outages_t WHERE unknown")(
-    lambda w: outages.outage_calendar(w.world, w.cfg).filter("unknown").select("d")
+    lambda w: outages.outage_calendar(w.world, w.base).filter("unknown").select("d")
 )
 query("harmonize_daily", f"SELECT area, d, m, v, t, mg, {r('h0', 6)} AS h0 FROM h0_t")(
     lambda w: rounded(harmonize.harmonize_daily(w.flagged, w.ratios, w.cfg), 6, "h0").select(
@@ -490,20 +496,20 @@ query("season_profile", f"""SELECT c.area, CAST(row_number() OVER (PARTITION BY
 _A = "CAST('2001-' || season_start AS DATE)"
 _MS = f"CAST(date_trunc('month', {_A}) + to_months(CAST(step AS INT)) AS DATE)"
 query("season_axis", f"""SELECT area, season_start, CAST(month({_MS}) AS INT) AS mon, CAST({_MS} - {_A} AS INT) AS off,
-    CAST(DATE '{TODAY}' - CASE WHEN DATE '{TODAY}' >= CAST('{TODAY.year}-' || season_start AS DATE) THEN CAST('{TODAY.year}-' || season_start AS DATE)
-      ELSE CAST('{TODAY.year - 1}-' || season_start AS DATE) END AS INT) AS today_off
+    CAST({TODAY} - CASE WHEN {TODAY} >= CAST(year({TODAY}) || '-' || season_start AS DATE) THEN CAST(year({TODAY}) || '-' || season_start AS DATE)
+      ELSE CAST((year({TODAY}) - 1) || '-' || season_start AS DATE) END AS INT) AS today_off
   FROM starts_t CROSS JOIN (SELECT unnest(range(0, 13)) AS step) q WHERE {_MS} - {_A} >= 0 AND {_MS} - {_A} < 365""")(
-    lambda w: seasons.season_axis(w.starts, TODAY)
+    lambda w: seasons.season_axis(w.starts, w.today)
 )
 query("tile_delta_encode", """SELECT ty, tx, s, CAST(y AS INT) AS y, count(*) AS n, string_agg(CAST(step AS VARCHAR), ',' ORDER BY doy, idx) AS steps,
     string_agg(CAST(idx AS VARCHAR), ',' ORDER BY doy, idx) AS places FROM (
   SELECT *, doy - coalesce(lag(doy) OVER (PARTITION BY ty, tx, s, y ORDER BY doy, idx), 0) AS step FROM (
     SELECT ty, tx, s, year(d) AS y, dayofyear(d) - 1 AS doy, (yi - ty * 20) * 20 + (xi - tx * 20) AS idx FROM (
       SELECT DISTINCT d, yi, xi, s, CAST(floor(yi / 2e1) AS INT) AS ty, CAST(floor(xi / 2e1) AS INT) AS tx FROM grid_t))) GROUP BY ALL""")(
-    lambda w: tiles.tile_delta_encode(w.grid_lazy, w.cfg).select("ty", "tx", "s", "y", F.col("n").cast("bigint").alias("n"), listed("steps"), listed("places"))
+    lambda w: tiles.tile_delta_encode(w.grid_lazy, w.base).select("ty", "tx", "s", "y", F.col("n").cast("bigint").alias("n"), listed("steps"), listed("places"))
 )
 query("tile_delta_decode", """SELECT d, s, count(*) AS cells FROM merged_t WHERE yi BETWEEN -3 AND 2 AND xi BETWEEN -3 AND 1 GROUP BY ALL""")(
-    lambda w: tiles.decoded_daily(tiles.tile_delta_encode(w.grid_lazy, w.cfg), BOX, w.cfg)
+    lambda w: tiles.decoded_daily(tiles.tile_delta_encode(w.grid_lazy, w.base), BOX, w.base)
 )
 
 # ------------------------------------------------------------------ live and early warning
@@ -511,7 +517,7 @@ query("tile_delta_decode", """SELECT d, s, count(*) AS cells FROM merged_t WHERE
 query("live_cell_days", f"SELECT d, yi, xi, n, {r('frp', 2)} AS frp FROM live_t")(lambda w: rounded(w.live, 2, "frp"))
 query("live_latest", "SELECT max(acq_date || ' ' || lpad(CAST(hhmm AS VARCHAR), 4, '0')) AS latest FROM feed_t")(lambda w: live.live_latest(w.feed))
 query("live_map", "SELECT xi, yi, CAST(sum(n) AS DOUBLE) AS val FROM masked_t WHERE yi BETWEEN -3 AND 2 AND xi BETWEEN -3 AND 1 GROUP BY ALL")(
-    lambda w: live.live_map(grid.scan_grid(grid.mask_static(w.live, w.static), bbox=BOX, cfg=w.cfg))
+    lambda w: live.live_map(grid.scan_grid(grid.mask_static(w.live, w.static), bbox=BOX, cfg=w.base))
 )
 query("live_area_counts", f"""SELECT a.area, d.d, count(x.d) AS cells, {r(r('any_value(a.frp)', 6), 0)} AS frp FROM (
     SELECT k.area, sum(m.frp) AS frp FROM masked_t m JOIN links_t k USING (yi, xi) WHERE m.d IN (SELECT d FROM masked_days_t) GROUP BY k.area) a
@@ -545,11 +551,11 @@ def _now(w: Workspace) -> DataFrame:
 
 # ------------------------------------------------------------------ reports
 
-_KEYS = [((TODAY.replace(year=2001) + dt.timedelta(days=o)).strftime("%m-%d"), o > 0) for o in range(-30, 31) if o]
-_PASTK, _NEXTK = (", ".join(f"'{k}'" for k, n in _KEYS if n is side) for side in (False, True))
+_BASE = f"CASE WHEN strftime({TODAY}, '%m-%d') = '02-29' THEN DATE '2001-03-01' ELSE make_date(2001, month({TODAY}), day({TODAY})) END"
 query("outlook_30d", f"""SELECT area, {r('past', 4)} AS past, {r('nxt', 4)} AS next, {r('CASE WHEN past > 0 THEN (nxt - past) / past * 100 END', 3)} AS change_pct FROM (
-    SELECT area, coalesce(sum({r('mean', 2)}) FILTER (key IN ({_PASTK})), 0) AS past, coalesce(sum({r('mean', 2)}) FILTER (key IN ({_NEXTK})), 0) AS nxt
-    FROM clim_t GROUP BY area)""")(lambda w: calendar.outlook(w.climatology, TODAY))
+    SELECT area, coalesce(sum({r('mean', 2)}) FILTER (o < 0), 0) AS past, coalesce(sum({r('mean', 2)}) FILTER (o > 0), 0) AS nxt
+    FROM clim_t c LEFT JOIN (SELECT o, strftime({_BASE} + CAST(o AS INT), '%m-%d') AS day_key FROM (SELECT unnest(range(-30, 31)) AS o) q WHERE o <> 0) k
+      ON k.day_key = c.key GROUP BY area)""")(lambda w: calendar.outlook(w.climatology, w.today))
 query("busiest_quietest", f"""SELECT area, coalesce(string_agg(CAST(mon AS VARCHAR), ',' ORDER BY rn) FILTER (rn <= 3 AND mu > 0), '') AS busiest,
     string_agg(CAST(mon AS VARCHAR), ',' ORDER BY rn DESC) FILTER (rn > 9) AS quietest, coalesce({r('100 * sum(mu) FILTER (rn <= 3) / nullif(sum(mu), 0)', 1)}, 0) AS busy_share
   FROM (SELECT *, row_number() OVER (PARTITION BY area ORDER BY mu DESC, mon) AS rn FROM (SELECT area, mon, {r('mu', 1)} AS mu FROM normals_t)) GROUP BY area""")(
@@ -562,7 +568,7 @@ query("trends", f"""SELECT c.area, {r('CASE WHEN a.n >= 5 AND a.mean > 0 THEN a.
              WHERE start_off IS NOT NULL GROUP BY area) b ON b.area = c.area""")(
     lambda w: calendar.trends(calendar.yearly_totals(w.series, w.cfg), w.timing, w.areas)
 )
-query("recent_unusual", "SELECT area, CAST(rank AS INT) AS rank, CAST(y AS INT) AS y, CAST(mon AS INT) AS mon, z, value, normal FROM unusual_t WHERE y >= 1996")(
+query("recent_unusual", "SELECT area, CAST(rank AS INT) AS rank, CAST(y AS INT) AS y, CAST(mon AS INT) AS mon, z, value, normal FROM unusual_t WHERE y >= (SELECT year FROM end_t) - 4")(
     lambda w: calendar.recent_unusual(w.unusual, w.cfg)
 )
 query("kpi_latest_season", f"""SELECT area, label, total, z, {r('CASE WHEN mu > 0 THEN (total - mu) / mu * 100 END', 3)} AS vs_mean_pct FROM seasons_z_t

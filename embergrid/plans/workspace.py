@@ -7,6 +7,7 @@ recomputes them and lost executors cost nothing but a re-read.
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -19,7 +20,23 @@ from embergrid.session import materialize, utc
 
 class Workspace:
     def __init__(self, spark: SparkSession, sf_dir: str, cfg: Config = adapters.TABLE_CONFIG):
-        self.spark, self.dir, self.cfg = utc(spark), sf_dir, cfg
+        self.spark, self.dir, self.base = utc(spark), sf_dir, cfg
+
+    @cached_property
+    def full_year(self) -> int:
+        """Last year that both sensors cover to its end: the published year of the record."""
+        year = grid.last_full_year(self.detections, self.base).first()["year"]
+        return self.base.record_end.year if year is None else year
+
+    @cached_property
+    def cfg(self) -> Config:
+        """The configuration with the record's own end."""
+        return self.base.with_(record_end=dt.date(self.full_year, 12, 31))
+
+    @cached_property
+    def today(self) -> dt.date:
+        """The day of the feed's newest event."""
+        return adapters.newest(self.spark, self.dir).first()["newest"].date()
 
     def _keep(self, df: DataFrame, label: str) -> DataFrame:
         return materialize(df, label)
@@ -27,7 +44,7 @@ class Workspace:
     # ---- inputs
     @cached_property
     def detections(self) -> DataFrame:
-        return adapters.detections(self.spark, self.dir, self.cfg)
+        return adapters.detections(self.spark, self.dir, self.base)
 
     @cached_property
     def catalogue(self) -> DataFrame:
@@ -56,7 +73,7 @@ class Workspace:
     # ---- grid and outages
     @cached_property
     def grid_lazy(self) -> DataFrame:
-        return grid.grid_daily(self.detections, self.cfg)
+        return grid.grid_daily(self.detections, self.base)
 
     @cached_property
     def grid(self) -> DataFrame:
@@ -64,11 +81,11 @@ class Workspace:
 
     @cached_property
     def static(self) -> DataFrame:
-        return grid.static_cells(self.detections, self.cfg)
+        return grid.static_cells(self.detections, self.base)
 
     @cached_property
     def bands(self) -> DataFrame:
-        return self._keep(outages.band_counts(self.grid, self.cfg), "bands")
+        return self._keep(outages.band_counts(self.grid, self.base), "bands")
 
     @cached_property
     def world(self) -> DataFrame:
@@ -80,16 +97,16 @@ class Workspace:
 
     @cached_property
     def strips(self) -> DataFrame:
-        return self._keep(outages.fine_strips(self.bands, self.gaps, self.cfg), "strips")
+        return self._keep(outages.fine_strips(self.bands, self.gaps, self.base), "strips")
 
     @cached_property
     def outages(self) -> DataFrame:
-        return self._keep(outages.outage_calendar(self.world, self.cfg), "outages")
+        return self._keep(outages.outage_calendar(self.world, self.base), "outages")
 
     # ---- harmonized series
     @cached_property
     def reclassed(self) -> DataFrame:
-        return grid.strip_reclass(self.grid, self.strips, self.cfg)
+        return grid.strip_reclass(self.grid, self.strips, self.base)
 
     @cached_property
     def daily_lazy(self) -> DataFrame:
@@ -192,7 +209,7 @@ class Workspace:
     # ---- live
     @cached_property
     def live(self) -> DataFrame:
-        return live.live_cell_days(self.feed, self.cfg)
+        return live.live_cell_days(self.feed, self.base)
 
     @cached_property
     def live_kept(self) -> DataFrame:
@@ -204,11 +221,11 @@ class Workspace:
 
     @cached_property
     def own_cells(self) -> DataFrame:
-        return grid.recorded_cells(self.detections, self.cfg)
+        return grid.recorded_cells(self.detections, self.base)
 
     def links(self, cell_days: DataFrame) -> DataFrame:
         return self.links_with(cell_days, self.own_cells)
 
     def links_with(self, cell_days: DataFrame, own: DataFrame) -> DataFrame:
-        inside = geo.cells_in_areas(cell_days, self.edges, self.cfg)
+        inside = geo.cells_in_areas(cell_days, self.edges, self.base)
         return geo.cell_area_link(inside, own, cell_days)

@@ -20,16 +20,21 @@ AREA_IN_PATH = r"/([^/]+)/[^/]+$"  # the folder a file lies in
 
 
 def _headers(spark: SparkSession, paths: list[str]) -> list[tuple[str, list[str]]]:
-    """Distinct header lines with their files, found in one distributed pass."""
-    lines = spark.read.text(paths).select(F.trim("value").alias("header"), F.col("_metadata.file_path").alias("file"))
-    rows = (
-        lines.filter(F.col("header").rlike(r"(^|,)latitude(,|$)"))
-        .distinct()
-        .groupBy("header")
-        .agg(F.sort_array(F.collect_set("file")).alias("files"))
-        .collect()
-    )
-    return [(row["header"], row["files"]) for row in rows]
+    """Distinct header lines with their files. Only the beginning of each file is read.
+
+    A file whose first line names no latitude is an error: its rows would be lost without a word.
+    """
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    files: dict[str, list[str]] = {}
+    for file in spark.read.text(paths).inputFiles():  # listed, not read
+        at = hadoop(file)
+        lines = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(at.getFileSystem(conf).open(at), "UTF-8"))
+        header = (lines.readLine() or "").strip("\ufeff \r")
+        lines.close()
+        if "latitude" not in [n.strip() for n in header.split(",")]:
+            raise ValueError(f"no header line with a latitude column in {file}")
+        files.setdefault(header, []).append(file)
+    return sorted((h, sorted(f)) for h, f in files.items())
 
 
 def _read_by_name(spark: SparkSession, paths: list[str], types: dict[str, str]) -> DataFrame:
@@ -46,7 +51,7 @@ def _read_by_name(spark: SparkSession, paths: list[str], types: dict[str, str])
         area = F.regexp_extract(F.col("_metadata.file_path"), AREA_IN_PATH, 1).alias("area")
         parts.append(part.select(*cols, area))
     if not parts:
-        raise ValueError("no header line with a latitude column in the given files")
+        raise ValueError("no files given")
     return reduce(DataFrame.unionByName, parts)
 
 
