@@ -1,30 +1,36 @@
-"""Synthetic areas with a known answer: the fine sensor sees exactly k times the coarse cell-days."""
+"""Areas with a known answer: a yearly wave of fire, and a fine sensor that sees k cells for each coarse one."""
 
 import datetime as dt
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
+WAVE_DAYS, WAVE_TOP = 60, 24
 
-def make_area(spark, area, cfg, k=3.0, kt=8.0, seed=0, season=(12, 1, 2), fine_off=(), yi0=90, xi0=80):
-    rng = np.random.default_rng(seed)
-    days = pd.date_range(cfg.coarse_start, cfg.record_end)
-    off = set(pd.DatetimeIndex(fine_off))
-    fine_start = pd.Timestamp(cfg.fine_start)
-    parts = []
-    for d in days:
-        m = int(rng.poisson(20 if d.month in season else 1))
-        t = int(round(m * (k / kt if d < fine_start else 1)))
-        v = int(round(m * k)) if d >= fine_start and d not in off else 0
-        for s, n, rows, shift in ((0, m, 5, 0), (2, t, 5, 0), (1, v, 7, 100)):
-            if n:
-                i = np.arange(n)
-                parts.append((np.full(n, d), yi0 + i % rows, xi0 + shift + i // rows, np.full(n, s)))
-    d, yi, xi, s = (np.concatenate(c) for c in zip(*parts))
-    pdf = pd.DataFrame({"d": pd.to_datetime(d).date, "yi": yi.astype("int32"), "xi": xi.astype("int32"), "s": s.astype("int32")})
-    df = spark.createDataFrame(pdf)
-    from pyspark.sql import functions as F
 
+def coarse_cells(days_, peak):
+    """Cells of each day: 2 to 6 by a fixed pattern, and a triangle of two months either side of the peak day of the year."""
+    away = np.abs((days_.dayofyear.to_numpy() - peak + 183) % 366 - 183)
+    wave = np.maximum(0, WAVE_TOP * (1 - away / WAVE_DAYS))
+    return (2 + np.arange(len(days_)) * 3 % 5 + wave).astype(int)
+
+
+def make_area(spark, area, cfg, k=2.5, kt=6.0, peak=12, fine_off=(), corner=(-60, 80)):
+    """Cells of the coarse sensor fill an 8-wide block at ``corner`` (row, column); those of the fine sensor another, 50 rows
+    further north; platform A alone sees what kt says before the fine era, and everything after it."""
+    days_ = pd.date_range(cfg.coarse_start, cfg.record_end)
+    m = coarse_cells(days_, peak)
+    fine = (days_ >= pd.Timestamp(cfg.fine_start)) & ~days_.isin(pd.DatetimeIndex(fine_off))
+    seen = {0: m, 1: np.where(fine, np.rint(m * k), 0), 2: np.where(days_ < pd.Timestamp(cfg.fine_start), np.rint(m * k / kt), m)}
+    parts = []
+    for s, n in seen.items():
+        n = n.astype(int)
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        parts.append(pd.DataFrame({
+            "d": np.repeat(days_.date, n), "yi": corner[0] + 50 * (s == 1) + nth // 8, "xi": corner[1] + nth % 8, "s": s,
+        }))
+    df = spark.createDataFrame(pd.concat(parts).astype({"yi": "int32", "xi": "int32", "s": "int32"}))
     return df.select(F.lit(area).alias("area"), "d", "yi", "xi", "s", F.lit(1).cast("bigint").alias("n"), F.lit(10.0).alias("frp"))
 
 
