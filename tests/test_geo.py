@@ -146,7 +146,7 @@ def test_names_match_without_case_accents_or_punctuation(spark):
         [(10, "Ivory Coast", "Côte d'Ivoire"), (11, "São Tomé", None), (12, "Eswatini", "x"), (13, "côte d’ivoire", None)],
         "feature_id int, admin string, name_long string")
     got = {r["area"]: (r["feature_id"], r["priority"]) for r in geo.name_match(areas, feats, ("admin", "name_long"), alias).collect()}
-    assert got == {1: (13, 1), 2: (11, 1), 4: (12, 1)}  # a first-column name beats a second-column one
+    assert got == {1: (13, 1), 2: (11, 1), 3: (None, None), 4: (12, 1)}  # a first-column name beats a second-column one
 
 
 def test_live_links_join_borders_and_own_record(spark, edges):
