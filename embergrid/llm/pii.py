@@ -12,10 +12,11 @@ from embergrid.llm import spans as S
 from embergrid.session import materialize
 
 # Fixed values of the base formats. Each starts at the first character of a run or where the last match ended, and
-# takes runs whole: the same matches as the plain patterns, in time linear in the text.
+# takes runs whole: the same matches as the plain patterns, in time linear in the text. Repeated groups are possessive, as
+# others recurse once per repetition and overflow the stack on very long runs.
 _MAIL = "[A-Za-z0-9._%+-]"
 BASE = {
-    "email": rf"(?:(?<!{_MAIL})|\G){_MAIL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "email": rf"(?:(?<!{_MAIL})|\G){_MAIL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
@@ -26,9 +27,9 @@ KINDS = list(BASE)
 _AT = r"(?:\x20?[\[(]\x20?at\x20?[\])]\x20?|\x20at\x20|\x20?@\x20?)"
 _DOT = r"(?:\x20?[\[(]\x20?dot\x20?[\])]\x20?|\x20dot\x20|\.)"
 GENERATORS = {
-    "email": rf"(?:(?<!{_MAIL})|\G)[A-Za-z0-9._%+-]++{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)+",
+    "email": rf"(?:(?<!{_MAIL})|\G)[A-Za-z0-9._%+-]++{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++",
     "phone": r"(?:\+|\()?[0-9][0-9\x20()./-]{5,}[0-9]",
-    "ip": r"(?:(?<![0-9A-Fa-f:])|\G)(?:[0-9A-Fa-f]{1,4}+:){3,}[0-9A-Fa-f]{1,4}+",
+    "ip": r"(?:(?<![0-9A-Fa-f:])|\G)(?:[0-9A-Fa-f]{1,4}+:){3,}+[0-9A-Fa-f]{1,4}+",
     "card": r"[0-9](?:[\x20./-]{0,2}[0-9])++",
 }
 _PHONE_WORDS = r"(?i)(?:tel|phone|call|mobile|fax|cell|whatsapp|telefon|móvil|anruf)[.:\x20]*$"

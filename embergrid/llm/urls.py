@@ -55,54 +55,65 @@ def _segments(path: Column, depth: int) -> Column:
 
 
 def path_templates(shapes: DataFrame, *, depth: int, min_children: int, variety: float) -> DataFrame:
-    """``shapes`` (host, segments, pages, ...) with ``template`` and ``parent``.
+    """``shapes`` (host, segments, pages, ...) with ``branch``: the templates from the host's root to the page's own.
 
     From the root down: where a host has at least ``min_children`` different segments below the same template, and
     these are at least ``variety`` of the pages there, the segment varies and becomes a wildcard.
     """
-    now = shapes.withColumn("template", F.lit("")).withColumn("parent", F.lit(""))
-    for level in range(1, depth + 2):
-        now = now.withColumn("segment", F.get("segments", F.lit(level - 1)))
+    now = shapes.withColumn("branch", F.array(F.lit("")))
+    for level in range(depth + 1):
+        now = now.withColumn("segment", F.get("segments", F.lit(level))).withColumn("template", F.element_at("branch", -1))
         children = now.filter("segment is not null").groupBy("host", "template", "segment").agg(F.sum("pages").alias("pages"))
         many = children.groupBy("host", "template").agg(F.count(F.lit(1)).alias("children"), F.sum("pages").alias("below")).filter(
             (F.col("children") >= min_children) & (F.col("children") >= variety * F.col("below"))
         ).select("host", "template", F.lit(True).alias("varies"))
         now = now.join(many, ["host", "template"], "left")
         step = F.concat("template", F.lit("/"), F.when(F.coalesce("varies", F.lit(False)), F.lit("*")).otherwise(F.col("segment")))
-        now = now.withColumn("parent", F.when(F.col("segment").isNotNull(), F.col("template")).otherwise(F.col("parent")))
-        now = now.withColumn("template", F.when(F.col("segment").isNotNull(), step).otherwise(F.col("template"))).drop("varies", "segment")
+        grown = F.when(F.col("segment").isNotNull(), F.concat("branch", F.array(step))).otherwise(F.col("branch"))
+        now = now.withColumn("branch", grown).drop("varies", "segment", "template")
     return now
 
 
-def template_purity(templates: DataFrame, *, prior: float, weight: float, z: float) -> DataFrame:
-    """(host, template, purity) from (host, template, parent, labelled, bad).
+def template_purity(tree: DataFrame, *, prior: float, weight: float, z: float, coverage: float) -> DataFrame:
+    """(host, segments, template, purity) from (host, segments, branch, pages, labelled, bad).
 
-    Labelled branches below one template whose share of bad pages lies within ``z`` standard errors of the share of all of
-    them are merged and judged together. Purity: (bad + weight x prior) / (labelled + weight).
+    Branches below one template whose share of bad pages lies within ``z`` standard errors of the share of all of them
+    are merged and judged together. Purity goes from the root down: (bad + weight x that of the branch above) / (labelled
+    + weight). A branch above speaks only if at least ``coverage`` of its pages are labelled; else what stands above it counts,
+    at last ``prior``. The page's own template always speaks.
     """
-    own = templates.groupBy("host", "template", "parent").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    family = own.groupBy("host", "parent").agg(F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
-    placed = own.join(family, ["host", "parent"])
-    share, pooled = F.col("bad") / F.col("labelled"), F.col("all_bad") / F.col("all_labelled")
-    error = F.sqrt(pooled * (1 - pooled) / F.col("labelled"))
-    placed = placed.withColumn("alike", F.when(F.col("labelled") > 0, F.abs(share - pooled) <= z * error + 1e-12).otherwise(F.lit(False)))
-    merged = placed.filter("alike").groupBy("host", "parent").agg(F.sum("labelled").alias("m_labelled"), F.sum("bad").alias("m_bad"))
-    joined = placed.join(merged, ["host", "parent"], "left")
-    n = F.when(F.col("alike"), F.col("m_labelled")).otherwise(F.col("labelled"))
-    bad = F.when(F.col("alike"), F.col("m_bad")).otherwise(F.col("bad"))
-    return joined.select("host", "template", ((bad + weight * prior) / (n + weight)).alias("purity"))
+    steps = tree.select("host", "segments", "pages", "labelled", "bad", F.posexplode("branch").alias("level", "node"), F.col("branch").alias("whole"))
+    steps = steps.withColumn("above", F.when(F.col("level") > 0, F.get("whole", F.col("level") - 1)).otherwise(F.lit(""))).drop("whole")
+    keys = ["host", "level", "above", "node"]
+    own = steps.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("pages", "labelled", "bad")])
+    family = own.groupBy("host", "level", "above").agg(F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
+    placed = own.join(family, ["host", "level", "above"])
+    share, pooled = F.try_divide("bad", "labelled"), F.try_divide("all_bad", "all_labelled")
+    error = F.sqrt(F.try_divide(pooled * (1 - pooled), F.col("labelled")))
+    placed = placed.withColumn("alike", F.coalesce(F.abs(share - pooled) <= z * error + 1e-12, F.lit(False)))
+    merged = placed.filter("alike").groupBy("host", "level", "above").agg(*[F.sum(c).alias(f"m_{c}") for c in ("pages", "labelled", "bad")])
+    joined = placed.join(merged, ["host", "level", "above"], "left")
+    judged = joined.select(*keys, *[F.when(F.col("alike"), F.col(f"m_{c}")).otherwise(F.col(c)).alias(c) for c in ("pages", "labelled", "bad")])
+    way = steps.select("host", "segments", *keys[1:]).join(judged, keys).groupBy("host", "segments").agg(
+        F.sort_array(F.collect_list(F.struct("level", "node", "pages", "labelled", "bad"))).alias("way")  # one per level
+    )
+    last = F.size("way") - 1
+    purity = F.aggregate("way", F.lit(float(prior)), lambda p, n: F.when(
+        (n["labelled"] >= coverage * n["pages"]) | (n["level"] == last), (n["bad"] + weight * p) / (n["labelled"] + weight)
+    ).otherwise(p))
+    return way.select("host", "segments", F.element_at("way", -1)["node"].alias("template"), purity.alias("purity"))
 
 
 def judge_urls(
     pages: DataFrame, rules: list[Rule], labels: DataFrame | None = None, *, depth: int = 6, min_children: int = 12, variety: float = 0.3,
-    weight: float = 4.0, z: float = 1.96, reject: float = 0.8, salts: int = 16,
+    weight: float = 4.0, z: float = 1.96, coverage: float = 0.5, reject: float = 0.8, salts: int = 16,
 ) -> DataFrame:
     """(page_id, host, path, rule, verdict, template, purity) of every page (page_id, url).
 
     The longest fitting rule decides. Pages that a rule decides are labelled examples; ``labels`` (page_id, bad 0/1) may
     add more. Every other page gets the verdict of its template: block if the smoothed share of bad pages among
-    the labelled ones of the template, or of the branches merged with it, is at least ``reject``, else allow. Without
-    evidence the share is that of all labelled pages, capped at one half, so unknown templates are allowed.
+    the labelled ones of the template (see :func:`template_purity`) is at least ``reject``, else allow. Without evidence the
+    share is that of all labelled pages, capped at one half, so unknown templates are allowed.
 
     Null addresses and those without :// have empty host, path and template. Repeated rows repeat; ties between rules
     go to the first by name; other columns are left out; an empty table gives no row.
@@ -129,8 +140,7 @@ def judge_urls(
     total = shapes.agg(F.sum("bad"), F.sum("labelled")).first()
     prior = min(0.5, (total[0] or 0) / (total[1] or 1))
     tree = materialize(path_templates(shapes, depth=depth, min_children=min_children, variety=variety), "url_templates")
-    purity = template_purity(tree, prior=prior, weight=weight, z=z)
-    known = tree.select("host", "segments", "template").join(purity, ["host", "template"])
+    known = template_purity(tree, prior=prior, weight=weight, z=z, coverage=coverage)
     known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = parsed.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(salts)).cast("int"))
     judged = salted.join(known, ["host", "segments", "salt"], "left")
