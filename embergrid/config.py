@@ -59,6 +59,9 @@ class Config:
     week_gap_days: int = 21
     top_weeks: int = 4
     top_unusual: int = 12
+    unusual_z: float = 2.0  # a month this far from normal...
+    unusual_share: float = 0.02  # ...that holds this share of a normal year...
+    unusual_min: float = 1.0  # ...and at least so many cell-days
 
     # maps
     map_cells: int = 20000

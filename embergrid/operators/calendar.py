@@ -50,12 +50,12 @@ def month_anomaly(months: DataFrame, normals: DataFrame) -> DataFrame:
 
 
 def unusual_months(anomalies: DataFrame, normals: DataFrame, cfg: Config) -> DataFrame:
-    """|z| >= 2 in months that hold at least 2 % of a normal year: strongest first, then oldest."""
+    """Months at least ``unusual_z`` from normal that hold ``unusual_share`` of a normal year: strongest first, then oldest."""
     year_total = normals.groupBy("area").agg(F.sum("mu").alias("normal_year"))
     order = Window.partitionBy("area").orderBy(F.abs("z2").desc(), "y", "mon")
     return (
         anomalies.join(year_total, "area")
-        .filter((F.abs("z") >= 2) & (F.col("mu") >= F.greatest(F.lit(1.0), 0.02 * F.col("normal_year"))))
+        .filter((F.abs("z") >= cfg.unusual_z) & (F.col("mu") >= F.greatest(F.lit(cfg.unusual_min), cfg.unusual_share * F.col("normal_year"))))
         .withColumn("z2", half_even(F.col("z"), 2))
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= cfg.top_unusual)

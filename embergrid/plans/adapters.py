@@ -27,6 +27,7 @@ TABLE_CONFIG = Config(
     static_min=2,
     static_weight=8.0,
     wide_span_deg=0.5,
+    unusual_z=1.5,  # among five complete years no sample z exceeds 1.79
 )
 
 

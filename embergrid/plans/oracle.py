@@ -198,7 +198,7 @@ TABLES: dict[str, str] = {
     "unusual_t": f"""SELECT area, row_number() OVER (PARTITION BY area ORDER BY abs(z2) DESC, y, mon) AS rank, y, mon, z2 AS z,
         {r('x', 1)} AS value, {r('mu', 1)} AS normal
       FROM (SELECT a.*, {r('a.z', 2)} AS z2 FROM anom_t a JOIN (SELECT area, sum(mu) AS total FROM normals_t GROUP BY area) b ON b.area = a.area
-            WHERE abs(a.z) >= 2 AND a.mu >= greatest(1e0, 0.02e0 * b.total)) QUALIFY rank <= 12""",
+            WHERE abs(a.z) >= 1.5e0 AND a.mu >= greatest(1e0, 0.02e0 * b.total)) QUALIFY rank <= 12""",
     "clim_t": f"""SELECT area, key, avg(x) AS mean, quantile_cont(x, 0.1) AS p10, quantile_cont(x, 0.5) AS p50, quantile_cont(x, 0.9) AS p90
       FROM (SELECT area, {key('d')} AS key, year(d) AS y, avg(h7) AS x FROM smooth_t
             WHERE year(d) BETWEEN {FIRST_FULL} AND {LAST_FULL} GROUP BY ALL) GROUP BY ALL""",

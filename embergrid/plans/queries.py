@@ -596,3 +596,6 @@ query("stream_complete_days", f"""SELECT d, yi, xi, n, {r('frp', 2)} AS frp FROM
     lambda w: rounded(streams.complete(w), 2, "frp")
 )
 query("stream_nowcast", _RANK)(lambda w: streams.nowcast(w).drop("status"))
+# the stream's window is made of whole days, back to seven days before the newest one kept
+SQL["stream_nowcast"] = SQL["nowcast_rank"].replace(oracle.TABLES["feed_t"], """SELECT * FROM feed_all_t WHERE CAST(ts AS DATE) >=
+    (SELECT CAST(max(ts) AS DATE) FROM feed_all_t WHERE confidence IN ('nominal', 'high', 'n', 'h')) - 7""")

@@ -27,13 +27,13 @@ def cell_days(detections: DataFrame) -> DataFrame:
     )
 
 
-def rolling_weeks(detections: DataFrame) -> DataFrame:
-    """Sliding seven-day windows by day: first_day, yi, xi, n, frp."""
-    return (
-        detections.groupBy(F.window("ts", "7 days", "1 day"), "yi", "xi")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("frp").alias("frp"))
-        .select(F.col("window.start").cast("date").alias("first_day"), "yi", "xi", "n", "frp")
-    )
+def rolling_weeks(day_cells: DataFrame, days: int = 7) -> DataFrame:
+    """Sliding windows of ``days`` days over the streamed day counts: first_day, yi, xi, n, frp.
+
+    The stream keeps one row per day and cell; windows are sums of days, so no detection is multiplied.
+    """
+    spread = day_cells.withColumn("first_day", F.explode(F.transform(F.sequence(F.lit(0), F.lit(days - 1)), lambda b: F.date_sub("d", b))))
+    return spread.groupBy("first_day", "yi", "xi").agg(F.sum("n").alias("n"), F.sum("frp").alias("frp"))
 
 
 def deduplicated(detections: DataFrame, key: str = "det_id") -> DataFrame:

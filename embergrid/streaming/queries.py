@@ -11,16 +11,13 @@ from embergrid.streaming import live as stream_live
 from embergrid.streaming.sink import latest, run_available
 
 
-def _source(w, since: str | None = None) -> DataFrame:
+def _source(w) -> DataFrame:
     schema = adapters.read(w.spark, w.dir, "events").schema
-    events = w.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(w.dir)
-    if since is not None:
-        events = events.filter(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
-    return adapters.as_feed(events)
+    return adapters.as_feed(w.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(w.dir))
 
 
-def _final(rows: DataFrame, day: str = "d") -> DataFrame:
-    return latest(rows, day, "yi", "xi")
+def _final(rows: DataFrame) -> DataFrame:
+    return latest(rows, "d", "yi", "xi")
 
 
 def cell_days(w) -> DataFrame:
@@ -45,8 +42,7 @@ def masked(w) -> DataFrame:
 
 
 def rolling(w) -> DataFrame:
-    stream = stream_live.rolling_weeks(stream_live.cleaned(_source(w), w.cfg))
-    return _final(run_available(stream, "update", "stream-weeks")[0], "first_day")
+    return stream_live.rolling_weeks(cell_days(w))
 
 
 def complete(w) -> DataFrame:
@@ -55,23 +51,36 @@ def complete(w) -> DataFrame:
     return run_available(stream, "append", "stream-complete")[0].drop("batch")
 
 
-def nowcast(w) -> DataFrame:
-    """After every micro-batch the window so far is ranked against past years."""
+def nowcast(w, home: str | None = None) -> DataFrame:
+    """After every micro-batch the feed's last 168 hours are ranked against past years.
+
+    The window slides with the newest day seen: a batch adds its day counts to one folder per day and reads only the
+    folders of the window. No event at all: no row.
+    """
     spark = w.spark
-    cells, ranks = scratch_path(spark, "nowcast-cells"), scratch_path(spark, "nowcast-ranks")
+    home = home or scratch_path(spark, "nowcast")
+    cells, ranks = f"{home}/cells", f"{home}/ranks"
     series, static = w.series, materialize(w.static, "static")
     own = materialize(w.own_cells, "own")
-    stream = stream_live.cell_days(stream_live.cleaned(_source(w, adapters.LIVE_FROM), w.cfg))
-    done: list[int] = []
-
-    def rank(rows: DataFrame, number: int) -> None:
-        rows.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{cells}/part={number}")
-        current = _final(spark.read.parquet(cells).drop("part"))
-        inside = w.links_with(current, own)
-        now = batch.nowcast_now(current, inside, static, w.areas)
-        ranked = batch.nowcast_rank(now, batch.nowcast_history(current, series, w.cfg), w.cfg)
-        ranked.write.mode("overwrite").parquet(f"{ranks}/number={number}")
-        done.append(number)
-
-    run_available(stream, "update", "stream-nowcast", rank)
-    return spark.read.parquet(f"{ranks}/number={max(done)}")
+    stream = stream_live.cell_days(stream_live.cleaned(_source(w), w.base))
+
+    def save(rows: DataFrame, number: int) -> None:
+        rows.withColumn("batch", F.lit(number)).write.mode("overwrite").partitionBy("d").parquet(f"{cells}/part={number}")
+
+    def rank(current: DataFrame) -> DataFrame:
+        now = batch.nowcast_now(current, w.links_with(current, own), static, w.areas)
+        return batch.nowcast_rank(now, batch.nowcast_history(current, series, w.cfg), w.cfg)
+
+    def step(rows: DataFrame, number: int) -> None:
+        save(rows, number)
+        seen = spark.read.option("basePath", cells).parquet(cells)
+        newest = seen.agg(F.max("d")).first()[0]  # from the folder names
+        if newest is None:
+            return
+        window = seen.filter(F.col("d") >= F.date_sub(F.lit(newest), adapters.FEED_HOURS // 24))
+        rank(materialize(_final(window.drop("part")), "nowcast_window")).write.mode("overwrite").parquet(f"{ranks}/last")
+
+    nothing = spark.createDataFrame([], "d date, yi int, xi int, n bigint, frp double")
+    rank(nothing).write.mode("overwrite").parquet(f"{ranks}/last")
+    run_available(stream, "update", "stream-nowcast", step, home=home)
+    return spark.read.parquet(f"{ranks}/last")

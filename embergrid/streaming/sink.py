@@ -10,14 +10,16 @@ from embergrid.session import scratch_path
 
 
 def run_available(
-    stream: DataFrame, mode: str, label: str, each: Callable[[DataFrame, int], None] | None = None
+    stream: DataFrame, mode: str, label: str, each: Callable[[DataFrame, int], None] | None = None, home: str | None = None
 ) -> tuple[DataFrame, list[dict]]:
     """(output rows with their batch number, progress reports).
 
-    A repeated batch overwrites its own folder, so a restart after a failure does not count twice.
+    ``home`` is the stream's own folder for rows and progress: called again with it, the stream goes on where it
+    stopped. A repeated batch overwrites its own folder, so a restart after a failure does not count twice. Without
+    ``home`` a scratch folder is used and the stream begins anew.
     """
     spark = stream.sparkSession
-    base = scratch_path(spark, label)
+    base = home or scratch_path(spark, label)
     out = f"{base}/rows"
     schema = stream.schema
 
@@ -35,8 +37,9 @@ def run_available(
     )
     query.awaitTermination()
     progress = [p if isinstance(p, dict) else p.jsonValue() if hasattr(p, "jsonValue") else dict(p) for p in query.recentProgress]
-    rows = spark.read.schema(schema).option("basePath", out).parquet(f"{out}/batch=*")
-    return spark.read.option("basePath", out).schema(f"{_ddl(rows)}, batch int").parquet(f"{out}/batch=*"), progress
+    # an empty folder of its own makes the output readable before the first batch
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{out}/batch=-1")
+    return spark.read.option("basePath", out).schema(f"{_ddl(stream)}, batch int").parquet(out), progress
 
 
 def _ddl(df: DataFrame) -> str:

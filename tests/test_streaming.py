@@ -90,6 +90,21 @@ def test_mask_and_rolling_windows(spark, folder):
     mask = spark.createDataFrame([(0, -1)], "yi int, xi int")
     out, _ = run_available(stream_live.cell_days(stream_live.masked(stream_live.cleaned(stream(), CFG), mask)), "update", "t-mask")
     assert {r["yi"] for r in out.collect()} == {1, 2}
-    weeks, _ = run_available(stream_live.rolling_weeks(stream_live.cleaned(stream(), CFG)), "update", "t-weeks")
-    got = {r["first_day"]: r["n"] for r in latest(weeks, "first_day", "yi", "xi").groupBy("first_day").agg(F.sum("n").alias("n")).collect()}
+    days, _ = run_available(stream_live.cell_days(stream_live.cleaned(stream(), CFG)), "update", "t-weeks")
+    weeks = stream_live.rolling_weeks(latest(days, "d", "yi", "xi"))
+    got = {r["first_day"]: r["n"] for r in weeks.groupBy("first_day").agg(F.sum("n").alias("n")).collect()}
     assert got[dt.date(2026, 1, 1)] == 48 and got[dt.date(2025, 12, 26)] == 24 and got[dt.date(2026, 1, 2)] == 24
+
+
+def test_a_stopped_stream_goes_on_without_counting_twice(spark, folder, tmp_path):
+    path, add, stream = folder
+    home = str(tmp_path / "home")
+    run = lambda: run_available(stream_live.cell_days(stream_live.cleaned(stream(), CFG)), "update", "t-restart", home=home)
+    assert run()[0].count() == 0  # nothing has come yet
+    add("a.parquet", rows(0, "2026-01-01 00:30", 40))
+    run()
+    add("b.parquet", rows(100, "2026-01-02 10:00", 40))
+    out, progress = run()
+    assert sum(p["numInputRows"] for p in progress) == 40  # the first file is not read again
+    got = {(r["d"], r["yi"], r["xi"]): r["n"] for r in latest(out, "d", "yi", "xi").collect()}
+    assert got == batch_days(spark, path)
