@@ -14,8 +14,8 @@ from embergrid.llm.components import components
 from embergrid.llm.records import arrow_step, ascii_lower, by_row
 from embergrid.session import materialize
 
-#: Odd multipliers that turn one shingle hash into one hash per lane; lane 0 keeps the hash itself.
-_LANE_FACTORS = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+#: Step between lanes and multipliers of the mixing (SplitMix64); lane 0 keeps the shingle hash itself.
+_LANE_STEP, _MIX = 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
 def shingle_hashes(text: str | None, words: int, seed: int) -> np.ndarray:
@@ -37,10 +37,10 @@ def fingerprint(hashes: np.ndarray, lane: int = 0) -> int:
     if not len(hashes):
         return 0
     if lane:
-        hashes = hashes * np.uint64(_LANE_FACTORS[lane])
-        hashes = hashes ^ (hashes >> np.uint64(29))
-        hashes = hashes * np.uint64(_LANE_FACTORS[-lane])
-        hashes = hashes ^ (hashes >> np.uint64(32))
+        hashes = hashes + np.uint64(lane * _LANE_STEP % 2**64)
+        hashes = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(_MIX[0])
+        hashes = (hashes ^ (hashes >> np.uint64(27))) * np.uint64(_MIX[1])
+        hashes = hashes ^ (hashes >> np.uint64(31))
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):  # bounded memory for very long texts
         part = hashes[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -186,22 +186,31 @@ def near_links(
 
 def near_copies(
     documents: DataFrame, *, words: int = 3, seed: int = 42, lanes: int = 1, max_bits: int = 3, shared: int = 5,
-    postings: int | None = None,
+    postings: int | None = None, verify_lanes: int | None = None, verify_bits: int = 0,
 ) -> DataFrame:
     """(area, f0, ..., component): every document (area, document) with the smallest area it is linked to.
 
     Documents with equal fingerprints are linked, as are those whose fingerprints differ in at most ``max_bits``
-    bits, directly or through others. Fingerprints are made distinct before the search, so copies of a text cost one
+    bits, directly or through others. With ``verify_lanes`` a link must also hold between wider fingerprints of so many
+    lanes, by at most ``verify_bits`` differing bits: about 84 of 512 for a similarity of 0.8. Fingerprints are made distinct before the search, so copies of a text cost one
     entry; a hot group is a count per fingerprint. Null, empty and blank texts share fingerprint zero and are
     linked like any other. Rows with a null area take part and get a component, but never name it; a component with no
     area at all gets null. Repeated rows repeat. Empty table: no row. Other columns are left out.
     """
     names = [f"f{k}" for k in range(lanes)]
-    rows = materialize(fingerprints(documents, words=words, seed=seed, lanes=lanes), "fingerprints")
-    least = materialize(rows.groupBy(*names).agg(F.min("area").alias("least")), "distinct_fingerprints")
+    wide = [f"f{k}" for k in range(lanes, verify_lanes or 0)]
+    rows = materialize(fingerprints(documents, words=words, seed=seed, lanes=max(lanes, verify_lanes or 0)), "fingerprints")
+    stars = [F.min(F.array(*names, *wide)).alias("wide")] if verify_lanes else []
+    least = materialize(rows.groupBy(*names).agg(F.min("area").alias("least"), *stars), "distinct_fingerprints")
     links = materialize(
         near_links(least, lanes=lanes, max_bits=max_bits, shared=shared, postings=postings), "near_links"
     )
+    if verify_lanes:
+        end = lambda side: least.select(F.array(*names).alias(side), F.col("wide").alias(f"wide_{side}"))
+        apart = F.aggregate(
+            F.zip_with("wide_u", "wide_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x
+        )
+        links = links.join(end("u"), "u").join(end("v"), "v").filter(apart <= verify_bits).select("u", "v")
     node = F.array(*names)
     roots = components(links)
     named = least.select(*names, "least", node.alias("u")).join(roots, "u", "left").select(
@@ -216,4 +225,4 @@ def near_copies(
     own = least.join(merged.withColumnRenamed("component", "other"), names, "left").select(
         *names, F.coalesce("other", "least").alias("component")
     )
-    return rows.join(own, names, "left")
+    return rows.select("area", *names).join(own, names, "left").select("area", *names, "component")
