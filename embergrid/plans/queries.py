@@ -87,6 +87,33 @@ query("analysis_document", f"""SELECT c.area, {r('tot', 0)} AS total_cell_days,
   LEFT JOIN (SELECT area, count(*) AS seasons FROM seasons_t GROUP BY area) e ON e.area = c.area
   JOIN starts_t q ON q.area = c.area""")(lambda w: documents.document_summary(roundtrips.analysis_documents(w)))
 
+query("read_coarse_archive", """SELECT area, count(*) AS rows, CAST(sum(conf_pct) AS BIGINT) AS confidence, count(*) FILTER (satellite = 'P1') AS platform_a
+  FROM det_t WHERE instrument = 'C' GROUP BY area""")(lambda w: roundtrips.coarse_archive(w))
+query("read_fine_archive", """SELECT area, count(*) AS rows, count(*) FILTER (conf_cls = 'h') AS high, max(acq_date) AS last_day
+  FROM det_t WHERE instrument = 'F' GROUP BY area""")(lambda w: roundtrips.fine_archive(w))
+query("read_live_feed", """SELECT acq_date, confidence, count(*) AS rows, CAST(max(hhmm) AS INT) AS latest FROM feed_t GROUP BY ALL""")(
+    lambda w: roundtrips.live_feed(w)
+)
+query("load_prior", f"""SELECT {r('fine / nullif(coarse, 0)', 4)} AS k, {r('f2 / nullif(a2, 0)', 4)} AS kt, 0.2e0 AS strip_deg
+  FROM (SELECT coalesce(sum(n) FILTER (s = 1), 0) AS fine, coalesce(sum(n) FILTER (s = 0), 0) AS coarse,
+    coalesce(sum(n) FILTER (s = 1 AND d < {oracle.DRIFT}), 0) AS f2, coalesce(sum(n) FILTER (s = 2 AND d < {oracle.DRIFT}), 0) AS a2
+    FROM kept_bands_t WHERE d >= {oracle.OVERLAP})""")(lambda w: roundtrips.loaded_prior(w))
+query("load_outages", """SELECT d, CAST(NULL AS INT) AS band, fine_out, coarse_out, b_out, unknown FROM outages_t
+  UNION ALL SELECT d, band, NULL, NULL, NULL, NULL FROM strips_t""")(lambda w: roundtrips.loaded_outages(w))
+query("write_grid", "SELECT area, s, count(*) AS cell_days, CAST(sum(n) AS BIGINT) AS detections, min(d) AS first_day FROM grid_t GROUP BY ALL")(
+    lambda w: roundtrips.written_grid(w)
+)
+query("write_map_layers", f"""SELECT t.layer, t.ty, t.tx, t.cells, q.max_value, t.cells AS in_tile FROM (
+    SELECT layer, CAST(floor(yi / 1e2) AS INT) AS ty, CAST(floor(xi / 1e2) AS INT) AS tx, count(*) AS cells FROM layers_t GROUP BY ALL) t
+  JOIN (SELECT layer, {r('quantile_cont(val, 0.99)', 2)} AS max_value FROM layers_t GROUP BY layer) q ON q.layer = t.layer""")(
+    lambda w: roundtrips.map_layers(w)
+)
+query("write_live_outputs", """SELECT 'index' AS part, count(*) AS rows, CAST(sum(cells) AS DOUBLE) AS total FROM (
+    SELECT floor(yi / 1e2) AS ty, floor(xi / 1e2) AS tx, count(*) AS cells FROM masked_t GROUP BY ALL)
+  UNION ALL SELECT 'overview', count(*), CAST(sum(n) AS DOUBLE) FROM (SELECT yi, xi, sum(n) AS n FROM masked_t GROUP BY ALL)""")(
+    lambda w: roundtrips.live_outputs(w)
+)
+
 # ------------------------------------------------------------------ projections and filters
 
 query("bin_cells", f"SELECT area, acq_date, {oracle.YI} AS yi, {oracle.XI} AS xi, frp FROM det_t")(

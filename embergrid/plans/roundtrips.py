@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from embergrid.operators import calendar, documents, geo, seasons, tiles, validate
+from embergrid.operators import calendar, documents, geo, outages, seasons, tiles, validate
 from embergrid.plans import adapters
 from embergrid.plans.workspace import Workspace
 from embergrid.session import scratch_path
-from embergrid.sources import borders, gazetteer, grids, packs
+from embergrid.sources import archives, borders, gazetteer, grids, packs, prior
 
 DIGITS, LETTERS = "0123456789", "abcdefghij"
 
@@ -96,3 +96,84 @@ def analysis_documents(w: Workspace) -> DataFrame:
         seasons.critical_period(w.timing, w.starts), seasons.top_weeks(w.climatology, w.cfg),
         calendar.yearly_totals(w.series, w.cfg), validate.reliability(w.r2, w.cv_median, w.cfg),
     )
+
+
+def _archive(w: Workspace, instrument: str, columns: dict[str, str]) -> str:
+    """Write the detections of one instrument as yearly CSV files, a folder per area; gives the file pattern."""
+    base = scratch_path(w.spark, f"archive_{instrument}")
+    rows = w.detections.filter(F.col("instrument") == instrument)
+    named = rows.select("area", F.year("acq_date").alias("y"), *[F.col(c).alias(name) for name, c in columns.items()])
+    for year in sorted(r["y"] for r in named.select("y").distinct().collect()):  # calendar years
+        named.filter(F.col("y") == year).drop("y").write.mode("append").partitionBy("area").option("header", True).csv(f"{base}")
+    return f"{base}/*/*.csv"
+
+
+def coarse_archive(w: Workspace) -> DataFrame:
+    names = {"longitude": "longitude", "latitude": "latitude", "acq_date": "acq_date", "satellite": "satellite", "confidence": "conf_pct", "frp": "frp", "type": "type"}
+    rows = archives.read_coarse_archive(w.spark, [_archive(w, w.base.coarse_name, names)])
+    return _by_archive_area(rows, F.sum("confidence").cast("bigint").alias("confidence"), F.count_if(F.col("satellite") == w.base.platform_a).alias("platform_a"))
+
+
+def fine_archive(w: Workspace) -> DataFrame:
+    names = {"latitude": "latitude", "longitude": "longitude", "acq_date": "acq_date", "confidence": "conf_cls", "frp": "frp", "type": "type"}
+    rows = archives.read_fine_archive(w.spark, [_archive(w, w.base.fine_name, names)])
+    return _by_archive_area(rows, F.count_if(F.col("confidence") == "h").alias("high"), F.max("acq_date").alias("last_day"))
+
+
+def _by_archive_area(rows: DataFrame, *aggregates) -> DataFrame:
+    area = F.regexp_extract("area", r"(\d+)$", 1).cast("int").alias("area")  # the folder is called area=<id>
+    return rows.groupBy(area).agg(F.count(F.lit(1)).alias("rows"), *aggregates)
+
+
+def live_feed(w: Workspace) -> DataFrame:
+    path = scratch_path(w.spark, "feed")
+    w.feed.select("latitude", "longitude", "acq_date", F.lpad(F.col("hhmm").cast("string"), 4, "0").alias("acq_time"), "confidence", "frp").write.option(
+        "header", True
+    ).csv(path)
+    rows = archives.read_live_feed(w.spark, path)
+    return rows.groupBy("acq_date", "confidence").agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("hhmm").cast("int")).alias("latest"))
+
+
+def _prior_file(w: Workspace) -> str:
+    path = scratch_path(w.spark, "prior")
+    prior.write_prior(outages.pooled_prior(w.bands, w.outages, w.strips, w.base), w.outages, w.strips, path, w.base)
+    return path
+
+
+def loaded_prior(w: Workspace) -> DataFrame:
+    """Ratios of the published document, as a configuration holds them."""
+    cfg = prior.load_prior(w.spark, _prior_file(w), w.base)
+    return w.spark.range(1).select(F.lit(cfg.prior_k).alias("k"), F.lit(cfg.prior_kt).alias("kt"), F.lit(cfg.strip_deg).alias("strip_deg"))
+
+
+def loaded_outages(w: Workspace) -> DataFrame:
+    calendar_, strips = prior.load_outages(w.spark, _prior_file(w), w.base)
+    days = calendar_.select("d", F.lit(None).cast("int").alias("band"), "fine_out", "coarse_out", "b_out", "unknown")
+    none = [F.lit(None).cast("boolean").alias(c) for c in ("fine_out", "coarse_out", "b_out", "unknown")]
+    return days.unionByName(strips.select("d", "band", *none))
+
+
+def written_grid(w: Workspace) -> DataFrame:
+    """The grid written at rest and read again."""
+    path = scratch_path(w.spark, "grid")
+    grids.write_grid(w.grid_lazy, path)
+    rows = grids.read_grid(w.spark, path)
+    return rows.groupBy("area", "s").agg(F.count(F.lit(1)).alias("cell_days"), F.sum("n").alias("detections"), F.min("d").alias("first_day"))
+
+
+def map_layers(w: Workspace) -> DataFrame:
+    path = scratch_path(w.spark, "layers")
+    packs.write_map_layers(w.published, path, w.cfg)
+    tiles_ = w.spark.read.schema("layer string, ty int, tx int, xi int, yi int, val double").json(f"{path}/tiles")
+    counted = tiles_.groupBy("layer", "ty", "tx").agg(F.count(F.lit(1)).alias("in_tile"))
+    index = w.spark.read.schema("layer string, ty int, tx int, cells bigint, max_value double").json(f"{path}/index")
+    return index.join(counted, ["layer", "ty", "tx"], "left")
+
+
+def live_outputs(w: Workspace) -> DataFrame:
+    path = scratch_path(w.spark, "live_outputs")
+    packs.write_live_outputs(w.live_masked, w.feed, w.links(w.live_masked), w.static, path, w.base)
+    index = w.spark.read.schema("ty int, tx int, cells bigint").json(f"{path}/index")
+    overview = w.spark.read.schema("f int, bx int, by int, val double").json(f"{path}/overview")
+    part = lambda df, name, total: df.agg(F.count(F.lit(1)).alias("rows"), F.sum(total).cast("double").alias("total")).withColumn("part", F.lit(name))
+    return part(index, "index", "cells").unionByName(part(overview, "overview", "val"))
