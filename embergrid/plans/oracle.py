@@ -309,21 +309,22 @@ TABLES["cv_t_t"] = _cv("t", PRIOR_KT, f" AND month < {DRIFT}")
 _NAMES = re.compile(r"\b[a-z0-9_]+_t\b")
 
 
-def sql(final: str) -> str:
-    """Prefix a SELECT with the blocks it needs, dependencies first."""
+def sql(final: str, **own: str) -> str:
+    """Prefix a SELECT with the blocks it needs, dependencies first; ``own`` adds blocks or puts others in their place."""
+    blocks_of = {**TABLES, **own}
     needed: list[str] = []
 
     def visit(text: str) -> None:
         for name in _NAMES.findall(text):
-            if name in TABLES and name not in needed:
-                visit(TABLES[name])
+            if name in blocks_of and name not in needed:
+                visit(blocks_of[name])
                 if name not in needed:
                     needed.append(name)
 
     visit(final)
-    blocks = ",\n".join(f"{n} AS ({TABLES[n]})" for n in needed)
+    blocks = ",\n".join(f"{n} AS ({blocks_of[n]})" for n in needed)
     if not blocks:
         return final
-    own = final.lstrip()
+    text = final.lstrip()
     # a SELECT with blocks of its own continues the list
-    return f"WITH {blocks},\n{own[5:]}" if own.startswith("WITH ") else f"WITH {blocks}\n{own}"
+    return f"WITH {blocks},\n{text[5:]}" if text.startswith("WITH ") else f"WITH {blocks}\n{text}"

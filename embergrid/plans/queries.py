@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from embergrid.functions import labels
 from embergrid.functions.numbers import half_even, settled
 from embergrid.operators import (
-    calendar, documents, geo, grid, harmonize, layers, live, outages, places, quantiles, seasons, tiles, validate,
+    boxes, calendar, documents, geo, grid, harmonize, layers, live, outages, places, quantiles, seasons, tiles, validate,
 )
 from embergrid.plans import adapters, oracle, roundtrips
 from embergrid.plans.oracle import r
 from embergrid.plans.workspace import Workspace
+from embergrid.session import materialize
 from embergrid.streaming import queries as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -539,6 +540,40 @@ query("tile_delta_decode", """SELECT d, s, count(*) AS cells FROM merged_t WHERE
     lambda w: tiles.decoded_daily(tiles.tile_delta_encode(w.grid_lazy, w.base), BOX, w.base)
 )
 
+# ------------------------------------------------------------------ drawn boxes
+
+_BOX_GRID = f"""SELECT b.aoi_id AS area, g.d, g.yi, g.xi, g.s, CAST(sum(g.n) AS BIGINT) AS n, sum(g.frp) AS frp FROM (
+    SELECT t.aoi_id, t.area, floor(s * 10) AS y0, ceil(n * 10) - 1 AS y1, floor(w * 10) AS x0, ceil(e * 10) - 1 AS x1
+    FROM ({TOUCH} UNION {EXTENT_TOUCH}) t JOIN boxes_t b ON b.aoi_id = t.aoi_id WHERE t.area % 4 <> 1) b
+  JOIN grid_t g ON g.area = b.area AND g.yi BETWEEN y0 AND y1 AND g.xi BETWEEN x0 AND x1 GROUP BY ALL"""
+_OF_BOXES = {
+    "box_grid_t": _BOX_GRID, "cat_t": "SELECT c_custkey AS area, '' AS name, true AS ready FROM customer",
+    "reclassed_t": oracle.TABLES["reclassed_t"].replace("FROM grid_t g", "FROM box_grid_t g"),
+}
+query("box_daily")(lambda w: grid.daily_totals(_box_cells(w)).groupBy("area").agg(
+    F.count(F.lit(1)).alias("days"), *[F.sum(c).cast("bigint").alias(c) for c in ("m", "v", "t", "mg", "m_det", "v_det", "t_det")]))
+SQL["box_daily"] = oracle.sql("""SELECT area, count(*) AS days, CAST(sum(m) AS BIGINT) AS m, CAST(sum(v) AS BIGINT) AS v, CAST(sum(t) AS BIGINT) AS t, CAST(sum(mg) AS BIGINT) AS mg,
+  CAST(sum(coalesce(m_det, 0)) AS BIGINT) AS m_det, CAST(sum(coalesce(v_det, 0)) AS BIGINT) AS v_det, CAST(sum(coalesce(t_det, 0)) AS BIGINT) AS t_det FROM daily_t GROUP BY area""", **_OF_BOXES)
+query("box_series")(lambda w: calendar.yearly_totals(_box_series(w), w.cfg))
+SQL["box_series"] = oracle.sql("SELECT area, CAST(y AS INT) AS y, m, v, h FROM yearly_t", **_OF_BOXES)
+
+
+def _box_cells(w: Workspace) -> DataFrame:
+    """Cell-days of every box from the ready areas it touches, with lost strips marked."""
+    ready = w.catalogue.filter("ready").select("area")
+    touches = geo.box_touches_area(w.boxes, w.edges).unionByName(_extent_touches(w)).join(ready, "area", "left_semi")
+    return grid.strip_reclass(boxes.box_cell_days(w.grid, w.boxes, touches, w.base), w.strips, w.base)
+
+
+def _box_series(w: Workspace) -> DataFrame:
+    """The harmonized daily series of every box: the steps of an area's series, from its own cells and ratios."""
+    aois = w.boxes.select(F.col("aoi_id").alias("area"))
+    days = harmonize.date_spine_join(grid.daily_totals(_box_cells(w)), aois, w.outages, w.cfg)
+    flagged = materialize(harmonize.flag_days(days, w.cfg), "box_days")
+    ratios = harmonize.fit_ratios(harmonize.monthly_sums(flagged, w.cfg), aois, w.cfg)
+    return harmonize.fill_no_record(harmonize.harmonize_daily(flagged, materialize(ratios, "box_ratios"), w.cfg))
+
+
 # ------------------------------------------------------------------ live and early warning
 
 query("live_cell_days", f"SELECT d, yi, xi, n, {r('frp', 2)} AS frp FROM live_t")(lambda w: rounded(w.live, 2, "frp"))
