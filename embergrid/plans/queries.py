@@ -56,8 +56,8 @@ def sql_list(expr: str, cond: str = "true") -> str:
 
 # ------------------------------------------------------------------ scans and sinks
 
-query("scan_grid", f"SELECT area, d, yi, xi, s, n, {r('frp', 2)} AS frp FROM grid_t WHERE area IN (3, 7, 11) AND yi BETWEEN -3 AND 2 AND xi BETWEEN -3 AND 1")(
-    lambda w: rounded(grid.scan_grid(w.grid_lazy, [3, 7, 11], BOX, w.base), 2, "frp")
+query("scan_grid", f"SELECT area, d, yi, xi, s, n, {r('CAST(frp AS FLOAT)', 0)} AS frp FROM grid_t WHERE area IN (3, 7, 11) AND yi BETWEEN -3 AND 2 AND xi BETWEEN -3 AND 1")(
+    lambda w: rounded(roundtrips.scanned_grid(w, [3, 7, 11], BOX), 0, "frp")
 )
 query("scan_with_provenance", "SELECT area, count(*) AS rows, CAST(sum(n) AS BIGINT) AS detections FROM grid_t GROUP BY area")(
     lambda w: roundtrips.provenance(w)

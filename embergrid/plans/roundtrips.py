@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from embergrid.operators import calendar, documents, geo, outages, seasons, tiles, validate
+from embergrid.operators import calendar, documents, geo, grid, outages, seasons, tiles, validate
 from embergrid.plans import adapters
 from embergrid.plans.workspace import Workspace
 from embergrid.session import scratch_path
@@ -153,6 +153,15 @@ def loaded_outages(w: Workspace) -> DataFrame:
     return days.unionByName(strips.select("d", "band", *none))
 
 
+def scanned_grid(w: Workspace, areas: list[int], box: tuple) -> DataFrame:
+    """A scan of the grid at rest: folders of other areas are not opened, the box's cell range reaches the files."""
+    path = scratch_path(w.spark, "grid")
+    grids.write_grid(w.grid_lazy, path)
+    rows = grid.scan_grid(grids.read_grid(w.spark, path), areas, box, w.base)
+    wide = {"yi": "int", "xi": "int", "s": "int", "n": "bigint", "frp": "double"}
+    return rows.select("area", "d", *[F.col(c).cast(t).alias(c) for c, t in wide.items()])
+
+
 def written_grid(w: Workspace) -> DataFrame:
     """The grid written at rest and read again."""
     path = scratch_path(w.spark, "grid")

@@ -53,3 +53,15 @@ def test_detections_cross_the_network_once(spark):
     plan = Workspace(spark, DIR).grid_lazy._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "partial_count" in plan
     assert "PushedFilters: [IsNotNull(l_suppkey)" in plan and "l_orderkey" not in plan
+
+
+def test_scan_of_the_grid_prunes_areas_and_pushes_the_box(spark):
+    from embergrid.plans import roundtrips
+
+    plan = roundtrips.scanned_grid(Workspace(spark, DIR), [3, 7], registry.BOX)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [area" in plan and "GreaterThanOrEqual(yi" in plan and "LessThanOrEqual(xi" in plan
+
+
+def test_small_queries_return_rows(spark):
+    for name in ("recent_unusual", "unusual_months", "box_touches_extent", "load_outages", "join_feeds"):
+        assert registry.QUERIES[name](spark, DIR).limit(1).count() == 1, name
