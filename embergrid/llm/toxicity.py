@@ -97,19 +97,23 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray | None, int]], *, rounds: int, s
 
 
 def train_toxicity(
-    documents: DataFrame, labels: DataFrame, *, sample_rows: int = 8000, rounds: int = 150, sparsity: float = 1e-3, fairness: float = 1.0,
+    documents: DataFrame, labels: DataFrame, *, sample_rows: int = 8000, rounds: int = 200, sparsity: float = 1e-3, fairness: float = 1.0,
 ) -> ToxicityModel:
     """Model from documents (area, document) and labels (area, toxic).
 
-    Fitted on a bounded sample of labelled rows: at most about ``sample_rows``, drawn by a hash of the text so that each
-    class gives up to half. Rows without label or text teach nothing. Without both classes the score is constant.
+    Fitted on a bounded sample of labelled rows: about ``sample_rows`` at most, drawn by a hash of the area so that each
+    class gives up to half. Rows without label or text teach nothing; labels without a document leave the sample smaller.
+    Without both classes the score is constant. The sample's areas, few by that bound, go to the documents as a
+    broadcast, so no text of another document moves.
     """
-    labelled = documents.select("area", "document").join(
-        labels.filter("toxic is not null").groupBy("area").agg(F.max("toxic").alias("toxic")), "area"
-    ).filter(F.col("document").isNotNull())
-    sizes = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    marked = labels.filter("area is not null and toxic is not null").groupBy("area").agg(F.max("toxic").alias("toxic"))
+    sizes = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.coalesce(*[F.when(F.col("toxic") == k, F.lit(sample_rows / 2 / n)) for k, n in sizes.items()], F.lit(0.0))
-    drawn = labelled.filter(F.pmod(F.xxhash64("document"), F.lit(1_000_003)) / 1_000_003.0 < share).select("document", "toxic").distinct()
+    chosen = marked.filter(F.pmod(F.xxhash64("area", F.lit(11)), F.lit(1_000_003)) / 1_000_003.0 < share)
+    drawn = (
+        documents.select("area", "document").filter(F.col("document").isNotNull()).join(F.broadcast(chosen), "area")
+        .select("document", "toxic").distinct()
+    )
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[int, ...]] = {}
