@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 
 from embergrid.llm.records import by_row
 
-_CACHE_ENTRIES = 500_000
+_CACHE_ENTRIES = 300_000
 
 
 class ByteBpe:
