@@ -70,7 +70,8 @@ def path_templates(shapes: DataFrame, *, depth: int, min_children: int, variety:
         now = now.join(many, ["host", "template"], "left")
         step = F.concat("template", F.lit("/"), F.when(F.coalesce("varies", F.lit(False)), F.lit("*")).otherwise(F.col("segment")))
         grown = F.when(F.col("segment").isNotNull(), F.concat("branch", F.array(step))).otherwise(F.col("branch"))
-        now = now.withColumn("branch", grown).drop("varies", "segment", "template")
+        # a short table; written level by level, its plan stays short too
+        now = materialize(now.withColumn("branch", grown).drop("varies", "segment", "template"), "url_branches")
     return now
 
 
@@ -139,7 +140,7 @@ def judge_urls(
     )
     total = shapes.agg(F.sum("bad"), F.sum("labelled")).first()
     prior = min(0.5, (total[0] or 0) / (total[1] or 1))
-    tree = materialize(path_templates(shapes, depth=depth, min_children=min_children, variety=variety), "url_templates")
+    tree = path_templates(shapes, depth=depth, min_children=min_children, variety=variety)
     known = template_purity(tree, prior=prior, weight=weight, z=z, coverage=coverage)
     known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = parsed.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(salts)).cast("int"))
