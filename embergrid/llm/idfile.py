@@ -28,28 +28,44 @@ class ChunkIds(dict):
     tokenizers cuts anyway. Texts with other white space go to the tokenizer whole.
     """
 
-    LIMIT = 600_000
+    LIMIT = 1_000_000
 
     def __init__(self, path: str):
-        import re
-
         from tokenizers import Tokenizer
 
         super().__init__()
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._crowded = re.compile(r"\s\s|\x00|^\s|\s$").search
+        self._line = np.array(self._tokenizer.encode("\n", add_special_tokens=False).ids, "<u4")
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _learn(self, chunks: list[str]) -> None:
+        """Encode new chunks in one text, a line each: a line end between other characters is a piece of its own."""
+        ids = np.array(self._tokenizer.encode("\n".join(chunks), add_special_tokens=False).ids, "<u4")
+        ends = [*(np.flatnonzero(ids == self._line[0]) * 4).tolist(), 4 * len(ids)]
+        raw, start = ids.tobytes(), 0
+        for chunk, end in zip(chunks, ends, strict=True):
+            self[chunk] = raw[start:end]
+            start = end + 4
+
+    @staticmethod
+    def _cut(text: str) -> list[str] | None:
+        """The chunks of a text; None if white space is not single blanks and line ends between other characters."""
+        words, gaps = text.split(), text.count(" ") + text.count("\n")
+        if "\0" in text or len(words) != gaps + 1 or sum(map(len, words)) + gaps != len(text):
+            return None
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self) > self.LIMIT:
             self.clear()
-        self[""] = b""
-        cut = [None if not t or self._crowded(t) else t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t in texts]
+        self.update({"": b"", "\n": self._line.tobytes()})
+        cut = [self._cut(t) if t else None for t in texts]
         fresh = list(set().union(*(c for c in cut if c)) - self.keys())
-        self.update(zip(fresh, self._whole(fresh)))
+        for i in range(0, len(fresh), 20_000):
+            self._learn(fresh[i : i + 20_000])
         rest = iter(self._whole([t for t, c in zip(texts, cut) if t and c is None]))
         return [b"".join(map(self.__getitem__, c)) if c else next(rest) if t else b"" for t, c in zip(texts, cut)]
 
