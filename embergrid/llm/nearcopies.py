@@ -139,6 +139,12 @@ def near_links(
         return packed
 
     listed = prints.select(*names, F.explode(F.array(*[key(i, s) for i, s in enumerate(sets)])).alias("key"))
+    return links_by_key(listed, lanes=lanes, max_bits=max_bits, shared=shared, block_rows=block_rows)
+
+
+def links_by_key(listed: DataFrame, *, lanes: int, max_bits: int, shared: int, block_rows: int = 50_000) -> DataFrame:
+    """(u, v): links between the fingerprints of (key, f0, ...) that connect what is within reach under each key."""
+    names = [f"f{k}" for k in range(lanes)]
     long = (
         listed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block_rows)
         .select("key", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
