@@ -33,25 +33,32 @@ def learn_languages(
 ) -> LanguageModel:
     """Dictionaries from labelled documents (area, document, lang).
 
-    A bounded sample is enough for a dictionary: about ``sample_documents`` documents of a language, drawn by a
-    hash of the text, give their first ``piece_chars`` characters until ``dictionary_bytes`` are full. Rows without a
-    language or text teach nothing; repeated texts are drawn once. No labelled row at all: a model without languages.
+    The texts of a language with the smallest hashes, copies counted once, give a piece of at most ``piece_chars``
+    characters each, from a hashed offset, until ``dictionary_bytes`` are full or its texts are used up; so every language
+    with a labelled letter has a dictionary. About ``sample_documents`` texts a language are read at first, eight times
+    as many as long as they don't fill it. Rows without a language or text teach nothing. No labelled row: a model without
+    languages.
     """
     labelled = documents.select("document", "lang").filter(
         F.col("lang").isNotNull() & F.col("document").isNotNull() & (F.col("document") != "")
     )
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(sample_documents / n)) for k, n in sizes.items()], F.lit(0.0))
-    draw = F.xxhash64("document")
-    drawn = (
-        labelled.filter(F.pmod(draw, F.lit(1_000_003)) / 1_000_003.0 < share)
-        .select("lang", draw.alias("h"), F.substring("document", 1, piece_chars).alias("piece")).distinct().collect()
-    )
+    h = F.xxhash64("document")
+    draw = F.shiftrightunsigned(h, 11) / float(2**53)
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count_distinct(h).alias("n")).collect()}
+    offset = F.pmod(F.xxhash64("document", F.lit(1)), F.greatest(F.length("document") - piece_chars + 1, F.lit(1))) + 1
+    piece = F.substr("document", offset.cast("int"), F.lit(piece_chars))
     texts: dict[str, bytes] = {}
-    for row in sorted(drawn, key=lambda r: (r["lang"], r["h"], r["piece"])):
-        have = texts.get(row["lang"], b"")
-        if len(have) < dictionary_bytes:
-            texts[row["lang"]] = (have + plain(row["piece"]) + b" ")[:dictionary_bytes]
+    shares = {k: sample_documents / n for k, n in sizes.items()}
+    while shares:
+        share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(x)) for k, x in shares.items()], F.lit(0.0))
+        drawn = labelled.filter(draw < share).select("lang", draw.alias("h"), piece.alias("piece")).distinct().collect()
+        texts |= dict.fromkeys(shares, b"")
+        for row in sorted(drawn, key=lambda r: (r["lang"], r["h"], r["piece"])):
+            have = texts[row["lang"]]
+            if len(have) < dictionary_bytes and (words := plain(row["piece"])):
+                texts[row["lang"]] = (have + words + b" ")[:dictionary_bytes]
+        shares = {k: 8 * x for k, x in shares.items() if x < 1 and len(texts[k]) < dictionary_bytes}
+    texts = {k: x for k, x in texts.items() if x}
     return LanguageModel(texts, level, block_bytes, min_margin)
 
 

@@ -153,3 +153,15 @@ def test_pipeline_on_planted_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/e/documents.parquet")
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/e/benchmark.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/e").count() == 0
+
+
+def test_languages_of_copied_or_short_texts_get_full_dictionaries(spark):
+    few = [(f"l{k}", f"{'abcdefghijkl'[k] * 3} word{k}x{n} tail") for k in range(12) for n in range(10)]
+    copies = spark.createDataFrame(few, "lang string, document string").crossJoin(spark.range(500)).select("document", "lang")
+    model = language.learn_languages(copies)
+    for k in range(12):  # each text once, however many copies of it there are
+        assert sorted(w for w in model.dictionaries[f"l{k}"].split() if w == b"tail") == [b"tail"] * 10
+    short = spark.range(20_000).selectExpr("concat('ein wort ', hex(xxhash64(id))) AS document", "'de' AS lang")
+    assert len(language.learn_languages(short).dictionaries["de"]) == 110_000
+    long = spark.createDataFrame([("x" + "a b " * 5000 + "zebra " * 5000, "en")] + [("a b " * 500 + "quagga " * 2000 + str(n), "en") for n in range(9)], "document string, lang string")
+    assert b"quagga" in language.learn_languages(long).dictionaries["en"]
