@@ -54,7 +54,7 @@ def by_row(df: DataFrame, column: str, produced: str, compute: Callable[[list],
     arrow = pa.schema([(f.name, _ARROW[f.dataType.simpleString()]) for f in made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):  # bounded memory
             new = compute(batch.column(batch.num_columns - 1).to_pylist())
             columns = batch.columns[:-1] + [pa.array(v, t) for v, t in zip(new, arrow.types, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names=keep + arrow.names)
