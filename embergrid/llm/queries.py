@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from embergrid.llm import bytebpe, decontaminate, idfile, language, nearcopies, pii, secret_scan, spans, topk, toxicity, urls
+from embergrid.llm import (
+    bytebpe, decontaminate, histories, idfile, language, nearcopies, oracle, pii, resample, secret_scan, shards, spans, topk, toxicity, urls,
+)
 from embergrid.session import materialize, scratch_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -99,6 +101,41 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("area"), F.col("text").alias("document"))
+    drawn = resample.resample(records(_table(spark, sf_dir, "documents")), targets, percent=25, min_words=20, seed=7, buckets=10_000)
+    return drawn.withColumnRenamed("area", "doc_id")
+
+
+def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shards.shard_documents(records(_table(spark, sf_dir, "documents")), shards=16)
+    return placed.withColumnRenamed("area", "doc_id").withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+def op13_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reports = _table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("area"), F.col("turn").alias("start_year"), F.col("role").alias("label"), F.col("text").alias("document")
+    )
+    tree = histories.history_tree(_rebuilt(histories.season_marks(reports)), reports.select("area"))
+    return tree.select(
+        F.col("area").alias("conv_id"), "depth", F.col("parent_area").alias("parent_conv_id"), F.col("n_areas").alias("n_convs"),
+        "n_children", "n_leaves", F.col("saved_chars").alias("saved_tokens"), "ends_sha256",
+    )
+
+
+def _rebuilt(marks: DataFrame) -> DataFrame:
+    """The contract's histories: the first h seasons of the area that ends in 00, then the area's own after its first h."""
+    heads = 5  # h is at most 5
+    order = Window.partitionBy("area").orderBy(F.asc_nulls_first("start_year"), "mark")
+    own = materialize(marks.withColumn("nth", F.row_number().over(order) - 1), "numbered")
+    h = F.pmod(F.crc32(F.col("area").cast("string")), F.lit(6))
+    base = own.filter((F.col("area") % 100 == 0) & (F.col("nth") < heads)).withColumnRenamed("area", "base")
+    grown = own.select("area").distinct().withColumn("base", F.col("area") - F.col("area") % 100)
+    head = grown.join(base, "base").filter(F.col("nth") < h)
+    tail = own.filter(F.col("nth") >= h).withColumn("nth", F.col("nth") + heads)
+    return head.select("area", "nth", "mark", "chars").unionByName(tail.select("area", "nth", "mark", "chars")).withColumnRenamed("nth", "start_year")
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_language": op2_language,
@@ -110,8 +147,14 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
+    "op11_resample": op11_resample,
+    "op12_shards": op12_shards,
+    "op13_histories": op13_histories,
 }
 SQL: dict[str, str] = {
+    "op11_resample": oracle.RESAMPLE,
+    "op12_shards": oracle.SHARDS,
+    "op13_histories": oracle.HISTORIES,
     "op5_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
