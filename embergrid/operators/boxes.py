@@ -7,23 +7,76 @@ from pyspark.sql import DataFrame, functions as F
 from embergrid.config import Config
 from embergrid.functions.cells import floor_div, in_tile
 from embergrid.operators.geo import bbox_cells
+from embergrid.operators.grid import scan_areas
+from embergrid.operators.live import over_window, window_days
+from embergrid.session import materialize
+
+
+def box_tiles(boxes: DataFrame, tile: int, cfg: Config) -> DataFrame:
+    """(aoi_id, y0, y1, x0, x1, ty, tx, whole): the tiles each box reaches, and whether it covers the tile."""
+    span = lambda lo, hi: F.explode(F.sequence(floor_div(F.col(lo), tile), floor_div(F.col(hi), tile)))
+    covered = lambda at, lo, hi: (F.col(at) * tile >= F.col(lo)) & ((F.col(at) + 1) * tile - 1 <= F.col(hi))
+    spread = bbox_cells(boxes, cfg).withColumn("ty", span("y0", "y1")).withColumn("tx", span("x0", "x1"))
+    return spread.withColumn("whole", covered("ty", "y0", "y1") & covered("tx", "x0", "x1"))
+
+
+def _placed(cells: DataFrame, tile: int) -> DataFrame:
+    ty, tx, _ = in_tile(F.col("yi"), F.col("xi"), tile)
+    return cells.withColumns({"ty": ty, "tx": tx})
+
+
+def _in_box():
+    return F.col("yi").between(F.col("y0"), F.col("y1")) & F.col("xi").between(F.col("x0"), F.col("x1"))
 
 
 def box_cell_days(cells: DataFrame, boxes: DataFrame, touches: DataFrame, cfg: Config) -> DataFrame:
     """(area, d, yi, xi, s, n, frp) with the box id as area: the cells of each box (aoi_id, w, s, e, n) as recorded by the
     areas it touches (aoi_id, area); a cell-day that several areas recorded counts once, with their sums.
 
-    Boxes meet cells by area and map tile, so a box pairs with the tiles it covers only. A box without a recorded cell has no
+    Boxes meet cells by area and map tile, so a box pairs with the tiles it covers only. If ``cells`` is a grid at rest, only
+    the folders of touched areas are read. A box without a recorded cell has no
     row here and gets its calendar from the date spine.
     """
-    t = cfg.map_tile
-    span = lambda lo, hi: F.explode(F.sequence(floor_div(F.col(lo), t), floor_div(F.col(hi), t)))
-    wanted = bbox_cells(boxes, cfg).join(touches.select("aoi_id", "area").distinct(), "aoi_id")
-    wanted = wanted.withColumn("ty", span("y0", "y1")).withColumn("tx", span("x0", "x1"))
-    ty, tx, _ = in_tile(F.col("yi"), F.col("xi"), t)
-    placed = cells.withColumns({"ty": ty, "tx": tx})
-    inside = placed.join(wanted, ["area", "ty", "tx"]).filter(
-        F.col("yi").between(F.col("y0"), F.col("y1")) & F.col("xi").between(F.col("x0"), F.col("x1"))
-    )
+    wanted = box_tiles(boxes, cfg.map_tile, cfg).join(touches.select("aoi_id", "area").distinct(), "aoi_id")
+    wanted = materialize(wanted, "box_tiles").filter("y0 <= y1 and x0 <= x1")
+    inside = _placed(scan_areas(cells, wanted), cfg.map_tile).join(wanted, ["area", "ty", "tx"]).filter(_in_box())
     merged = inside.groupBy("aoi_id", "d", "yi", "xi", "s").agg(F.sum("n").alias("n"), F.sum("frp").alias("frp"))
     return merged.withColumnRenamed("aoi_id", "area")
+
+
+def box_nowcast_now(cell_days: DataFrame, boxes: DataFrame, touches: DataFrame, static: DataFrame, cfg: Config) -> DataFrame:
+    """``nowcast_now`` of many drawn boxes (aoi_id, w, s, e, n) at once, the box id as area: (area, d, cells, total, frp).
+
+    A box counts the live cell-days among its grid cells, on every calendar day of the window, 0-filled; a cell that
+    any of the ready areas it touches (``touches``: aoi_id, area) calls industrial (``static``: area, yi, xi) is masked for it.
+    A box without a live cell, or that touches no area at all, has its rows with 0.
+
+    Interval index: live cell-days are summed per tile and day first. A tile that a box covers adds its sums, only tiles on
+    the box's rim are read cell by cell, and masked cells, which are few, are subtracted; so a large box costs its
+    tiles, not its cells, and a tile that every box wants is a handful of rows.
+    """
+    days = window_days(cell_days)
+    inside = _placed(cell_days.join(F.broadcast(days), "d", "left_semi"), cfg.box_tile)  # the feed's days
+    wanted = box_tiles(boxes, cfg.box_tile, cfg)
+    sums = inside.groupBy("ty", "tx", "d").agg(F.count(F.lit(1)).alias("cells"), F.sum("frp").alias("frp"))
+    covered = wanted.filter("whole").join(sums, ["ty", "tx"]).select("aoi_id", "d", "cells", "frp")
+    rim = wanted.filter("not whole").join(inside, ["ty", "tx"]).filter(_in_box()).select(
+        "aoi_id", "d", F.lit(1).cast("bigint").alias("cells"), "frp"
+    )
+    alive = inside.select("yi", "xi").distinct()
+    industrial = _placed(static.select("area", "yi", "xi").join(alive, ["yi", "xi"], "left_semi"), cfg.box_tile)
+    of_touched = wanted.join(touches.select("aoi_id", "area").distinct(), "aoi_id")
+    masked = industrial.join(of_touched, ["area", "ty", "tx"]).filter(_in_box()).select("aoi_id", "yi", "xi").distinct()
+    taken = masked.join(inside, ["yi", "xi"]).select("aoi_id", "d", F.lit(-1).cast("bigint").alias("cells"), (-F.col("frp")).alias("frp"))
+    per_day = covered.unionByName(rim).unionByName(taken).groupBy(F.col("aoi_id").alias("area"), "d").agg(
+        F.sum("cells").alias("cells"), F.sum("frp").alias("frp")
+    )
+    return over_window(per_day, days, boxes.select(F.col("aoi_id").alias("area")))
+
+
+def box_layer_cells(layers: DataFrame, boxes: DataFrame, touches: DataFrame, cfg: Config) -> DataFrame:
+    """(aoi_id, layer, xi, yi, val): the cells of map layers (layer, area, xi, yi, val) inside each box, as the ready areas it
+    touches have them; the larger value where areas share a cell."""
+    wanted = box_tiles(boxes, cfg.map_tile, cfg).join(touches.select("aoi_id", "area").distinct(), "aoi_id")
+    inside = _placed(layers, cfg.map_tile).join(wanted, ["area", "ty", "tx"]).filter(_in_box())
+    return inside.groupBy("aoi_id", "layer", "xi", "yi").agg(F.max("val").alias("val"))

@@ -13,7 +13,7 @@ from embergrid.functions.cells import box_cells
 
 UNITS = 10_000  # per degree
 CHUNK = 64  # columns per span piece
-ROW = 1_000  # latitude bucket of the point test
+BUCKET = 2_500  # bucket side of the point test
 BLOCK = 10_000  # bucket side of the box test
 
 
@@ -71,26 +71,70 @@ def cells_in_areas(cells: DataFrame, edges: DataFrame, cfg: Config) -> DataFrame
     return hit.select("area", "yi", "xi").distinct()
 
 
-def points_in_areas(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """(point_id, area) for arbitrary points (point_id, x, y in border units).
+def slab_map(edges: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """Borders cut into square buckets: row, col, area, poly, inside, xl, yl, xh, yh (an edge from its lower to its upper end).
 
-    Edges meet points through latitude buckets; only edges a ray to the right crosses, or that hold the
-    point, leave the join. Parity per polygon decides, a point on an edge is inside.
+    Coordinates are doubled, so bucket sides run at odd numbers and never meet a vertex. ``inside`` tells whether the
+    bucket's lower left corner lies in the polygon. Every edge is listed in the buckets it touches; a bucket that no edge
+    touches has one row, without an edge, if it lies in the polygon, and none if it lies outside. The size is bounded by the
+    borders and the land they enclose, whatever the points.
     """
-    e = edges.withColumn(
-        "row", F.explode(F.sequence(_fdiv(F.least("y1", "y2"), ROW), _fdiv(F.greatest("y1", "y2"), ROW)))
+    up = F.col("y1") <= F.col("y2")
+    pick = lambda low, high: 2 * F.when(up, F.col(low)).otherwise(F.col(high))
+    e = edges.select("area", "poly", pick("x1", "x2").alias("xl"), pick("y1", "y2").alias("yl"), pick("x2", "x1").alias("xh"), pick("y2", "y1").alias("yh"))
+    size = 2 * bucket
+    at = lambda v: _fdiv(v + 1, size)  # noqa: E731  the bucket of a doubled coordinate
+    base = F.col("row") * size - 1
+    den, width = F.col("yh") - F.col("yl"), F.col("xh") - F.col("xl")
+
+    by_row = e.withColumn("row", F.explode(F.sequence(at(F.col("yl")), at(F.col("yh")))))
+    # columns an edge touches in a row, one unit of slack: an edge listed too often is never counted
+    part = lambda y: F.col("xl") + F.when(den > 0, width * ((y - F.col("yl")) / den)).otherwise(F.lit(0.0))
+    a, b = part(F.greatest(base, F.col("yl"))), F.when(den > 0, part(F.least(base + size, F.col("yh")))).otherwise(F.col("xh"))
+    pieces = by_row.withColumn("col", F.explode(F.sequence(at(F.floor(F.least(a, b)) - 1), at(F.ceil(F.greatest(a, b)) + 1))))
+
+    # corners: each edge that crosses a bucket row's lower side turns all corners to its right
+    crossing = by_row.filter((F.col("yl") < base) & (F.col("yh") > base))
+    num = F.col("xl") * den + width * (base - F.col("yl"))
+    exact = F.pmod(num + den, den * size) == 0
+    first = _fdiv(num + den, den * size) + F.when(exact & (width < 0), 0).otherwise(1)
+    order = Window.partitionBy("area", "poly", "row").orderBy("first")
+    corners = (
+        crossing.withColumn("first", first)
+        .select("area", "poly", "row", F.row_number().over(order).alias("rn"), F.col("first").alias("c0"), (F.lead("first").over(order) - 1).alias("c1"))
+        .filter("rn % 2 = 1 and c0 <= c1")
+        .select("area", "poly", "row", F.explode(F.sequence("c0", "c1")).alias("col"), F.lit(1).alias("corner"))
     )
-    p = points.select("point_id", "x", "y").distinct().withColumn("row", _fdiv(F.col("y"), ROW))
-    x, y, x1, y1, x2, y2 = (F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2"))
-    cross = (x - x1) * (y2 - y1) - (x2 - x1) * (y - y1)
-    on = (cross == 0) & x.between(F.least(x1, x2), F.greatest(x1, x2)) & y.between(F.least(y1, y2), F.greatest(y1, y2))
-    straddles = (y1 > y) != (y2 > y)
-    crossed = straddles & F.when(y2 > y1, cross < 0).otherwise(cross > 0)
-    hits = p.join(e, "row").withColumns({"on": on, "crossed": crossed}).filter("on or crossed")
+    key = ["area", "poly", "row", "col"]
+    return pieces.join(corners, key, "full").select(*key, F.coalesce("corner", F.lit(0)).alias("inside"), "xl", "yl", "xh", "yh")
+
+
+def points_in_areas(points: DataFrame, edges: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(point_id, area) for arbitrary points (point_id, x, y in border units); a point on a border is inside.
+
+    Points meet the edges of their bucket only. From the bucket's corner a path leads up its left side and then to the
+    right to the point; the edges it crosses turn the corner's side into the point's. All tests are in whole numbers.
+    """
+    p = points.select("point_id", "x", "y").distinct().select(
+        "point_id", (2 * F.col("x")).alias("x"), (2 * F.col("y")).alias("y"), _fdiv(F.col("x"), bucket).alias("col"), _fdiv(F.col("y"), bucket).alias("row")
+    )
+    x, y, xl, yl, xh, yh = (F.col(c) for c in ("x", "y", "xl", "yl", "xh", "yh"))
+    left, base = F.col("col") * (2 * bucket) - 1, F.col("row") * (2 * bucket) - 1
+    den, width = yh - yl, xh - xl
+    cross = (x - xl) * den - width * (y - yl)
+    on = (cross == 0) & x.between(F.least(xl, xh), F.greatest(xl, xh)) & y.between(yl, yh)
+    # a hair above the point's height, so a vertex at that height belongs to one of its edges
+    right_of_side = width * (y - yl) - (left - xl) * den
+    rightwards = (yl <= y) & (yh > y) & ((right_of_side > 0) | ((right_of_side == 0) & (width > 0))) & (cross > 0)
+    rise = den * (left - xl)  # over width: height above the lower end at which the edge meets the left side
+    signed = lambda h: F.when(width > 0, (h - yl) * width - rise).otherwise(rise - (h - yl) * width)  # noqa: E731  > 0: h is above that
+    upwards = (F.least(xl, xh) < left) & (F.greatest(xl, xh) > left) & (signed(base) < 0) & (signed(y) >= 0)
+    turns = F.coalesce(rightwards.cast("int"), F.lit(0)) + F.coalesce(upwards.cast("int"), F.lit(0))
     return (
-        hits.groupBy("point_id", "area", "poly")
-        .agg(F.bool_or("on").alias("on"), F.count_if(F.col("crossed")).alias("n"))
-        .filter("on or n % 2 = 1")
+        p.join(slab_map(edges, bucket), ["row", "col"])
+        .groupBy("point_id", "area", "poly")
+        .agg(F.max("inside").alias("corner"), F.coalesce(F.bool_or(on), F.lit(False)).alias("on"), F.sum(turns).alias("turns"))
+        .filter("on or (corner + turns) % 2 = 1")
         .select("point_id", "area")
         .distinct()
     )

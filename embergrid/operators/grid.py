@@ -112,6 +112,12 @@ def scan_grid(grid: DataFrame, areas: list | None = None, bbox: tuple | None = N
     return out
 
 
+def scan_areas(grid: DataFrame, areas: DataFrame) -> DataFrame:
+    """Rows of a grid at rest (a folder per area) for the areas of a table. Their list, which the catalogue bounds, is broadcast
+    and prunes the folders when the scan starts; it must come from a plan with a filter, else Spark doesn't prune."""
+    return grid.join(F.broadcast(areas.select("area").distinct()), "area", "left_semi")
+
+
 def cell_bounds(bbox: tuple, cfg: Config) -> tuple[int, int, int, int]:
     """Inclusive (y0, y1, x0, x1) of a box given as plain numbers."""
     import math

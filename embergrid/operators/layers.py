@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from embergrid.config import Config
 from embergrid.functions.cells import cell_index, floor_div, in_tile
 from embergrid.functions.dates import day
 from embergrid.functions.numbers import half_even
 from embergrid.operators.quantiles import grouped_quantile
+from embergrid.session import materialize
 
 
 def area_ratios(ratios: DataFrame) -> DataFrame:
@@ -170,35 +171,72 @@ def viewport_cells(cells: DataFrame, bbox: tuple, cfg: Config, margin: bool = Fa
 
 
 def coarsen(cells: DataFrame, limit: int, how: str = "mean", keys: tuple[str, ...] = ()) -> DataFrame:
-    """Merge f x f blocks, f the smallest side that leaves at most ``limit`` squares per key.
+    """Merge f x f blocks, f the smallest side that leaves at most ``limit`` squares per key: keys, f, bx, by, val.
 
-    Every candidate f is counted in one job: a block holds at most f*f cells, so f starts at
-    sqrt(n / limit); the extent gives an f that surely fits: with f beyond span / (sqrt(limit) - 1) each axis has at
-    most sqrt(limit) blocks, as span cells touch at most ceil(span / f) + 1 of them. Returns keys, f, bx, by, val.
+    A pyramid gives the answer: blocks of side 1, 2, 4, ... come from the level below, only for the keys that do not fit
+    yet. The first power of two that fits bounds f from above. A side is ruled out when some level has more blocks than
+    ``limit`` squares of that side can meet (a square of side f meets f / g blocks of side g an axis if g divides f, one if f
+    divides g, at most floor((f - 1) / g) + 2 otherwise). Only what is left is tried, each side from the coarsest level that
+    divides it, and the squares of the answer come from that level too.
     """
     if limit < 4:
         raise ValueError("cells on both sides of the origin's corner need 4 squares whatever their size")
-    k = [*keys, "_all"] if not keys else list(keys)
-    src = cells.withColumn("_all", F.lit(0)) if not keys else cells
-    span = F.greatest(F.max("xi") - F.min("xi"), F.max("yi") - F.min("yi")) + 1
-    sizes = src.groupBy(*k).agg(F.count(F.lit(1)).alias("n"), span.alias("span"))
-    fits = F.col("n") <= limit
-    lo = F.when(fits, 1).otherwise(F.greatest(F.lit(2), F.ceil(F.sqrt(F.col("n") / limit)))).cast("int")
-    hi = F.when(fits, 1).otherwise(F.ceil(F.col("span") / (math.isqrt(limit) - 1))).cast("int")
-    ranges = sizes.select(*k, lo.alias("lo"), F.greatest(lo, hi).alias("hi"))
-    bx, by = F.floor(F.col("xi") / F.col("f")).cast("int"), F.floor(F.col("yi") / F.col("f")).cast("int")
-    tried = (
-        src.join(F.broadcast(ranges), k)  # one row per layer
-        .select(*k, "xi", "yi", F.explode(F.sequence("lo", "hi")).alias("f"))
-        .select(*k, "f", bx.alias("bx"), by.alias("by"))
-        .distinct()
-        .groupBy(*k, "f")
-        .agg(F.count(F.lit(1)).alias("blocks"))
-        .filter(F.col("blocks") <= limit)
-        .groupBy(*k)
-        .agg(F.min("f").alias("f"))
+    k = list(keys) or ["_all"]
+    src = cells if keys else cells.withColumn("_all", F.lit(0))
+    side, levels, sizes = 1, [], []
+    blocks = src.groupBy(*k, F.col("xi").alias("bx"), F.col("yi").alias("by")).agg(F.sum("val").alias("val"))
+    while True:
+        level = materialize(blocks, "blocks")
+        size = materialize(level.groupBy(*k).agg(F.count(F.lit(1)).alias("blocks")), "block_counts")
+        levels.append(level.withColumn("g", F.lit(side)))
+        sizes.append(size.withColumn("g", F.lit(side)))
+        crowded = size.filter(F.col("blocks") > limit)
+        if crowded.isEmpty():
+            break
+        half = lambda c: floor_div(F.col(c), 2).alias(c)
+        blocks = level.join(crowded.select(*k), k, "left_semi").groupBy(*k, half("bx"), half("by")).agg(F.sum("val").alias("val"))
+        side *= 2
+    level, size = reduce(DataFrame.unionByName, levels), reduce(DataFrame.unionByName, sizes)
+
+    known = size.groupBy(*k).agg(F.max("g").alias("fits"), F.collect_list(F.struct("g", "blocks")).alias("known"))  # a row per level
+    left = known.withColumn("f", F.explode(F.filter(
+        F.sequence(F.lit(1), F.col("fits")), lambda f: (f == F.col("fits")) | ~F.exists("known", lambda x: _too_many(f, x, limit))
+    ))).drop("known")
+    tried = left.filter("f < fits").select(*k, "f", _divisor(F.col("f")).alias("g"))
+    meets = (
+        level.join(tried, [*k, "g"]).select(*k, "f", *_merged_into("f"))
+        .distinct().groupBy(*k, "f").agg(F.count(F.lit(1)).alias("blocks")).filter(F.col("blocks") <= limit)
     )
-    total = F.sum("val")
-    value = total / (F.col("f") * F.col("f")) if how == "mean" else total
-    merged = src.join(F.broadcast(tried), k).groupBy(*k, "f", bx.alias("bx"), by.alias("by")).agg(value.alias("val"))
-    return merged.drop("_all")
+    best = meets.select(*k, "f").unionByName(left.filter("f = fits").select(*k, "f")).groupBy(*k).agg(F.min("f").alias("f"))
+    best = materialize(best.withColumn("g", _divisor(F.col("f"))), "sides")
+    merged = level.join(best, [*k, "g"]).groupBy(*k, "f", *_merged_into("f")).agg(F.sum("val").alias("total"))
+    val = F.col("total") / (F.col("f") * F.col("f")) if how == "mean" else F.col("total")
+    return merged.select(*keys, "f", "bx", "by", val.alias("val"))
+
+
+def _too_many(f: Column, level: Column, limit: int) -> Column:
+    """Whether a pyramid level (g, blocks) proves that squares of side f are more than ``limit``."""
+    g = level["g"]
+    met = F.when(f % g == 0, F.floor(f / g)).when(g % f == 0, 1).otherwise(F.floor((f - 1) / g) + 2)
+    return level["blocks"] > met * met * limit
+
+
+def _divisor(f: Column) -> Column:
+    """Largest power of two that divides f."""
+    return f.bitwiseAND(-f)
+
+
+def _merged_into(f: str) -> list[Column]:
+    """Blocks of level ``g`` -> squares of side ``f``."""
+    step = F.col(f) / F.col("g")
+    return [F.floor(F.col(c) / step).cast("int").alias(c) for c in ("bx", "by")]
+
+
+def coarsened_map(cells: DataFrame, limit: int, cfg: Config, how: str = "mean", keys: tuple[str, ...] = ()) -> DataFrame:
+    """``coarsen`` with what a map needs besides: cell (side of a square in degrees) and max (its colour scale, the 99th
+    percentile of the key's squares, of which there are at most ``limit``)."""
+    squares = coarsen(cells, limit, how, keys)
+    whole = Window.partitionBy(*(keys or [F.lit(0)]))
+    return squares.withColumns({
+        "cell": F.col("f") / float(cfg.cell), "max": half_even(F.expr("percentile(val, 0.99)").over(whole), 2),
+    })

@@ -137,6 +137,11 @@ def nowcast_now(cell_days: DataFrame, links: DataFrame, static: DataFrame, areas
         .join(static.select("area", "yi", "xi"), ["area", "yi", "xi"], "left_anti")
     )
     per_day = inside.groupBy("area", "d").agg(F.count(F.lit(1)).alias("cells"), F.sum("frp").alias("frp"))
+    return over_window(per_day, days, areas)
+
+
+def over_window(per_day: DataFrame, days: DataFrame, areas: DataFrame) -> DataFrame:
+    """Counts (area, d, cells, frp) 0-filled over the window's ``days`` for every area, with its totals."""
     listed = days.agg(F.collect_list("d").alias("ds"))
     spine = areas.select("area").join(F.broadcast(listed), F.size("ds") > 0).select("area", F.explode("ds").alias("d"))
     filled = spine.join(per_day, ["area", "d"], "left").na.fill(0, ["cells"]).na.fill(0.0, ["frp"])

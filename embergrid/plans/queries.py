@@ -54,6 +54,18 @@ def sql_list(expr: str, cond: str = "true") -> str:
     return f"coalesce(string_agg(CAST({expr} AS VARCHAR), ',' ORDER BY {expr}) FILTER ({cond}), '')"
 
 
+def coarsened(cells: str, keys: str, limit: int, how: str = "mean") -> str:
+    """SQL of coarsening: every side up to 20 tried."""
+    on = " AND ".join(f"f.{k} = l.{k}" for k in keys.split(", "))
+    block = lambda f: f"CAST(floor(l.xi / CAST({f} AS DOUBLE)) AS INT) AS bx, CAST(floor(l.yi / CAST({f} AS DOUBLE)) AS INT) AS by"
+    val = "sum(l.val) / any_value(f.f * f.f)" if how == "mean" else "sum(l.val)"
+    own = ", ".join(f"l.{k}" for k in keys.split(", "))
+    return f"""SELECT *, f / 1e1 AS cell, {r(f'quantile_cont(val, 0.99) OVER (PARTITION BY {keys})', 2)} AS max FROM (
+      SELECT {own}, CAST(f.f AS INT) AS f, {block('f.f')}, {val} AS val FROM {cells} l JOIN (
+        SELECT {keys}, min(f) AS f FROM (SELECT {keys}, f, count(*) AS blocks FROM (SELECT DISTINCT {own}, q.f, {block('q.f')} FROM {cells} l
+          CROSS JOIN (SELECT unnest(range(1, 21)) AS f) q) GROUP BY {keys}, f) WHERE blocks <= {limit} GROUP BY {keys}) f ON {on} GROUP BY ALL)"""
+
+
 # ------------------------------------------------------------------ scans and sinks
 
 query("scan_grid", f"SELECT area, d, yi, xi, s, n, {r('CAST(frp AS FLOAT)', 0)} AS frp FROM grid_t WHERE area IN (3, 7, 11) AND yi BETWEEN -3 AND 2 AND xi BETWEEN -3 AND 1")(
@@ -104,11 +116,18 @@ query("load_outages", """SELECT d, CAST(NULL AS INT) AS band, fine_out, coarse_o
 query("write_grid", "SELECT area, s, count(*) AS cell_days, CAST(sum(n) AS BIGINT) AS detections, min(d) AS first_day FROM grid_t GROUP BY ALL")(
     lambda w: roundtrips.written_grid(w)
 )
+query("update_grid", "SELECT area, s, count(*) AS cell_days, CAST(sum(n) AS BIGINT) AS detections, min(d) AS first_day FROM grid_t GROUP BY ALL")(
+    lambda w: roundtrips.updated_grid(w)
+)
+query("grid_manifest", f"""SELECT area, CAST(year(d) AS INT) AS y, CAST(CASE WHEN year(d) < {oracle.LAST_FULL} THEN 1 ELSE 2 END AS INT) AS version, count(*) AS rows
+  FROM grid_t GROUP BY ALL""")(lambda w: roundtrips.updated_manifest(w))
 query("write_map_layers", f"""SELECT t.layer, t.ty, t.tx, t.cells, q.max_value, t.cells AS in_tile FROM (
     SELECT layer, CAST(floor(yi / 1e2) AS INT) AS ty, CAST(floor(xi / 1e2) AS INT) AS tx, count(*) AS cells FROM layers_t GROUP BY ALL) t
   JOIN (SELECT layer, {r('quantile_cont(val, 0.99)', 2)} AS max_value FROM layers_t GROUP BY layer) q ON q.layer = t.layer""")(
     lambda w: roundtrips.map_layers(w)
 )
+query("live_overview", f"""SELECT f, cell, max, bx, "by", CAST(val AS DOUBLE) AS val, (SELECT count(DISTINCT d) FROM masked_t) AS days FROM (
+  {coarsened("(SELECT 1 AS world, xi, yi, sum(n) AS val FROM masked_t GROUP BY xi, yi)", "world", 20, "sum")})""")(lambda w: roundtrips.live_overview(w))
 query("write_live_outputs", """SELECT 'index' AS part, count(*) AS rows, CAST(sum(cells) AS DOUBLE) AS total FROM (
     SELECT floor(yi / 1e2) AS ty, floor(xi / 1e2) AS tx, count(*) AS cells FROM masked_t GROUP BY ALL)
   UNION ALL SELECT 'overview', count(*), CAST(sum(n) AS DOUBLE) FROM (SELECT yi, xi, sum(n) AS n FROM masked_t GROUP BY ALL)""")(
@@ -201,6 +220,10 @@ query("date_spine_join", f"SELECT area, d, m, v, t, mg, m_det, v_det, t_det, {r(
         w.daily_lazy.drop("fine_out", "coarse_out", "b_out", "unknown"), 2, "m_frp", "v_frp", "t_frp")
 )
 query("point_in_area", "SELECT area, yi, xi FROM inside_t")(lambda w: geo.cells_in_areas(w.live, w.edges, w.base))
+_POINTS = """(SELECT 'place ' || place_id AS pid, CAST(floor(lon * 10000 + 0.5e0) AS BIGINT) AS x, CAST(floor(lat * 10000 + 0.5e0) AS BIGINT) AS y FROM places_t
+    UNION SELECT 'corner ' || x1 || ' ' || y1, x1, y1 FROM edges_t
+    UNION SELECT 'side ' || ((x1 + x2) // 2) || ' ' || ((y1 + y2) // 2), (x1 + x2) // 2, (y1 + y2) // 2 FROM edges_t) p"""
+query("points_in_areas", f"SELECT pid AS point_id, area FROM ({oracle.ray_cast(_POINTS, 'pid')})")(lambda w: geo.points_in_areas(_clicked(w), w.edges))
 QBOX = "(SELECT aoi_id, " + ", ".join(f"CAST(floor({c} * 10000 + 0.5e0) AS BIGINT) AS b{c}" for c in "wsen") + " FROM boxes_t)"
 _SIDES = [f"sign((x2 - x1) * ({y} - y1) - (y2 - y1) * ({x} - x1))" for x in ("bw", "be") for y in ("bs", "bn")]
 TOUCH = f"""SELECT DISTINCT aoi_id, area FROM {QBOX} b CROSS JOIN edges_t
@@ -269,6 +292,16 @@ def _extent_touches(w: Workspace) -> DataFrame:
     return geo.box_touches_extent(w.boxes, grid.data_extent(shapeless, w.base))
 
 
+def _clicked(w: Workspace) -> DataFrame:
+    """Arbitrary points: every place, and corners and middles of border edges."""
+    at = lambda kind: F.concat_ws(" ", F.lit(kind), F.col("x").cast("string"), F.col("y").cast("string")).alias("point_id")
+    half = lambda a, b: F.expr(f"({a} + {b}) div 2")
+    towns = w.places.select(F.concat(F.lit("place "), "place_id").alias("point_id"), geo.units(F.col("lon")).alias("x"), geo.units(F.col("lat")).alias("y"))
+    corners = w.edges.select(F.col("x1").alias("x"), F.col("y1").alias("y")).select(at("corner"), "x", "y")
+    sides = w.edges.select(half("x1", "x2").alias("x"), half("y1", "y2").alias("y")).select(at("side"), "x", "y")
+    return towns.unionByName(corners).unionByName(sides).distinct()
+
+
 def _own_outside(w: Workspace) -> DataFrame:
     cells = grid.distinct_cells(w.grid)
     return geo.own_cells_outside(cells, geo.cells_in_areas(cells, w.edges, w.base))
@@ -427,6 +460,9 @@ query("coarsen", f"""SELECT f.layer, CAST(f.f AS INT) AS f, CAST(floor(l.xi / CA
   JOIN (SELECT layer, min(f) AS f FROM (SELECT layer, f, count(DISTINCT (floor(xi / CAST(f AS DOUBLE)), floor(yi / CAST(f AS DOUBLE)))) AS blocks
           FROM layers_t CROSS JOIN (SELECT unnest(range(1, 20)) AS f) q GROUP BY layer, f) WHERE blocks <= 20 GROUP BY layer) f ON f.layer = l.layer
   GROUP BY ALL""")(lambda w: rounded(layers.coarsen(w.published, 20, "mean", ("layer",)), 5, "val", noise=9))
+query("coarsen_scaled", f"""SELECT layer, area, f, cell, max, bx, "by", {r(r('val', 9), 5)} AS val FROM ({coarsened('area_layers_t', 'layer, area', 12)})""")(
+    lambda w: rounded(layers.coarsened_map(materialize(w.area_layers, "area_layers"), 12, w.cfg, keys=("layer", "area")), 5, "val", noise=9)
+)
 query("overview", f"""SELECT layer, bx, "by", {r('val', 2)} AS val FROM (SELECT layer, CAST(floor(xi / 5e0) AS INT) AS bx, CAST(floor(yi / 5e0) AS INT) AS "by", sum(val) / 25 AS val
   FROM layers_t GROUP BY ALL) WHERE val >= 0.005e0""")(lambda w: layers.overview(w.published_lazy, w.cfg))
 query("viewport_cells", f"""SELECT layer, xi, yi, {r(r('val', 9), 5)} AS val, yi BETWEEN -3 AND 2 AND xi BETWEEN -3 AND 1 AS exact FROM all_layers_t
@@ -558,11 +594,15 @@ query("box_series")(lambda w: calendar.yearly_totals(_box_series(w), w.cfg))
 SQL["box_series"] = oracle.sql("SELECT area, CAST(y AS INT) AS y, m, v, h FROM yearly_t", **_OF_BOXES)
 
 
+def _ready_touches(w: Workspace) -> DataFrame:
+    """(aoi_id, area): the ready areas each box touches."""
+    ready = w.catalogue.filter("ready").select("area")
+    return geo.box_touches_area(w.boxes, w.edges).unionByName(_extent_touches(w)).join(ready, "area", "left_semi")
+
+
 def _box_cells(w: Workspace) -> DataFrame:
     """Cell-days of every box from the ready areas it touches, with lost strips marked."""
-    ready = w.catalogue.filter("ready").select("area")
-    touches = geo.box_touches_area(w.boxes, w.edges).unionByName(_extent_touches(w)).join(ready, "area", "left_semi")
-    return grid.strip_reclass(boxes.box_cell_days(w.grid, w.boxes, touches, w.base), w.strips, w.base)
+    return grid.strip_reclass(boxes.box_cell_days(w.grid_at_rest, w.boxes, _ready_touches(w), w.base), w.strips, w.base)
 
 
 def _box_series(w: Workspace) -> DataFrame:
@@ -574,6 +614,27 @@ def _box_series(w: Workspace) -> DataFrame:
     return harmonize.fill_no_record(harmonize.harmonize_daily(flagged, materialize(ratios, "box_ratios"), w.cfg))
 
 
+query("scan_grid_boxes")(lambda w: boxes.box_cell_days(w.grid_at_rest, w.boxes, _ready_touches(w), w.base).groupBy("area", "s").agg(
+    F.count(F.lit(1)).alias("cell_days"), F.sum("n").alias("detections"), F.min("d").alias("first_day")))
+SQL["scan_grid_boxes"] = oracle.sql("""SELECT area, s, count(*) AS cell_days, CAST(sum(n) AS BIGINT) AS detections, min(d) AS first_day
+  FROM box_grid_t GROUP BY ALL""", **_OF_BOXES)
+query("map_view")(lambda w: _map_view(w))
+SQL["map_view"] = oracle.sql(f"""SELECT aoi_id, layer, f, cell, max, bx, "by", {r(r('val', 9), 5)} AS val,
+    (SELECT {r('quantile_cont(val, 0.99)', 2)} FROM layers_t WHERE layer = 'all') AS world_max FROM ({coarsened('box_view_t', 'aoi_id, layer', 6)})""",
+    ready_touch_t=f"SELECT t.aoi_id, t.area FROM ({TOUCH} UNION {EXTENT_TOUCH}) t WHERE t.area % 4 <> 1",
+    box_view_t="""SELECT b.aoi_id, l.layer, l.xi, l.yi, max(l.val) AS val FROM ready_touch_t t JOIN boxes_t b ON b.aoi_id = t.aoi_id JOIN area_layers_t l
+      ON l.area = t.area AND l.layer = 'all' AND l.yi BETWEEN floor(b.s * 10) AND ceil(b.n * 10) - 1 AND l.xi BETWEEN floor(b.w * 10) AND ceil(b.e * 10) - 1 GROUP BY ALL""")
+
+
+def _map_view(w: Workspace) -> DataFrame:
+    """The whole-record layer in every drawn box, coarsened to at most six squares, with the world's scale beside its own."""
+    shown = w.area_layers.filter("layer = 'all'")
+    cells = boxes.box_layer_cells(shown, w.boxes, _ready_touches(w), w.base)
+    view = rounded(layers.coarsened_map(cells, 6, w.cfg, keys=("aoi_id", "layer")), 5, "val", noise=9)
+    world = layers.layer_scale(layers.multi_area_max(shown).filter(F.col("val") >= w.cfg.layer_min)).select("layer", F.col("max_value").alias("world_max"))
+    return view.join(world, "layer", "left")
+
+
 # ------------------------------------------------------------------ live and early warning
 
 query("live_cell_days", f"SELECT d, yi, xi, n, {r('frp', 2)} AS frp FROM live_t")(lambda w: rounded(w.live, 2, "frp"))
@@ -607,6 +668,35 @@ query("now_status", f"""SELECT area, CASE WHEN record THEN 'Highest for these da
 )
 
 
+_BOX_WARNING = {
+    **_OF_BOXES,
+    "ready_touch_t": f"SELECT t.aoi_id, t.area FROM ({TOUCH} UNION {EXTENT_TOUCH}) t WHERE t.area % 4 <> 1",
+    "now_t": f"""SELECT b.aoi_id AS area, w.d, count(x.d) AS cells, CAST(sum(count(x.d)) OVER (PARTITION BY b.aoi_id) AS BIGINT) AS total,
+        {r(r('sum(coalesce(sum(x.frp), 0)) OVER (PARTITION BY b.aoi_id)', 6), 0)} AS frp
+      FROM boxes_t b CROSS JOIN window_t w LEFT JOIN (
+        SELECT k.aoi_id, l.d, l.frp FROM live_t l JOIN boxes_t k ON l.yi BETWEEN floor(k.s * 10) AND ceil(k.n * 10) - 1
+          AND l.xi BETWEEN floor(k.w * 10) AND ceil(k.e * 10) - 1
+        WHERE NOT EXISTS (SELECT 1 FROM static_t s JOIN ready_touch_t t ON t.area = s.area WHERE t.aoi_id = k.aoi_id AND s.yi = l.yi AND s.xi = l.xi)) x
+      ON x.aoi_id = b.aoi_id AND x.d = w.d GROUP BY b.aoi_id, w.d""",
+}
+# boxes of 2 x 2 cells are covered tiles of the index, so both ways of counting occur
+query("nowcast_now_boxes")(lambda w: _box_now(w))
+SQL["nowcast_now_boxes"] = oracle.sql("SELECT area, d, cells, total, frp FROM now_t", **_BOX_WARNING)
+query("nowcast_rank_boxes")(lambda w: _box_rank(w))
+SQL["nowcast_rank_boxes"] = oracle.sql(f"SELECT * FROM ({_RANK}) WHERE area IN (SELECT aoi_id FROM ready_touch_t)", **_BOX_WARNING)
+
+
+def _box_now(w: Workspace) -> DataFrame:
+    return boxes.box_nowcast_now(w.live_kept, w.boxes, _ready_touches(w), w.static, w.base.with_(box_tile=2))
+
+
+def _box_rank(w: Workspace) -> DataFrame:
+    """A box that touches no ready area has no history to compare with."""
+    known = _ready_touches(w).select(F.col("aoi_id").alias("area")).distinct()
+    history = live.nowcast_history(w.live_kept, _box_series(w).join(known, "area", "left_semi"), w.cfg)
+    return live.nowcast_rank(_box_now(w), history, w.cfg).drop("status")
+
+
 def _now(w: Workspace) -> DataFrame:
     return live.nowcast_now(w.live_kept, w.links(w.live_kept), w.static, w.areas)
 
@@ -661,3 +751,20 @@ query("stream_nowcast", _RANK)(lambda w: streams.nowcast(w).drop("status"))
 # the stream's window is made of whole days, back to seven days before the newest one kept
 SQL["stream_nowcast"] = SQL["nowcast_rank"].replace(oracle.TABLES["feed_t"], """SELECT * FROM feed_all_t WHERE CAST(ts AS DATE) >=
     (SELECT CAST(max(ts) AS DATE) FROM feed_all_t WHERE confidence IN ('nominal', 'high', 'n', 'h')) - 7""")
+query("stream_complete_weeks", f"""SELECT CAST(a AS DATE) AS first_day, yi, xi, CAST(sum(n) AS BIGINT) AS n, {r('sum(frp)', 2)} AS frp FROM ({_ALL_LIVE}) l
+  CROSS JOIN (SELECT unnest(range(0, 7)) AS back) q CROSS JOIN LATERAL (SELECT l.d - CAST(back AS INT) AS a) z WHERE CAST(a AS TIMESTAMP) + INTERVAL 7 DAY <=
+  (SELECT max(ts) FROM feed_all_t WHERE confidence IN ('nominal', 'high', 'n', 'h')) - INTERVAL 2 DAY GROUP BY ALL""")(
+    lambda w: rounded(streams.complete_weeks(w), 2, "frp")
+)
+query("stream_late_data", """WITH days AS (SELECT min(acq_date) AS lo, CAST(max(acq_date) - min(acq_date) AS INT) + 1 AS len FROM feed_all_t),
+  dealt AS (SELECT f.*, CAST(floor(CAST(acq_date - lo AS INT) * 4 / CAST(len AS DOUBLE)) AS INT) AS by_day FROM feed_all_t f CROSS JOIN days),
+  first_time AS (SELECT ts, det_id, confidence, CASE WHEN det_id % 11 = 5 THEN 3 WHEN det_id % 7 = 3 THEN least(by_day + 1, 3) ELSE by_day END AS part FROM dealt),
+  sent AS (SELECT ts, part, false AS again FROM first_time WHERE confidence IN ('nominal', 'high', 'n', 'h')
+    UNION ALL SELECT ts, part + 1, true FROM first_time WHERE det_id % 13 = 1 AND part < 3 AND confidence IN ('nominal', 'high', 'n', 'h')),
+  reached AS (SELECT part, max(max(ts)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM sent GROUP BY part),
+  judged AS (SELECT s.*, coalesce(s.ts <= date_trunc('millisecond', newest) - INTERVAL 2 DAY, false) AS late FROM sent s JOIN reached r ON r.part = s.part)
+  SELECT CAST(row_number() OVER (ORDER BY part) - 1 AS INT) AS arrival, count(*) AS rows, count(*) FILTER (late) AS late,
+    count(*) FILTER (again AND NOT late) AS repeated, count(*) FILTER (NOT again AND NOT late) AS added FROM judged GROUP BY part""")(
+    lambda w: streams.late_data(w)
+)
+query("stream_refeed", f"SELECT d, yi, xi, n, {r('frp', 2)} AS frp FROM live_t")(lambda w: rounded(streams.refeed(w), 2, "frp"))

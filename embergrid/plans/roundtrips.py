@@ -8,7 +8,7 @@ from embergrid.operators import calendar, documents, geo, grid, outages, seasons
 from embergrid.plans import adapters
 from embergrid.plans.workspace import Workspace
 from embergrid.session import scratch_path
-from embergrid.sources import archives, borders, gazetteer, grids, packs, prior
+from embergrid.sources import archives, borders, gazetteer, grids, packs, prior, versions
 
 DIGITS, LETTERS = "0123456789", "abcdefghij"
 
@@ -170,6 +170,23 @@ def written_grid(w: Workspace) -> DataFrame:
     return rows.groupBy("area", "s").agg(F.count(F.lit(1)).alias("cell_days"), F.sum("n").alias("detections"), F.min("d").alias("first_day"))
 
 
+def _updated(w: Workspace) -> str:
+    """A grid at rest built up to the year before the last one and then updated with all years."""
+    path = scratch_path(w.spark, "grid_versions")
+    versions.update_grid(w.grid.filter(F.year("d") < w.full_year), path)
+    versions.update_grid(w.grid, path)
+    return path
+
+
+def updated_grid(w: Workspace) -> DataFrame:
+    rows = versions.read_version(w.spark, _updated(w))
+    return rows.groupBy("area", F.col("s").cast("int").alias("s")).agg(F.count(F.lit(1)).alias("cell_days"), F.sum("n").alias("detections"), F.min("d").alias("first_day"))
+
+
+def updated_manifest(w: Workspace) -> DataFrame:
+    return versions.grid_manifest(w.spark, _updated(w)).drop("digest")
+
+
 def map_layers(w: Workspace) -> DataFrame:
     path = scratch_path(w.spark, "layers")
     packs.write_map_layers(w.published, path, w.cfg)
@@ -186,3 +203,12 @@ def live_outputs(w: Workspace) -> DataFrame:
     overview = w.spark.read.schema("f int, bx int, by int, val double").json(f"{path}/overview")
     part = lambda df, name, total: df.agg(F.count(F.lit(1)).alias("rows"), F.sum(total).cast("double").alias("total")).withColumn("part", F.lit(name))
     return part(index, "index", "cells").unionByName(part(overview, "overview", "val"))
+
+
+def live_overview(w: Workspace) -> DataFrame:
+    """The overview of the published live files, at most 20 squares, with its scale and the number of the feed's days."""
+    path = scratch_path(w.spark, "live_outputs")
+    packs.write_live_outputs(w.live_masked, w.feed, w.links(w.live_masked), w.static, path, w.base.with_(live_cells=20))
+    shown = w.spark.read.schema("f int, cell double, max double, bx int, by int, val double").json(f"{path}/overview")
+    meta = w.spark.read.schema("days array<date>").json(f"{path}/meta").select(F.size("days").cast("bigint").alias("days"))
+    return shown.join(F.broadcast(meta), F.col("f") > 0)  # one row

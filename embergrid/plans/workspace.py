@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from embergrid.config import Config
 from embergrid.operators import calendar, geo, grid, harmonize, layers, live, outages, seasons, validate
 from embergrid.plans import adapters
-from embergrid.session import materialize, utc
+from embergrid.session import materialize, scratch_path, utc
+from embergrid.sources import grids
 
 
 class Workspace:
@@ -79,6 +80,14 @@ class Workspace:
     def grid(self) -> DataFrame:
         return self._keep(self.grid_lazy, "grid")
 
+    @cached_property
+    def grid_at_rest(self) -> DataFrame:
+        """The grid as it is published: a folder per area, rows in order."""
+        path = scratch_path(self.spark, "grid_at_rest")
+        grids.write_grid(self.grid, path)
+        wide = {"yi": "int", "xi": "int", "s": "int", "n": "bigint", "frp": "double"}
+        return grids.read_grid(self.spark, path).select("area", "d", *[F.col(c).cast(t).alias(c) for c, t in wide.items()])
+
     @cached_property
     def static(self) -> DataFrame:
         return grid.static_cells(self.detections, self.base)

@@ -44,6 +44,28 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _path(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names directly below a folder of any file system Spark reads; none if it does not exist."""
+    at, fs = _path(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote."""
+    at, fs = _path(spark, path)
+    fs.delete(at, True)
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete all intermediate tables this application wrote. DataFrames that read them are of no use afterwards."""
+    remove(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+
+
 def utc(spark: SparkSession) -> SparkSession:
     """All dates in this library are UTC calendar dates."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -20,24 +22,31 @@ AREA_IN_PATH = r"/([^/]+)/[^/]+$"  # the folder a file lies in
 
 
 def _headers(spark: SparkSession, paths: list[str]) -> list[tuple[str, list[str]]]:
-    """Distinct header lines with their files. Only the beginning of each file is read.
+    """Distinct header lines with their files, found by the executors: a header is the one line that names a latitude.
 
-    A file whose first line names no latitude is an error: its rows would be lost without a word.
+    What comes to the driver are names of files, which it needs to read them. A file without a header is an error: its
+    rows would be lost without a word.
     """
-    hadoop, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    text = spark.read.text(paths)
+    file = F.col("_metadata.file_path").alias("file")
+    line = F.trim(F.regexp_replace("value", "^\ufeff|\r$", ""))
+    found = text.filter(F.col("value").contains("latitude")).select(line.alias("header"), file).groupBy("file").agg(F.min("header").alias("header"))
     files: dict[str, list[str]] = {}
-    for file in spark.read.text(paths).inputFiles():  # listed, not read
-        at = hadoop(file)
-        lines = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(at.getFileSystem(conf).open(at), "UTF-8"))
-        header = (lines.readLine() or "").strip("\ufeff \r")
-        lines.close()
-        if "latitude" not in [n.strip() for n in header.split(",")]:
-            raise ValueError(f"no header line with a latitude column in {file}")
-        files.setdefault(header, []).append(file)
+    for row in found.collect():
+        if "latitude" in [n.strip() for n in row["header"].split(",")]:
+            files.setdefault(row["header"], []).append(_plain(row["file"]))
+    bare = {_plain(f) for f in text.inputFiles()} - {f for named in files.values() for f in named}
+    if bare:
+        raise ValueError(f"no header line with a latitude column in {', '.join(sorted(bare)[:5])}")
     return sorted((h, sorted(f)) for h, f in files.items())
 
 
-def _read_by_name(spark: SparkSession, paths: list[str], types: dict[str, str]) -> DataFrame:
+def _plain(file: str) -> str:
+    """One spelling of a file's address: ``file:/a`` and ``file:///a`` are the same."""
+    return re.sub(r"^(\w+):/+", r"\1:/", unquote(file))
+
+
+def _read_by_name(spark: SparkSession, paths: list[str], types: dict[str, str], needed: tuple[str, ...] = ()) -> DataFrame:
     """Files of differing column order united by column name.
 
     Spark maps a user schema by position, so files are read once per distinct header.
@@ -45,6 +54,8 @@ def _read_by_name(spark: SparkSession, paths: list[str], types: dict[str, str])
     parts = []
     for header, files in _headers(spark, paths):
         names = [n.strip() for n in header.split(",")]
+        if missing := [c for c in needed if c not in names]:
+            raise ValueError(f"columns missing: {', '.join(missing)} in {files[0]}")
         schema = ", ".join(f"`{n}` {types.get(n, 'string')}" for n in names)
         part = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(files)
         cols = [F.col(n) if n in names else F.lit(None).cast(t).alias(n) for n, t in types.items()]
@@ -79,11 +90,12 @@ def as_detections(coarse: DataFrame, fine: DataFrame, cfg: Config, platform_a: s
 
 
 def read_live_feed(spark: SparkSession, path: str) -> DataFrame:
-    """Live feed as (acq_date, hhmm, latitude, longitude, confidence, frp); times stay text."""
-    raw = spark.read.option("header", True).option("mode", "FAILFAST").csv(path)
-    missing = [c for c in LIVE_REQUIRED if c not in raw.columns]
-    if missing:
-        raise ValueError(f"live feed lacks columns: {', '.join(missing)}")
+    """Live feed as (acq_date, hhmm, latitude, longitude, confidence, frp); times stay text. Each file is read by its own header."""
+    return as_feed_rows(_read_by_name(spark, [path], {c: "string" for c in LIVE_REQUIRED}, needed=LIVE_REQUIRED))
+
+
+def as_feed_rows(raw: DataFrame) -> DataFrame:
+    """Text columns of a feed file in their types."""
     return raw.select(
         F.col("acq_date").cast("date").alias("acq_date"),
         F.trim("acq_time").alias("hhmm"),

@@ -26,8 +26,8 @@ def write_map_layers(published: DataFrame, path: str, cfg: Config) -> None:
 
 
 def write_live_outputs(masked: DataFrame, feed: DataFrame, links: DataFrame, mask: DataFrame, path: str, cfg: Config) -> None:
-    """Overview, tiles with their index, counts per area, meta and the industrial mask of a live feed."""
-    layers.coarsen(live.live_map(masked), cfg.live_cells, "sum").write.json(f"{path}/overview")
+    """Overview with its scale, tiles with their index, counts per area, meta and the industrial mask of a live feed."""
+    layers.coarsened_map(live.live_map(masked), cfg.live_cells, cfg, "sum").write.json(f"{path}/overview")
     live.live_tiles(masked, cfg).write.partitionBy("ty", "tx").json(f"{path}/tiles")
     layers.tile_index(masked, cfg.map_tile).write.json(f"{path}/index")
     live.live_area_counts(masked, links).write.json(f"{path}/areas")

@@ -1,5 +1,6 @@
 """Areas against a plain ray cast, on random polygons, borders and boxes."""
 
+import math
 import random
 
 import pytest
@@ -157,3 +158,55 @@ def test_live_links_join_borders_and_own_record(spark, edges):
     assert got == [(100, 0, 0), (100, 2, 2), (100, 50, 50)]
     assert [tuple(r) for r in geo.own_cells_outside(own.filter("area = 100"), inside_).collect()] == [(100, 50, 50)]
     assert inside_.select(F.countDistinct("area")).first()[0] == 1
+
+
+def _inside(edges, x, y):
+    """Even-odd rule in exact fractions; the border belongs to the inside."""
+    from fractions import Fraction
+
+    odd = {}
+    for area, poly, _, x1, y1, x2, y2 in edges:
+        if (x - x1) * (y2 - y1) == (x2 - x1) * (y - y1) and min(x1, x2) <= x <= max(x1, x2) and min(y1, y2) <= y <= max(y1, y2):
+            odd[area, poly] = None
+        elif (y1 > y) != (y2 > y) and x1 + Fraction((x2 - x1) * (y - y1), y2 - y1) < x and odd.get((area, poly), 0) is not None:
+            odd[area, poly] = odd.get((area, poly), 0) + 1
+    return {area for (area, _), n in odd.items() if n is None or n % 2}
+
+
+def test_points_in_random_polygons_at_every_bucket_size(spark):
+    rng = random.Random(17)
+    edges = []
+    for area in range(8):
+        for poly in range(rng.choice((1, 2))):
+            cx, cy, r = rng.randrange(-60, 60), rng.randrange(-60, 60), rng.choice((5, 20, 45))
+            for ring in range(rng.choice((1, 1, 2))):
+                n, size = rng.choice((3, 4, 7, 12)), max(2, r // (1 + 2 * ring))
+                ring_points = []
+                for k in range(n):
+                    turn = 2 * math.pi * (k + rng.random() * 0.9) / n
+                    ring_points.append((round(cx + size * math.cos(turn)), round(cy + size * math.sin(turn))))
+                edges += [(area, poly, ring, *a, *b) for a, b in zip(ring_points, ring_points[1:] + ring_points[:1]) if a != b]
+    edges += [(9, 0, 0, *a, *b) for a, b in zip([(-90, -90), (90, -90), (90, 90), (-90, 90)], [(90, -90), (90, 90), (-90, 90), (-90, -90)])]
+    points = sorted({(e[3], e[4]) for e in edges} | {(rng.randrange(-110, 110), rng.randrange(-110, 110)) for _ in range(1500)})
+    df = spark.createDataFrame(edges, "area int, poly int, ring int, x1 bigint, y1 bigint, x2 bigint, y2 bigint")
+    p = spark.createDataFrame([(i, *xy) for i, xy in enumerate(points)], "point_id int, x bigint, y bigint")
+    want = {(i, a) for i, xy in enumerate(points) for a in _inside(edges, *xy)}
+    for bucket in (1, 4, 10, 37, 2500):
+        assert {tuple(r) for r in geo.points_in_areas(p, df, bucket).collect()} == want, bucket
+    assert 1000 < len(want) < 6000
+
+
+def test_a_point_meets_the_edges_of_its_bucket_only(spark):
+    # one area per degree along the equator: all edges share their latitude rows
+    edges = []
+    for a in range(300):
+        x = a * 10_000
+        ring = [(x + 1000, -3000), (x + 9000, -3000), (x + 9000, 3000), (x + 1000, 3000)]
+        edges += [(a, 0, 0, *p, *q) for p, q in zip(ring, ring[1:] + ring[:1])]
+    df = spark.createDataFrame(edges, "area int, poly int, ring int, x1 bigint, y1 bigint, x2 bigint, y2 bigint")
+    slab = geo.slab_map(df).cache()
+    assert slab.groupBy("row", "col").agg(F.countDistinct("area").alias("n")).agg(F.max("n")).first()[0] == 1
+    assert slab.filter("xl is null").count() == 300 * 4  # buckets wholly inside
+    p = spark.createDataFrame([(a, a * 10_000 + dx, 0) for a in range(300) for dx in (500, 5000)], "point_id int, x bigint, y bigint")
+    assert {tuple(r) for r in geo.points_in_areas(p, df).collect()} == {(a, a) for a in range(300)}
+    slab.unpersist()

@@ -56,6 +56,34 @@ def test_coarsening_finds_the_smallest_side_that_fits(spark, limit, how):
     assert sorted(r["val"] for r in got) == pytest.approx(sorted(v for *_, v in want))
 
 
+def test_every_key_gets_its_own_side_cell_and_scale(spark):
+    rng = np.random.default_rng(21)
+    rows, want = [], {}
+    for key in range(30):
+        n, span = int(rng.choice([1, 5, 60, 400])), int(rng.choice([3, 20, 300, 5000]))
+        step = int(rng.choice([1, 3, 5]))
+        cells = sorted({(int(x) * step, int(y) * step) for x, y in rng.integers(-span, span, (n, 2))})
+        cells = [(x, y, float(i % 11 + 1)) for i, (x, y) in enumerate(cells)]
+        rows += [("map", key, *c) for c in cells]
+        for how in ("mean", "sum"):
+            f, squares = plain_coarsen(cells, 7, how)
+            want[how, key] = (f, round(float(np.quantile([v for *_, v in squares], 0.99)), 2), squares)
+    df = spark.createDataFrame(rows, "layer string, area int, xi int, yi int, val double")
+    for how in ("mean", "sum"):
+        got = {}
+        for r in layers.coarsened_map(df, 7, CFG, how, ("layer", "area")).collect():
+            got.setdefault(r["area"], []).append(r)
+        assert len(got) == 30
+        for key, squares in got.items():
+            f, scale, plain = want[how, key]
+            assert {r["f"] for r in squares} == {f} and {r["cell"] for r in squares} == {f / 10}
+            assert all(abs(r["max"] - scale) <= 0.0101 for r in squares)
+            assert sorted((r["bx"], r["by"]) for r in squares) == [(a, b) for a, b, _ in plain]
+            assert sorted(r["val"] for r in squares) == pytest.approx(sorted(v for *_, v in plain))
+    assert len({f for f, *_ in want.values()}) > 8
+    assert layers.coarsen(df.limit(0), 7).count() == 0
+
+
 def test_layers_average_over_the_years_that_hold_each_month(spark):
     days = harmonize.date_spine(spark.createDataFrame([(1,), (2,)], "area int"), CFG.coarse_start, CFG.record_end)
     got = {r["layer"]: r["years"] for r in layers.layer_years(days).collect()}

@@ -62,6 +62,21 @@ def test_scan_of_the_grid_prunes_areas_and_pushes_the_box(spark):
     assert "PartitionFilters: [area" in plan and "GreaterThanOrEqual(yi" in plan and "LessThanOrEqual(xi" in plan
 
 
+def test_boxes_read_only_the_folders_of_the_areas_they_touch(spark):
+    w = Workspace(spark, DIR)
+    from embergrid.operators import boxes
+
+    box = spark.createDataFrame([(1, -0.2, -0.2, 0.1, 0.1)], "aoi_id int, w double, s double, e double, n double")
+    touches = spark.createDataFrame([(1, 3), (1, 7)], "aoi_id int, area int")
+    found = boxes.box_cell_days(w.grid_at_rest, box, touches, w.base)
+    assert found.count() == w.grid.filter("area in (3, 7) and yi between -2 and 0 and xi between -2 and 0").groupBy("d", "yi", "xi", "s").count().count()
+    assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
+    rows = found._jdf.queryExecution()
+    found.collect()
+    scans = [line for line in rows.executedPlan().toString().splitlines() if "grid_at_rest" in line]
+    assert scans and all("dynamicpruning" in line or "PartitionFilters" in line for line in scans)
+
+
 def test_small_queries_return_rows(spark):
     for name in ("recent_unusual", "unusual_months", "box_touches_extent", "load_outages", "join_feeds"):
         assert registry.QUERIES[name](spark, DIR).limit(1).count() == 1, name

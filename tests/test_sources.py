@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from embergrid import Config
 from embergrid.operators import grid, layers, live, tiles
-from embergrid.sources import archives, borders, gazetteer, grids, packs, prior
+from embergrid.sources import archives, borders, gazetteer, grids, packs, prior, versions
 
 CFG = Config()
 
@@ -42,17 +42,31 @@ def test_archives_are_united_by_column_name(spark, raw):
 
 
 def test_live_feed_needs_its_columns_and_keeps_times_as_text(spark, tmp_path):
+    # fixed values: the header of the external format
     head = "latitude,longitude,bright_ti4,scan,track,acq_date,acq_time,satellite,instrument,confidence,version,bright_ti5,frp,daynight"
-    (tmp_path / "feed.csv").write_text(head + "\n-0.05,-0.01,330.1,0.4,0.4,2026-10-01,0930,N,VIIRS,nominal,2.0NRT,290.2,3.5,D\n"
-                                       "0.05,0.01,330.1,0.4,0.4,2026-10-01,945,N,VIIRS,low,2.0NRT,290.2,3.5,D\n")
+    (tmp_path / "feed.csv").write_text(head + "\n-0.07,-0.02,341.6,0.52,0.71,2027-02-11,0812,X,Y,nominal,a,301.9,12.75,N\n"
+                                       "0.08,0.03,318.4,0.47,0.63,2027-02-11,1127,X,Y,low,a,288.3,6.5,N\n")
     f = archives.read_live_feed(spark, str(tmp_path / "feed.csv"))
     assert [tuple(r)[1:3] for r in live.live_cell_days(f, CFG).collect()] == [(-1, -1)]
-    assert live.live_latest(f).first()[0] == "2026-10-01 0945"
+    assert live.live_latest(f).first()[0] == "2027-02-11 1127"
     (tmp_path / "bad.csv").write_text("latitude,longitude,acq_date,confidence,frp\n1,2,2026-10-01,n,3\n")
     with pytest.raises(ValueError, match="acq_time"):
         archives.read_live_feed(spark, str(tmp_path / "bad.csv"))
 
 
+def test_feed_and_archive_files_are_read_each_by_its_own_header(spark, tmp_path):
+    folder = tmp_path / "a feed"
+    folder.mkdir()
+    (folder / "one.csv").write_text("latitude,longitude,acq_date,acq_time,confidence,frp\n1,2,2027-01-01,0001,n,1\n")
+    (folder / "two.csv").write_text("longitude,latitude,acq_date,acq_time,confidence,frp\r\n2,1,2027-01-01,0002,n,1\r\n")
+    (folder / "three.csv").write_text("\ufefffrp,acq_time,extra,acq_date,confidence,longitude,latitude\n1,0003,x,2027-01-01,n,2,1\n", encoding="utf-8")
+    got = sorted((r["hhmm"], r["latitude"], r["longitude"]) for r in archives.read_live_feed(spark, str(folder)).collect())
+    assert got == [("0001", 1.0, 2.0), ("0002", 1.0, 2.0), ("0003", 1.0, 2.0)]
+    (folder / "four.csv").write_text("1,2,2027-01-01,0001,n,1\n")
+    with pytest.raises(ValueError, match="no header line"):
+        archives.read_live_feed(spark, str(folder))
+
+
 def test_borders_from_a_collection_with_parts_and_holes(spark, tmp_path):
     square = lambda x, y, s: [[x, y], [x + s, y], [x + s, y + s], [x, y + s], [x, y]]
     fc = {"type": "FeatureCollection", "features": [
@@ -68,15 +82,15 @@ def test_borders_from_a_collection_with_parts_and_holes(spark, tmp_path):
 
 
 def test_prior_document_round_trip(spark, tmp_path):
-    doc = {"k_world": 2.653, "k_terra_world": 6.71, "strip_deg": 10, "viirs_gaps": ["2013-01-01"], "modis_gaps": ["2001-06-16", "2013-01-01"],
-           "aqua_gaps": ["2002-07-30", "2001-06-16"], "viirs_strips": {"2024-01-31": [0, 1]}}
+    doc = {"k_world": 2.125, "k_terra_world": 5.5, "strip_deg": 15, "viirs_gaps": ["2014-04-09"], "modis_gaps": ["2003-11-23", "2014-04-09"],
+           "aqua_gaps": ["2008-09-17", "2003-11-23"], "viirs_strips": {"2021-10-05": [-7, 3]}}
     (tmp_path / "prior.json").write_text(json.dumps(doc, indent=1))
     cfg = prior.load_prior(spark, str(tmp_path / "prior.json"), CFG)
-    assert (cfg.prior_k, cfg.prior_kt, cfg.strip_deg) == (2.653, 6.71, 10.0)
+    assert (cfg.prior_k, cfg.prior_kt, cfg.strip_deg) == (2.125, 5.5, 15.0)
     cal, strips = prior.load_outages(spark, str(tmp_path / "prior.json"), cfg)
     got = {r["d"].isoformat(): (r["fine_out"], r["coarse_out"], r["b_out"], r["unknown"]) for r in cal.collect()}
-    assert got == {"2013-01-01": (True, True, False, True), "2001-06-16": (False, True, False, True), "2002-07-30": (False, False, True, False)}
-    assert sorted(tuple(r) for r in strips.collect()) == [(dt.date(2024, 1, 31), 0), (dt.date(2024, 1, 31), 1)]
+    assert got == {"2014-04-09": (True, True, False, True), "2003-11-23": (False, True, False, True), "2008-09-17": (False, False, True, False)}
+    assert sorted(tuple(r) for r in strips.collect()) == [(dt.date(2021, 10, 5), -7), (dt.date(2021, 10, 5), 3)]
     ratios = spark.createDataFrame([(2.5, 6.5)], "k double, kt double")
     prior.write_prior(ratios, cal, strips, str(tmp_path / "out"), cfg)
     again = prior.load_prior(spark, str(tmp_path / "out"), CFG)
@@ -119,3 +133,36 @@ def test_published_results_can_be_read_back(spark, tmp_path):
     assert text == 'd,coarse,fine,source\n2026-01-01,2.0,,"VIIRS, S"\n'
     packs.write_documents(spark.createDataFrame([(1, "{}")], "area int, document string"), str(tmp_path / "docs"))
     assert layers.tile_index(c, CFG.map_tile).first()["cells"] == 1
+
+
+def test_an_update_of_the_grid_writes_only_the_years_that_changed(spark, tmp_path):
+    path, folder = str(tmp_path / "grid"), lambda v: {p.relative_to(tmp_path / "grid/data" / f"version={v}").as_posix() for p in (tmp_path / "grid/data" / f"version={v}").glob("area=*/y=*")}
+    day = lambda y, m=5: dt.date(y, m, 3)
+    schema = "area int, d date, yi int, xi int, s int, n bigint, frp double"
+    old = [(a, day(y, m), a, m, 1, 2, 1.5) for a in (1, 2) for y in (2019, 2020) for m in (1, 2, 3)]
+    as_set = lambda df: sorted((r["area"], r["d"], r["yi"], r["xi"], r["s"], r["n"]) for r in df.collect())
+    make = lambda rows: spark.createDataFrame(rows, schema)
+    assert versions.grid_manifest(spark, path).count() == 0
+    assert versions.update_grid(make(old), path) == 1
+    assert versions.update_grid(make(old).repartition(5), path) == 1  # the same rows: no new version
+    before = versions.read_version(spark, path)
+    grown = old + [(1, day(2021), 0, 0, 0, 1, 1.0), (3, day(2020), 9, 9, 1, 1, 1.0)]
+    assert versions.update_grid(make(grown), path) == 2
+    assert folder(2) == {"area=1/y=2021", "area=3/y=2020"}
+    assert as_set(versions.read_version(spark, path)) == sorted(r[:6] for r in grown) and as_set(before) == sorted(r[:6] for r in old)
+    # an update that stopped before its manifest is not seen, and its number is used again
+    (tmp_path / "grid/data/version=3/area=1/y=2019").mkdir(parents=True)
+    (tmp_path / "grid/manifest/3").mkdir()
+    changed = [(*r[:5], 7, 1.5) if r[:2] == (2, day(2019, 1)) else r for r in grown if r[0] != 3]
+    assert versions.grid_versions(spark, path) == [1, 2] and versions.update_grid(make(changed), path) == 3
+    assert folder(3) == {"area=2/y=2019"}
+    assert as_set(versions.read_version(spark, path)) == sorted(r[:6] for r in changed)
+    assert as_set(versions.read_version(spark, path, 2)) == sorted(r[:6] for r in grown)
+    plan = versions.read_version(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+    versions.forget_versions(spark, path, keep=1)
+    assert versions.grid_versions(spark, path) == [3] and as_set(versions.read_version(spark, path)) == sorted(r[:6] for r in changed)
+    assert sorted(p.name for p in (tmp_path / "grid/data").iterdir()) == ["version=1", "version=2", "version=3"]  # parts of all are in use
+    versions.update_grid(make([(5, day(2022), 1, 1, 1, 1, 1.0)]), path)
+    versions.forget_versions(spark, path, keep=1)
+    assert sorted(p.name for p in (tmp_path / "grid/data").iterdir()) == ["version=4"]
