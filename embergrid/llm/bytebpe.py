@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
@@ -58,6 +59,10 @@ class ByteBpe:
             known = self._pairs[left, right] = self.merge(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
         return known
 
+    def forget(self) -> None:
+        self._pairs.clear()
+        self._shorter.clear()
+
     def shorter(self, i: int) -> int:
         """The longest entry that begins entry ``i`` and is shorter, or -1."""
         known = self._shorter.get(i)
@@ -99,8 +104,9 @@ class ByteBpe:
             if at < n:
                 if at not in longest:
                     for stop, i in self.automaton.iter_long(text, at):
-                        if longest.setdefault(stop + 1 - sizes[i], i) is not i:
+                        if stop + 1 - sizes[i] in longest:  # from here on the scan has been here before
                             break
+                        longest[stop + 1 - sizes[i]] = i
                 take = longest[at]
         return out
 
@@ -139,8 +145,8 @@ class TextEncoder(dict):
 
 
 @cache
-def encoder(ranks_path: str, pattern: str) -> tuple[TextEncoder, list[bytes]]:
-    """One per Python worker: the encoder and the bytes of each id."""
+def encoder(ranks_path: str, pattern: str) -> tuple[TextEncoder, list[bytes], Callable[[], None]]:
+    """One per Python worker: the encoder, the bytes of each id, and how to forget what has been remembered."""
     bpe = ByteBpe(read_ranks(ranks_path))
     table = [bpe.bytes_of.get(i, b"") for i in range(max(bpe.bytes_of) + 1)]
     packed = [i.to_bytes(4, "little") for i in range(len(table))]
@@ -154,7 +160,17 @@ def encoder(ranks_path: str, pattern: str) -> tuple[TextEncoder, list[bytes]]:
                 known[p] = b"".join([packed[i] for i in bpe.piece(p.encode())])
         return b"".join([known[p] for p in found])
 
-    return TextEncoder(pattern, pieces), table
+    def forget() -> None:
+        for held in (chunks, known, bpe):
+            (held.forget if held is bpe else held.clear)()
+
+    chunks = TextEncoder(pattern, pieces)
+    return chunks, table, forget
+
+
+def _forget(ranks_path: str, pattern: str) -> Callable[[], None]:
+    """For the end of a task: a worker outlives its stage, and what it remembers would stand beside the next stage's memory."""
+    return lambda: encoder(ranks_path, pattern)[2]()
 
 
 def encode_documents(documents: DataFrame, ranks_path: str, pattern: str, *, keep: list[str] | None = None) -> DataFrame:
@@ -169,7 +185,7 @@ def encode_documents(documents: DataFrame, ranks_path: str, pattern: str, *, kee
         encode = encoder(ranks_path, pattern)[0].encode
         return [[encode(t) if t else b"" for t in texts]]
 
-    return by_row(documents, "document", "ids binary", run, keep or ["area"])
+    return by_row(documents, "document", "ids binary", run, keep or ["area"], release=_forget(ranks_path, pattern))
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str, *, keep: list[str] | None = None) -> DataFrame:
@@ -191,7 +207,7 @@ def encode_and_check(
     """
 
     def run(texts: list) -> list[list]:
-        coder, table = encoder(ranks_path, pattern)
+        coder, table, _ = encoder(ranks_path, pattern)
         out: list[list] = [[], [], [], []]
         for text in texts:
             blob = coder.encode(text) if text else b""
@@ -203,4 +219,4 @@ def encode_and_check(
         return out if with_ids else out[:3]
 
     produced = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
-    return by_row(documents, "document", produced, run, keep or ["area"])
+    return by_row(documents, "document", produced, run, keep or ["area"], release=_forget(ranks_path, pattern))

@@ -31,10 +31,24 @@ def ship(spark: SparkSession) -> None:
 _SENT: set[str] = set()
 
 
-def arrow_step(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``df.mapInArrow`` with the library at hand on the executors."""
+def arrow_step(
+    df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, release: Callable[[], None] | None = None,
+) -> DataFrame:
+    """``df.mapInArrow`` with the library at hand on the executors.
+
+    Workers are used again by later stages: at its end a task calls ``release`` and returns what Arrow holds unused.
+    """
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            if release is not None:
+                release()
+            pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(task, schema)
 
 
 def ascii_lower(text: str | None) -> bytes:
@@ -42,7 +56,9 @@ def ascii_lower(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").lower()
 
 
-def by_row(df: DataFrame, column: str, produced: str, compute: Callable[[list], list[list]], keep: list[str]) -> DataFrame:
+def by_row(
+    df: DataFrame, column: str, produced: str, compute: Callable[[list], list[list]], keep: list[str], release: Callable[[], None] | None = None,
+) -> DataFrame:
     """Append columns computed from one text column, batch by batch.
 
     ``compute`` gets the texts of a batch and gives one list per produced column. ``keep`` names the columns
@@ -59,7 +75,7 @@ def by_row(df: DataFrame, column: str, produced: str, compute: Callable[[list],
             columns = batch.columns[:-1] + [pa.array(v, t) for v, t in zip(new, arrow.types, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names=keep + arrow.names)
 
-    return arrow_step(source, run, schema)
+    return arrow_step(source, run, schema, release)
 
 
 _ARROW = {
