@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from embergrid.llm.records import arrow_step, by_row
 
@@ -25,7 +26,8 @@ class ChunkIds(dict):
     """Ids of texts by a tokenizers file, little-endian unsigned 32 bits; chunks are encoded once and remembered.
 
     A text is cut at single blanks and line ends between other characters, where the splitting of byte-level
-    tokenizers cuts anyway. Texts with other white space go to the tokenizer whole.
+    tokenizers cuts anyway. Texts with other white space go to the tokenizer whole, and so do those that contain the
+    string of an added token, which the tokenizer finds before it splits.
     """
 
     LIMIT = 1_000_000
@@ -35,24 +37,29 @@ class ChunkIds(dict):
 
         super().__init__()
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._line = np.array(self._tokenizer.encode("\n", add_special_tokens=False).ids, "<u4")
+        self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._line = np.array(self._ids(["\n"])[0], "<u4")
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]  # without offsets
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(i, "<u4").tobytes() for i in self._ids(texts)]
 
     def _learn(self, chunks: list[str]) -> None:
         """Encode new chunks in one text, a line each: a line end between other characters is a piece of its own."""
-        ids = np.array(self._tokenizer.encode("\n".join(chunks), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self._ids(["\n".join(chunks)])[0], "<u4")
         ends = [*(np.flatnonzero(ids == self._line[0]) * 4).tolist(), 4 * len(ids)]
         raw, start = ids.tobytes(), 0
         for chunk, end in zip(chunks, ends, strict=True):
             self[chunk] = raw[start:end]
             start = end + 4
 
-    @staticmethod
-    def _cut(text: str) -> list[str] | None:
-        """The chunks of a text; None if white space is not single blanks and line ends between other characters."""
+    def _cut(self, text: str) -> list[str] | None:
+        """The chunks of a text; None if white space is not single blanks and line ends between other characters, or if
+        an added token stands in it."""
+        if any(t in text for t in self._added):
+            return None
         words, gaps = text.split(), text.count(" ") + text.count("\n")
         if "\0" in text or len(words) != gaps + 1 or sum(map(len, words)) + gaps != len(text):
             return None
@@ -211,7 +218,8 @@ def id_counts(tokenized: DataFrame) -> DataFrame:
 def write_ids(tokenized: DataFrame, path: str, *, block_ids: int = BLOCK_IDS) -> None:
     """Write (area, ids, wide) under ``path``: ``lengths`` (id, bits) is the code, ``blocks`` the coded ids.
 
-    Documents lie in ascending order of area (null first; repeated areas by their ids) and are never split. A block
+    Documents lie in ascending order of area (null first; repeated areas by their first ids) and are never split; rows that
+    repeat an area are spread like any others. A block
     holds documents until ``block_ids`` ids are reached: its place (part, seq), the ids before it in its part, the areas and id
     counts of its documents, the bit offset of every 256th id, and the bits. A block is decoded without any other.
     """
@@ -254,7 +262,9 @@ def write_ids(tokenized: DataFrame, path: str, *, block_ids: int = BLOCK_IDS) ->
 
     kind = tokenized.schema["area"].dataType.simpleString()
     schema = f"part bigint, seq bigint, before bigint, n bigint, areas array<{kind}>, sizes array<bigint>, checks array<bigint>, payload binary"
-    dealt = tokenized.select("area", "ids", "wide").repartitionByRange("area").sortWithinPartitions("area", "ids")
+    order = ["area", "begin", "row"]
+    keyed = tokenized.select("area", "ids", "wide", F.substring("ids", 1, 16).alias("begin"), F.monotonically_increasing_id().alias("row"))
+    dealt = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("area", "ids", "wide")
     arrow_step(dealt, code_blocks, schema).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
@@ -274,7 +284,7 @@ def read_ids(spark: SparkSession, path: str, *, with_ids: bool = False) -> DataF
     shared = spark.sparkContext.broadcast(lengths)
     blocks = spark.read.parquet(f"{path}/blocks")
     kind = blocks.schema["areas"].dataType.elementType.simpleString()
-    arrow_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    arrow_kind = to_arrow_type(blocks.schema["areas"].dataType.elementType)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = None
