@@ -157,18 +157,19 @@ SQL: dict[str, str] = {
     "op13_histories": oracle.HISTORIES,
     "op5_topk": """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
 ), parts AS (
-  SELECT vec_id, len(q) AS dims, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM v
+  SELECT vec_id, row, len(q) AS dims, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM v
 ), pairs AS (
-  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(sum(a.x * b.x) AS BIGINT) AS score
+  SELECT a.row, a.vec_id AS query_id, b.row AS other, b.vec_id AS vec_id, CAST(sum(a.x * b.x) AS BIGINT) AS score
   FROM parts a JOIN parts b ON a.i = b.i AND a.dims = b.dims AND a.vec_id <> b.vec_id
   WHERE a.vec_id % 100 = 0 GROUP BY ALL
+  UNION ALL SELECT a.row, a.vec_id, b.row, b.vec_id, 0 FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = 0 AND len(b.q) = 0 WHERE a.vec_id % 100 = 0
 ), ranked AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM pairs
+  SELECT *, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS INT) AS rank FROM pairs
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """,

@@ -11,66 +11,82 @@ from pyspark.sql import DataFrame, Window, functions as F
 from embergrid.llm.records import arrow_step
 from embergrid.session import materialize
 
-#: Components beyond this would let a score leave 64 bits.
-_LIMIT = 1 << 27
+_LONG = (1 << 63) - 1
 
 
 def usable_profiles(profiles: DataFrame, scale: int) -> DataFrame:
-    """(area, profile array<bigint>): every component times ``scale``, rounded down; one row per area.
+    """(row, area, profile array<double>): every component times ``scale``, rounded down to a whole number.
 
-    Rows with a null area, a null, empty or non-finite profile, or a component beyond 2^27 after scaling, take no part.
-    Of rows that repeat an area, the smallest profile counts.
+    Rows with a null area, a null profile, or a component that is null or not finite (also after scaling) take no part.
+    Every other row does, repeated areas and empty profiles included; ``row`` tells them apart.
     """
     scaled = F.transform("profile", lambda x: x.cast("double") * scale)
-    whole = F.forall(scaled, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) <= _LIMIT))
+    finite = F.forall(scaled, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    whole = lambda x: F.when(F.abs(x) < float(1 << 53), F.floor(F.when(F.abs(x) < float(1 << 53), x)).cast("double")).otherwise(x)
     return (
-        profiles.filter(F.col("area").isNotNull() & (F.size("profile") > 0)).filter(F.coalesce(whole, F.lit(False)))
-        .select("area", F.transform(scaled, lambda x: F.floor(x)).alias("profile"))
-        .groupBy("area").agg(F.min("profile").alias("profile"))
+        profiles.filter(F.col("area").isNotNull() & F.col("profile").isNotNull()).filter(F.coalesce(finite, F.lit(False)))
+        .select(F.monotonically_increasing_id().alias("row"), "area", F.transform(scaled, whole).alias("profile"))
     )
 
 
 def cells_of(vectors: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Approximation of a block: cell numbers (one byte each), and the lowest and highest value of every cell.
 
-    Each dimension is cut into 2^bits cells of equal width between the block's extremes.
+    Each dimension is cut into 2^bits cells between the block's extremes; a cell holds its own two edges.
     """
-    low = vectors.min(axis=0)
-    width = np.maximum((vectors.max(axis=0) - low) // (1 << bits) + 1, 1)
-    cells = ((vectors - low) // width).astype(np.uint8)
-    steps = np.arange(1 << bits)[:, None] * width[None, :] + low[None, :]
-    return cells, steps, steps + width[None, :] - 1
+    low, high = vectors.min(axis=0), vectors.max(axis=0)
+    share = np.linspace(0.0, 1.0, (1 << bits) + 1)[:, None]
+    edges = np.maximum.accumulate(low * (1 - share) + high * share, axis=0)
+    edges[0], edges[-1] = low, high
+    cells = np.stack([np.searchsorted(edges[1:-1, d], vectors[:, d], "right") for d in range(vectors.shape[1])], axis=1).astype(np.uint8)
+    return cells, edges[:-1], np.maximum(edges[1:], edges[:-1])
+
+
+def exact_scores(vectors: np.ndarray, query: np.ndarray) -> list[int]:
+    """Inner products of whole numbers without rounding; one beyond 64 bits counts as the nearest 64-bit number."""
+    largest = len(query) * np.abs(vectors).max(initial=0.0) * np.abs(query).max(initial=0.0)
+    if largest < float(1 << 62):
+        return (vectors.astype(np.int64) @ query.astype(np.int64)).tolist()
+    q = [int(x) for x in query]
+    return [max(-_LONG, min(_LONG, sum(int(a) * b for a, b in zip(v, q)))) for v in vectors]
 
 
 def best_in_block(
     queries: np.ndarray, query_areas: np.ndarray, vectors: np.ndarray, areas: np.ndarray, k: int, bits: int
-) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the positions and scores of its ``k`` best vectors of a block (ties: smaller area), itself left out.
+) -> list[tuple[np.ndarray, list[int]]]:
+    """For each query the positions and scores of its ``k`` best vectors of a block (ties: smaller area), those of its own
+    area left out.
 
     The cells give every vector an upper bound. Vectors are read in the order of these bounds until the kth score
     read is above the next bound.
     """
+    if not vectors.shape[1]:  # empty profiles: all products are 0
+        order = np.argsort(areas, kind="stable")
+        own = [order[areas[order] != a][:k] for a in query_areas]
+        return [(o, [0] * len(o)) for o in own]
     cells, low, high = cells_of(vectors, bits)
-    at_low = np.take_along_axis(low, cells.astype(np.int64), axis=0).astype(np.float64)
-    at_high = np.take_along_axis(high, cells.astype(np.int64), axis=0).astype(np.float64)
-    plus, minus = np.maximum(queries, 0).astype(np.float64), np.minimum(queries, 0).astype(np.float64)
-    bounds = plus @ at_high.T + minus @ at_low.T
-    # products and their sums may be rounded above 2^53; the slack keeps a bound a bound
-    slack = np.abs(bounds).max(initial=0.0) * 1e-12 + 1.0 if np.abs(bounds).max(initial=0.0) > 2**50 else 0.0
+    at_low = np.take_along_axis(low, cells.astype(np.int64), axis=0)
+    at_high = np.take_along_axis(high, cells.astype(np.int64), axis=0)
+    plus, minus = np.maximum(queries, 0.0), np.minimum(queries, 0.0)
+    with np.errstate(over="ignore", invalid="ignore"):  # beyond a double: no bound, the vector is read
+        bounds = np.nan_to_num(plus @ at_high.T + minus @ at_low.T, nan=np.inf, posinf=np.inf, neginf=-1.7e308)
+        most = np.abs(queries) @ np.maximum(np.abs(at_low), np.abs(at_high)).T
+    slack = np.where(most > 2.0**50, most * 1e-12 + 1.0, 0.0)  # products and sums may be rounded above 2^53
     out = []
-    for q, area, bound in zip(queries, query_areas, bounds):
-        bound = bound + slack
-        bound[areas == area] = -np.inf
-        took = min(4 * k, len(bound))
-        while True:
-            chosen = np.argpartition(-bound, took - 1)[:took]
-            chosen = chosen[bound[chosen] > -np.inf]
-            scores = vectors[chosen] @ q
-            order = np.lexsort((areas[chosen], -scores))[:k]
-            if took == len(bound) or (len(order) == k and scores[order[-1]] > bound[chosen].min()):
-                out.append((chosen[order], scores[order]))
+    for q, area, bound, more in zip(queries, query_areas, bounds, slack):
+        bound = bound + more
+        other = np.flatnonzero(areas != area)
+        took = min(4 * k, len(other))
+        while took:
+            chosen = other if took == len(other) else other[np.argpartition(-bound[other], took - 1)[:took]]
+            scores = exact_scores(vectors[chosen], q)
+            order = sorted(range(len(chosen)), key=lambda i: (-scores[i], areas[chosen[i]]))[:k]
+            if took == len(other) or (len(order) == k and scores[order[-1]] > bound[chosen].min()):
+                out.append((chosen[order], [scores[i] for i in order]))
                 break
-            took = min(2 * took, len(bound))
+            took = min(2 * took, len(other))
+        else:
+            out.append((np.empty(0, np.int64), []))
     return out
 
 
@@ -83,7 +99,8 @@ def nearest_profiles(
 
     ``queries`` (area) names the areas that ask; None: all. An area is no candidate of its own; with fewer than ``k``
     others all are returned. Profiles of different length don't meet. See :func:`usable_profiles` for rows that
-    take no part. Empty tables: no row. Areas are whole numbers.
+    take no part. Rows that repeat an area are candidates each, and each asks for itself. Products are exact; a score beyond
+    64 bits counts as the nearest 64-bit number. Empty tables: no row. Areas are whole numbers.
 
     How it runs: rows are dealt into blocks of about ``block_rows`` and queries into blocks of about
     ``query_rows``; a group holds one block of each, so its size is fixed. A group returns k rows per query.
@@ -93,10 +110,10 @@ def nearest_profiles(
     asking = materialize(asking, "profile_queries")
     n, m = rows.count(), asking.count()
     blocks, parts = max(1, -(-n // block_rows)), max(1, -(-m // query_rows))
-    dealt = lambda df, of: F.pmod(F.xxhash64("area", F.lit(5)), F.lit(of)).cast("int")
+    dealt = lambda df, of: F.pmod(F.xxhash64("row", F.lit(5)), F.lit(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
-    left = rows.select(dealt(rows, blocks).alias("block"), every(parts).alias("part"), F.size("profile").alias("dims"), "area", "profile", F.lit(0).alias("asks"))
-    right = asking.select(every(blocks).alias("block"), dealt(asking, parts).alias("part"), F.size("profile").alias("dims"), "area", "profile", F.lit(1).alias("asks"))
+    left = rows.select(dealt(rows, blocks).alias("block"), every(parts).alias("part"), F.size("profile").alias("dims"), "row", "area", "profile", F.lit(0).alias("asks"))
+    right = asking.select(every(blocks).alias("block"), dealt(asking, parts).alias("part"), F.size("profile").alias("dims"), "row", "area", "profile", F.lit(1).alias("asks"))
     grouped = left.union(right).repartition(max(1, min(blocks * parts, 4096)), "block", "part").sortWithinPartitions("block", "part", "dims", "asks")
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
@@ -121,18 +138,19 @@ def nearest_profiles(
         for held in groups(batches):
             table = pa.Table.from_batches(held)
             asks = table.column("asks").to_numpy().astype(bool)
-            areas = table.column("area").to_numpy()
+            areas, rows_ = table.column("area").to_numpy(), table.column("row").to_numpy()
             dims = table.column("dims")[0].as_py()
-            vectors = np.concatenate([c.flatten().to_numpy() for c in table.column("profile").chunks]).reshape(-1, dims)
+            vectors = np.concatenate([c.flatten().to_numpy() for c in table.column("profile").chunks]).reshape(len(areas), dims)
             if asks.all() or not asks.any():
                 continue
             found = best_in_block(vectors[asks], areas[asks], vectors[~asks], areas[~asks], k, bits)
-            of = np.repeat(areas[asks], [len(p) for p, _ in found])
+            lengths = [len(p) for p, _ in found]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(of, pa.int64()), pa.array(np.concatenate([areas[~asks][p] for p, _ in found]), pa.int64()),
-                 pa.array(np.concatenate([s for _, s in found]), pa.int64())], names=["area", "other", "score"],
+                [pa.array(np.repeat(rows_[asks], lengths), pa.int64()), pa.array(np.repeat(areas[asks], lengths), pa.int64()),
+                 pa.array(np.concatenate([areas[~asks][p] for p, _ in found]), pa.int64()),
+                 pa.array([s for _, scores in found for s in scores], pa.int64())], names=["row", "area", "other", "score"],
             )
 
-    found = arrow_step(grouped, search, "area bigint, other bigint, score bigint")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("area").orderBy(F.desc("score"), "other")))
+    found = arrow_step(grouped, search, "row bigint, area bigint, other bigint, score bigint")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "other")))
     return ranked.filter(F.col("rank") <= k).select("area", "rank", "other", "score")

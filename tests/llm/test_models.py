@@ -68,38 +68,57 @@ def test_toxicity_learns_the_words_and_not_the_groups(spark):
 
 
 def _brute(rows, k):
-    out = {}
-    q = {a: [int(np.floor(float(x) * 1024)) for x in v] for a, v in rows.items()}
-    for a, v in q.items():
-        scores = sorted((-sum(x * y for x, y in zip(v, w)), b) for b, w in q.items() if b != a and len(w) == len(v))
-        out[a] = [(i + 1, b, -s) for i, (s, b) in enumerate(scores[:k])]
-    return out
+    """[(area, rank, other, score)] of every row, all pairs compared."""
+    out, q = [], [(a, [int(np.floor(float(x) * 1024)) for x in v]) for a, v in rows]
+    for a, v in q:
+        scores = sorted((-max(1 - 2**63, min(2**63 - 1, sum(x * y for x, y in zip(v, w)))), b) for b, w in q if b != a and len(w) == len(v))
+        out += [(a, i + 1, b, -s) for i, (s, b) in enumerate(scores[:k])]
+    return sorted(out)
 
 
 @pytest.mark.parametrize("block_rows", [7, 8192])
 def test_best_matches_equal_brute_force(spark, block_rows):
     draw = np.random.default_rng(5)
-    rows = {i: draw.normal(size=6).tolist() for i in range(60)}
-    rows |= {100 + i: [0.5] * 6 for i in range(15)} | {200 + i: [1.0, -1.0] for i in range(3)} | {300: [9e4] * 6}
-    bad = [(400, None), (401, [1.0, float("nan"), 0, 0, 0, 0]), (402, [1.0, None, 0.0, 0, 0, 0]), (403, [float("inf")] * 6), (404, []), (None, [1.0] * 6), (405, [1e300] * 6)]
-    table = [(a, [None if x is None else float(x) for x in v] if v is not None else None, 1) for a, v in [*rows.items(), *bad, (5, rows[5])]]
+    rows = [(i, draw.normal(size=6).tolist()) for i in range(60)]
+    rows += [(100 + i, [0.5] * 6) for i in range(15)] + [(200 + i, [1.0, -1.0]) for i in range(3)] + [(300, [9e4] * 6)]
+    rows += [(5, rows[5][1]), (5, rows[9][1]), (3, [0.25] * 6)]  # areas that repeat, with equal and with other profiles
+    rows += [(310, [2e5, 1, -3, 0, 0, 0]), (311, [-4e12, 7e11, 1, 1, 1, 1]), (312, [3e40, -3e40, 1, 0, 0, 0]), (313, [3e40, -2.9e40, 1, 0, 0, 1])]
+    rows += [(404, []), (405, []), (406, [])]
+    bad = [(400, None), (401, [1.0, float("nan"), 0, 0, 0, 0]), (402, [1.0, None, 0.0, 0, 0, 0]), (403, [float("inf")] * 6), (None, [1.0] * 6), (407, [1e308] * 6)]
+    table = [(a, [None if x is None else float(x) for x in v] if v is not None else None, 1) for a, v in [*rows, *bad]]
     df = spark.createDataFrame(table, "area bigint, profile array<double>, rank int")
-    got = {}
-    for r in topk.nearest_profiles(df, k=10, block_rows=block_rows, query_rows=block_rows).collect():
-        got.setdefault(r.area, []).append((r["rank"], r.other, r.score))
-    assert {a: sorted(v) for a, v in got.items()} == {a: v for a, v in _brute(rows, 10).items() if v}
-    asked = topk.nearest_profiles(df, spark.createDataFrame([(3,), (3,), (999,)], "area bigint"), k=2).collect()
-    assert [(r.area, r["rank"]) for r in sorted(asked, key=lambda r: r["rank"])] == [(3, 1), (3, 2)]
+    got = topk.nearest_profiles(df, k=10, block_rows=block_rows, query_rows=block_rows).collect()
+    assert sorted((r.area, r["rank"], r.other, r.score) for r in got) == _brute(rows, 10)
+    asked = topk.nearest_profiles(df, spark.createDataFrame([(4,), (4,), (999,)], "area bigint"), k=2).collect()
+    assert [(r.area, r["rank"]) for r in sorted(asked, key=lambda r: r["rank"])] == [(4, 1), (4, 2)]
     assert topk.nearest_profiles(df.limit(0)).count() == 0
 
 
 def test_cells_bound_every_component():
-    vectors = np.random.default_rng(6).integers(-3000, 3000, (500, 5))
+    vectors = np.random.default_rng(6).integers(-3000, 3000, (500, 5)).astype(float)
+    vectors[:, 4] = 7
+    vectors[0, 3] = 1e300
     cells, low, high = topk.cells_of(vectors, 6)
     pick = lambda t: np.take_along_axis(t, cells.astype(int), axis=0)
     assert (pick(low) <= vectors).all() and (vectors <= pick(high)).all() and cells.max() < 64
 
 
+def test_templates_reach_as_deep_as_the_paths_do(spark):
+    """Good and bad pages that differ in their ninth segment only, below a level that varies."""
+    rows, marks, n = [], [], 0
+    for kind, bad in (("clean", 0), ("spam", 1)):
+        for i in range(40):
+            rows.append((n, f"http://h.org/a/b/c/d/e/f/g/name{'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOP'[i]}/{kind}"))
+            marks.append((n, bad))
+            n += 1
+    rows += [(n, "http://h.org/a/b/c/d/e/f/g/other/spam"), (n + 1, "http://h.org/a/b/c/d/e/f/g/other/clean"), (n + 2, "http://h.org/" + "x/" * 300)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string")
+    got = {r.page_id: r for r in urls.judge_urls(df, [], spark.createDataFrame(marks, "page_id bigint, bad int")).collect()}
+    assert got[n].template == "/a/b/c/d/e/f/g/*/spam" and got[n + 1].template == "/a/b/c/d/e/f/g/*/clean"
+    assert (got[n].verdict, got[n + 1].verdict) == ("block", "allow")
+    assert got[n + 2].template == "/" + "/".join(["x"] * 300) + "/" and got[n + 2].verdict == "allow"
+
+
 def test_addresses_rules_and_templates(spark):
     pages = {
         1: "http://WWW.Example.NET/en/5?q", 2: "https://x.example.net/de/1", 3: "ftp://example.com/de/", 4: "http://example.com/dead/1", 5: "http://a.org/fr/#x",
