@@ -47,32 +47,47 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
     return F.coalesce(*[F.when(fits(r), F.lit(r.address)) for r in longest_first], F.lit(None).cast("string"))
 
 
-def _segments(path: Column, depth: int) -> Column:
-    """Segments of a path; those with a digit become * (a suffix like .html stays), those beyond ``depth`` one **."""
-    parts = F.slice(F.split(path, "/"), 2, 1_000_000)
-    general = F.transform(F.slice(parts, 1, depth), lambda s: F.when(s.rlike("[0-9]"), F.concat(F.lit("*"), F.regexp_extract(s, r"\.[A-Za-z]{1,5}$", 0))).otherwise(s))
-    return F.when(F.size(parts) > depth, F.concat(general, F.array(F.lit("**")))).otherwise(general)
+def _segments(path: Column) -> Column:
+    """Segments of a path; those with a digit become * (a suffix like .html stays)."""
+    parts = F.split(path, "/")
+    return F.transform(
+        F.slice(parts, 2, F.size(parts)), lambda s: F.when(s.rlike("[0-9]"), F.concat(F.lit("*"), F.regexp_extract(s, r"\.[A-Za-z]{1,5}$", 0))).otherwise(s)
+    )
 
 
-def path_templates(shapes: DataFrame, *, depth: int, min_children: int, variety: float) -> DataFrame:
+def path_templates(shapes: DataFrame, *, min_children: int, variety: float) -> DataFrame:
     """``shapes`` (host, segments, pages, ...) with ``branch``: the templates from the host's root to the page's own.
 
     From the root down: where a host has at least ``min_children`` different segments below the same template, and
-    these are at least ``variety`` of the pages there, the segment varies and becomes a wildcard.
+    these are at least ``variety`` of the pages there, the segment varies and becomes a wildcard. Levels are added until no
+    template has so many shapes with a further segment; what is left below has no wildcard and is completed at once.
     """
-    now = shapes.withColumn("branch", F.array(F.lit("")))
-    for level in range(depth + 1):
+    now, level, done = shapes.withColumn("branch", F.array(F.lit(""))), 0, []
+    while True:
         now = now.withColumn("segment", F.get("segments", F.lit(level))).withColumn("template", F.element_at("branch", -1))
         children = now.filter("segment is not null").groupBy("host", "template", "segment").agg(F.sum("pages").alias("pages"))
         many = children.groupBy("host", "template").agg(F.count(F.lit(1)).alias("children"), F.sum("pages").alias("below")).filter(
-            (F.col("children") >= min_children) & (F.col("children") >= variety * F.col("below"))
-        ).select("host", "template", F.lit(True).alias("varies"))
+            F.col("children") >= min_children
+        ).select("host", "template", (F.col("children") >= variety * F.col("below")).alias("varies"))
         now = now.join(many, ["host", "template"], "left")
         step = F.concat("template", F.lit("/"), F.when(F.coalesce("varies", F.lit(False)), F.lit("*")).otherwise(F.col("segment")))
         grown = F.when(F.col("segment").isNotNull(), F.concat("branch", F.array(step))).otherwise(F.col("branch"))
+        level += 1
         # a short table; written level by level, its plan stays short too
         now = materialize(now.withColumn("branch", grown).drop("varies", "segment", "template"), "url_branches")
-    return now
+        # fewer shapes below a template than it takes for a wildcard: nothing varies any more, however deep they go
+        shape = now.withColumn("template", F.element_at("branch", -1))
+        deep = shape.filter(F.size("segments") > level).groupBy("host", "template").agg(F.count(F.lit(1)).alias("n")).filter(
+            F.col("n") >= min_children
+        ).select("host", "template")
+        deep = materialize(deep, "url_templates")
+        rest = F.slice("segments", level + 1, F.size("segments"))
+        whole = F.transform(rest, lambda _, i: F.concat("template", F.lit("/"), F.array_join(F.slice(rest, F.lit(1), i + 1), "/")))
+        ended = shape.join(deep, ["host", "template"], "left_anti").withColumn("branch", F.concat("branch", whole)).drop("template")
+        done.append(ended.select(*shapes.columns, "branch"))
+        if deep.isEmpty():
+            return materialize(reduce(DataFrame.unionByName, done), "url_branches")
+        now = shape.join(deep, ["host", "template"], "left_semi").drop("template").select(*shapes.columns, "branch")
 
 
 def template_purity(tree: DataFrame, *, prior: float, weight: float, z: float, coverage: float) -> DataFrame:
@@ -106,7 +121,7 @@ def template_purity(tree: DataFrame, *, prior: float, weight: float, z: float, c
 
 
 def judge_urls(
-    pages: DataFrame, rules: list[Rule], labels: DataFrame | None = None, *, depth: int = 6, min_children: int = 12, variety: float = 0.3,
+    pages: DataFrame, rules: list[Rule], labels: DataFrame | None = None, *, min_children: int = 12, variety: float = 0.3,
     weight: float = 4.0, z: float = 1.96, coverage: float = 0.5, reject: float = 0.8, salts: int = 16,
 ) -> DataFrame:
     """(page_id, host, path, rule, verdict, template, purity) of every page (page_id, url).
@@ -128,7 +143,7 @@ def judge_urls(
     verdicts = F.create_map(*[x for r in rules for x in (F.lit(r.address), F.lit(r.verdict))]) if rules else None
     parsed = parsed.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     ruled = F.element_at(verdicts, F.col("rule")) if rules else F.lit(None).cast("string")
-    parsed = parsed.withColumn("ruled", F.when(F.col("rule").isNotNull(), ruled)).withColumn("segments", _segments(F.col("path"), depth))
+    parsed = parsed.withColumn("ruled", F.when(F.col("rule").isNotNull(), ruled)).withColumn("segments", _segments(F.col("path")))
     if labels is not None:
         parsed = parsed.join(labels.groupBy("page_id").agg(F.max("bad").alias("bad")), "page_id", "left")
     bad = F.when(F.col("ruled").isNotNull(), (F.col("ruled") == "block").cast("int"))
@@ -140,7 +155,7 @@ def judge_urls(
     )
     total = shapes.agg(F.sum("bad"), F.sum("labelled")).first()
     prior = min(0.5, (total[0] or 0) / (total[1] or 1))
-    tree = path_templates(shapes, depth=depth, min_children=min_children, variety=variety)
+    tree = path_templates(shapes, min_children=min_children, variety=variety)
     known = template_purity(tree, prior=prior, weight=weight, z=z, coverage=coverage)
     known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = parsed.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(salts)).cast("int"))
