@@ -119,93 +119,99 @@ def benchmark_leaks(
 ) -> DataFrame:
     """(area, item_id, coverage, n_tiles, longest): documents (area, document) that hold much of an item (item_id, text).
 
-    ``coverage`` is the share of an item's words inside tiles of at least ``seed_words`` words that the document
-    shares with it, wherever they stand; pairs with ``min_coverage`` or more are returned, or all pairs that share
-    a seed with ``keep_all``. Every word of every document is read. An item of fewer than ``seed_words`` words,
-    and a null or empty text on either side, matches nothing.
-    Rows that repeat an area are one document; documents with a null area are judged together under null. Repeated
-    items of one item_id: the smallest text counts. Other columns are ignored. Empty tables: no row.
+    ``coverage`` is the share of an item's words inside tiles of at least ``seed_words`` words (of the item's length, if that is
+    less) that the document shares with it, wherever they stand; pairs with ``min_coverage`` or more are returned, or all pairs
+    that share a seed with ``keep_all``. Every word of every document is read. A null or empty text on either side
+    matches nothing. Rows that repeat an area are one document; every row with a null area is a document of its own. All texts of
+    an item_id are searched, null ones like any other; the one that a document holds most of counts. Other columns are
+    ignored. Empty tables: no row.
 
     How it runs: windows of the documents are looked up in a bit table of the items' seeds of fixed size, and
     only runs of windows that hit leave the scan, with their words. A tile is a run of shared seeds, so these
-    passages hold every tile. Passages meet items by an equi-join on the seed.
+    passages hold every tile. Passages meet items by an equi-join of their seeds alone; the words follow once for each item met.
     """
-    texts = benchmark.groupBy("item_id").agg(F.min("text").alias("text"))
+    name = F.concat(F.col("item_id").isNull().cast("string"), F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.lit(":"), F.col("text"))
+    texts = benchmark.select("item_id", "text").filter(F.col("text").isNotNull()).select("item_id", "text", F.md5(name).alias("item")).dropDuplicates(["item"])
 
     def cut_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         for batch in batches:
             out: list[tuple] = []
-            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for item_id, text, item in zip(*(c.to_pylist() for c in batch.columns)):
                 tokens = words_of(text)
-                if len(tokens) >= seed_words:
-                    out.append((item, tokens, seed_hashes(tokens, seed_words, known).tolist()))
+                if tokens:
+                    out.append((item_id, item, tokens, seed_hashes(tokens, min(seed_words, len(tokens)), known).tolist()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in out], batch.column(0).type), pa.array([r[1] for r in out], pa.list_(pa.string())),
-                 pa.array([r[2] for r in out], pa.list_(pa.int64()))], names=["item_id", "words", "seeds"],
+                [pa.array([r[0] for r in out], batch.column(0).type), pa.array([r[1] for r in out], pa.string()),
+                 pa.array([r[2] for r in out], pa.list_(pa.string())), pa.array([r[3] for r in out], pa.list_(pa.int64()))],
+                names=["item_id", "item", "words", "seeds"],
             )
 
     item_type = texts.schema["item_id"].dataType.simpleString()
     items = materialize(
-        arrow_step(texts, cut_items, f"item_id {item_type}, words array<string>, seeds array<bigint>"), "items"
+        arrow_step(texts, cut_items, f"item_id {item_type}, item string, words array<string>, seeds array<bigint>"), "items"
     )
-    seeds = items.select("item_id", F.explode("seeds").alias("seed")).distinct()
+    seeds = items.select("item", F.explode("seeds").alias("seed")).distinct()
     table = documents.sparkSession.sparkContext.broadcast(_seed_table(seeds))
+    short = items.select(F.least(F.size("words"), F.lit(seed_words)).alias("size")).distinct()
+    sizes = sorted({r["size"] for r in short.collect()})  # at most seed_words numbers
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(np.frombuffer(table.value, np.uint8), bitorder="little").view(bool)
         known: dict[str, int] = {}
         for batch in batches:
-            area, at, words, hits = [], [], [], []
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            source, at, words, hits = [], [], [], []
+            for i, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                 tokens = words_of(text)
-                own = seed_hashes(tokens, seed_words, known)
-                hit = np.flatnonzero(bits[_slots(own)])
-                if not len(hit):
-                    continue
                 inside = np.zeros(len(tokens) + 1, np.int32)
-                np.add.at(inside, hit, 1)
-                np.add.at(inside, hit + seed_words, -1)
+                found = []
+                for size in sizes:
+                    own = seed_hashes(tokens, size, known)
+                    hit = np.flatnonzero(bits[_slots(own)])
+                    np.add.at(inside, hit, 1)
+                    np.add.at(inside, hit + size, -1)
+                    found.append((hit, own[hit]))
                 edge = np.flatnonzero(np.diff(np.r_[False, np.cumsum(inside) > 0].astype(np.int8)))
                 for start, stop in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                    area.append(name)
+                    source.append(i)
                     at.append(start)
                     words.append(tokens[start:stop])
-                    hits.append(np.unique(own[hit[(hit >= start) & (hit < stop)]]).tolist())
+                    hits.append(np.unique(np.concatenate([own[(hit >= start) & (hit < stop)] for hit, own in found])).tolist())
+            rows = pa.array(source, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(area, batch.column(0).type), pa.array(at, pa.int64()), pa.array(words, pa.list_(pa.string())),
-                 pa.array(hits, pa.list_(pa.int64()))], names=["area", "at", "passage", "hits"],
+                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at, pa.int64()), pa.array(words, pa.list_(pa.string())),
+                 pa.array(hits, pa.list_(pa.int64()))], names=["area", "row", "at", "passage", "hits"],
             )
 
     area_type = documents.schema["area"].dataType.simpleString()
+    own_row = F.when(F.col("area").isNull(), F.monotonically_increasing_id())  # names a document that has no area
     passages = materialize(
         arrow_step(
-            documents.select("area", "document"), scan, f"area {area_type}, at bigint, passage array<string>, hits array<bigint>"
-        ), "passages",
+            documents.select("area", own_row.alias("row"), "document"), scan, f"area {area_type}, row bigint, at bigint, passage array<string>, hits array<bigint>"
+        ).withColumn("id", F.monotonically_increasing_id()), "passages",
     )
-    met = (
-        passages.select("area", "at", "passage", F.explode("hits").alias("seed")).join(seeds, "seed")
-        .select("area", "item_id", "at", "passage").distinct()
-    )
-    pairs = met.groupBy("area", "item_id").agg(
+    met = materialize(passages.select("id", F.explode("hits").alias("seed")).join(seeds, "seed").select("id", "item").distinct(), "met")
+    pairs = met.join(passages.select("id", "area", "row", "at", "passage"), "id").groupBy("area", "row", "item").agg(
         F.sort_array(F.collect_list(F.struct("at", "passage"))).alias("found")  # words of one document at most
-    ).join(items.select("item_id", "words"), "item_id")
+    ).join(items.select("item", "item_id", "words"), "item")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
             share, count, longest = [], [], []
-            for row in rows:
-                tiles = tile(row["words"], [f["passage"] for f in row["found"]], seed_words)
-                share.append(sum(t[3] for t in tiles) / len(row["words"]))
+            for words, found in zip(batch.column("words").to_pylist(), batch.column("found").to_pylist()):
+                tiles = tile(words, [f["passage"] for f in found], min(seed_words, len(words)))
+                share.append(sum(t[3] for t in tiles) / len(words))
                 count.append(len(tiles))
                 longest.append(max((t[3] for t in tiles), default=0))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("area"), batch.column("item_id"), pa.array(share, pa.float64()), pa.array(count, pa.int64()),
-                 pa.array(longest, pa.int64())], names=["area", "item_id", "coverage", "n_tiles", "longest"],
+                [batch.column("area"), batch.column("row"), batch.column("item_id"), pa.array(share, pa.float64()), pa.array(count, pa.int64()),
+                 pa.array(longest, pa.int64())], names=["area", "row", "item_id", "coverage", "n_tiles", "longest"],
             )
 
     measured = arrow_step(
-        pairs.select("area", "item_id", "words", "found"), measure, f"area {area_type}, item_id {item_type}, coverage double, n_tiles bigint, longest bigint"
+        pairs.select("area", "row", "item_id", "words", "found"), measure,
+        f"area {area_type}, row bigint, item_id {item_type}, coverage double, n_tiles bigint, longest bigint",
     )
-    return measured.filter("n_tiles > 0") if keep_all else measured.filter(F.col("coverage") >= min_coverage)
+    kept = measured.filter("n_tiles > 0") if keep_all else measured.filter(F.col("coverage") >= min_coverage)
+    best = kept.groupBy("area", "row", "item_id").agg(F.max(F.struct("coverage", "longest", "n_tiles")).alias("best"))
+    return best.select("area", "item_id", "best.coverage", "best.n_tiles", "best.longest")

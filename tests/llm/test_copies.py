@@ -149,3 +149,23 @@ def test_leaks_of_whole_cut_and_reordered_items(spark):
     every = decontaminate.benchmark_leaks(df, b, keep_all=True).collect()
     assert {(r.area, r.item_id) for r in every} == {*got, (3, 1)}
     assert decontaminate.benchmark_leaks(df.limit(0), b).count() == 0 and decontaminate.benchmark_leaks(df, b.limit(0)).count() == 0
+
+
+def test_every_text_of_an_item_is_searched_and_short_ones_whole(spark, tmp_path):
+    long, second = [" ".join(f"{w}{i}" for i in range(12)) for w in ("alpha", "beta")]
+    bench = [(1, long), (1, second), (None, "delta echo foxtrot golf hotel india"), (7, "only four words here"), (8, "unique")]
+    docs = [
+        (1, f"x y {second} z"), (2, "so delta echo foxtrot golf hotel india it is"), (3, "there are ONLY four, words here!"), (4, "only four word here"),
+        (None, f"{long} and more"), (None, "nothing of it"), (None, "a unique thing"), (5, "x " * 30_000 + long),
+    ]
+    got = decontaminate.benchmark_leaks(
+        spark.createDataFrame(docs, "area bigint, document string"), spark.createDataFrame(bench, "item_id bigint, text string")
+    ).collect()
+    assert sorted(((r.area, r.item_id, r.coverage, r.longest) for r in got), key=str) == sorted(
+        [(1, 1, 1.0, 12), (2, None, 1.0, 6), (3, 7, 1.0, 4), (None, 1, 1.0, 12), (None, 8, 1.0, 1), (5, 1, 1.0, 12)], key=str)
+    import corpus_pipeline
+
+    table = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in docs], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    spark.createDataFrame(bench, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = corpus_pipeline.decontamination(spark, table, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(4, "only four word here"), (None, "nothing of it")], key=str)
