@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 
 from embergrid.llm.records import by_row
 
-_CACHE_ENTRIES = 300_000
+_CACHE_ENTRIES = 100_000  # of each table a worker keeps, some 25 MB; the pairs have twice as many
 
 
 class ByteBpe:

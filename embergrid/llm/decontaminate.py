@@ -29,7 +29,7 @@ def seed_hashes(tokens: list[str], size: int, known: dict[str, int]) -> np.ndarr
 
     if len(tokens) < size:
         return np.empty(0, np.int64)
-    if len(known) > 400_000:
+    if len(known) > 150_000:
         known.clear()
     for t in tokens:
         if t not in known:
