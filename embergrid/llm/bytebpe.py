@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 
 from embergrid.llm.records import by_row
 
-_CACHE_ENTRIES = 100_000  # of each table a worker keeps, some 25 MB; the pairs have twice as many
+REMEMBER = 300_000  # chunks and pieces that a worker keeps, and twice as many pairs of ids; some 150 MB
 
 
 class ByteBpe:
@@ -25,10 +25,10 @@ class ByteBpe:
     at most once: the work is linear in the piece.
     """
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], remember: int = REMEMBER):
         import ahocorasick
 
-        self.ranks = ranks
+        self.ranks, self.remember = ranks, remember
         self.bytes_of = {i: b for b, i in ranks.items()}
         self._pairs: dict[tuple[int, int], bool] = {}
         self.size_of = {i: len(b) for b, i in ranks.items()}
@@ -54,7 +54,7 @@ class ByteBpe:
     def compatible(self, left: int, right: int) -> bool:
         known = self._pairs.get((left, right))
         if known is None:
-            if len(self._pairs) > 2 * _CACHE_ENTRIES:
+            if len(self._pairs) > 2 * self.remember:
                 self._pairs.clear()
             known = self._pairs[left, right] = self.merge(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
         return known
@@ -123,10 +123,11 @@ class TextEncoder(dict):
     the splitting pattern crosses such a place, so chunks are encoded independently and repeats are looked up.
     """
 
-    def __init__(self, pattern: str, encode_pieces):
+    def __init__(self, pattern: str, encode_pieces, remember: int = REMEMBER):
         import regex
 
         super().__init__()
+        self._remember = remember
         self._find = regex.compile(pattern).findall
         self._crowded = regex.compile(r"\s\s|\x00|^\s|\s$").search
         self._encode = encode_pieces
@@ -137,7 +138,7 @@ class TextEncoder(dict):
         return made
 
     def encode(self, text: str) -> bytes:
-        if len(self) > _CACHE_ENTRIES:
+        if len(self) > self._remember:
             self.clear()
         if self._crowded(text):
             return self._encode(self._find(text))
@@ -145,15 +146,15 @@ class TextEncoder(dict):
 
 
 @cache
-def encoder(ranks_path: str, pattern: str) -> tuple[TextEncoder, list[bytes], Callable[[], None]]:
+def encoder(ranks_path: str, pattern: str, remember: int = REMEMBER) -> tuple[TextEncoder, list[bytes], Callable[[], None]]:
     """One per Python worker: the encoder, the bytes of each id, and how to forget what has been remembered."""
-    bpe = ByteBpe(read_ranks(ranks_path))
+    bpe = ByteBpe(read_ranks(ranks_path), remember)
     table = [bpe.bytes_of.get(i, b"") for i in range(max(bpe.bytes_of) + 1)]
     packed = [i.to_bytes(4, "little") for i in range(len(table))]
     known: dict[str, bytes] = {}
 
     def pieces(found: list[str]) -> bytes:
-        if len(known) > _CACHE_ENTRIES:
+        if len(known) > remember:
             known.clear()
         for p in found:
             if p not in known:
@@ -164,13 +165,13 @@ def encoder(ranks_path: str, pattern: str) -> tuple[TextEncoder, list[bytes], Ca
         for held in (chunks, known, bpe):
             (held.forget if held is bpe else held.clear)()
 
-    chunks = TextEncoder(pattern, pieces)
+    chunks = TextEncoder(pattern, pieces, remember)
     return chunks, table, forget
 
 
-def _forget(ranks_path: str, pattern: str) -> Callable[[], None]:
+def _forget(ranks_path: str, pattern: str, remember: int = REMEMBER) -> Callable[[], None]:
     """For the end of a task: a worker outlives its stage, and what it remembers would stand beside the next stage's memory."""
-    return lambda: encoder(ranks_path, pattern)[2]()
+    return lambda: encoder(ranks_path, pattern, remember)[2]()
 
 
 def encode_documents(documents: DataFrame, ranks_path: str, pattern: str, *, keep: list[str] | None = None) -> DataFrame:
@@ -199,15 +200,15 @@ def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str, *, keep:
 
 
 def encode_and_check(
-    documents: DataFrame, ranks_path: str, pattern: str, *, keep: list[str] | None = None, with_ids: bool = False
+    documents: DataFrame, ranks_path: str, pattern: str, *, keep: list[str] | None = None, with_ids: bool = False, remember: int = REMEMBER,
 ) -> DataFrame:
     """(area, n_tokens, ids_sha256, decoded_sha256): both steps in one pass over the texts, digests of their results.
 
-    ``with_ids`` adds ``ids``. Same cases as :func:`encode_documents`.
+    ``with_ids`` adds ``ids``; ``remember`` bounds what a worker keeps of words it has seen. Same cases as :func:`encode_documents`.
     """
 
     def run(texts: list) -> list[list]:
-        coder, table, _ = encoder(ranks_path, pattern)
+        coder, table, _ = encoder(ranks_path, pattern, remember)
         out: list[list] = [[], [], [], []]
         for text in texts:
             blob = coder.encode(text) if text else b""
@@ -219,4 +220,4 @@ def encode_and_check(
         return out if with_ids else out[:3]
 
     produced = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
-    return by_row(documents, "document", produced, run, keep or ["area"], release=_forget(ranks_path, pattern))
+    return by_row(documents, "document", produced, run, keep or ["area"], release=_forget(ranks_path, pattern, remember))
