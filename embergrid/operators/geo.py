@@ -63,7 +63,12 @@ def area_spans(edges: DataFrame, cfg: Config) -> DataFrame:
 
 def cells_in_areas(cells: DataFrame, edges: DataFrame, cfg: Config) -> DataFrame:
     """(area, yi, xi) for every cell and every area that holds its centre."""
-    spans = area_spans(edges, cfg).withColumn(
+    return cells_in_spans(cells, area_spans(edges, cfg))
+
+
+def cells_in_spans(cells: DataFrame, spans: DataFrame) -> DataFrame:
+    """``cells_in_areas`` from spans at hand: they depend on the borders only."""
+    spans = spans.withColumn(
         "chunk", F.explode(F.sequence(_fdiv(F.col("x0"), CHUNK), _fdiv(F.col("x1"), CHUNK)))
     ).withColumn("yi", F.col("yi").cast("int"))
     own = cells.select("yi", "xi").distinct().withColumn("chunk", _fdiv(F.col("xi"), CHUNK))

@@ -162,12 +162,12 @@ def merged_daily_fast(grid: DataFrame) -> DataFrame:
 def strip_reclass(grid: DataFrame, strips: DataFrame, cfg: Config) -> DataFrame:
     """Inside a lost-orbit strip coarse becomes 4 (stands in) and fine 3 (partial, to be dropped).
 
-    ``strips`` holds at most one row per day and longitude band (36 bands a day), so it is broadcast.
+    ``strips`` holds at most one row per day and longitude band; its size, written before, decides how it is joined.
     """
     lost = strips.select("d", F.col("band").alias("_band"), F.lit(True).alias("_lost"))
     return (
         grid.withColumn("_band", floor_div(F.col("xi"), cfg.strip_cells))
-        .join(F.broadcast(lost), ["d", "_band"], "left")
+        .join(lost, ["d", "_band"], "left")
         .withColumn("s", F.when((F.col("s") < 2) & F.col("_lost"), 4 - F.col("s")).otherwise(F.col("s")))
         .drop("_band", "_lost")
     )

@@ -41,7 +41,7 @@ def _read_as(grid: DataFrame, calendar: DataFrame, strips: DataFrame, cfg: Confi
         grid.filter(d <= day(cfg.record_end))
         .withColumn("_band", floor_div(F.col("xi"), cfg.strip_cells))
         .join(F.broadcast(flags), "d", "left")
-        .join(F.broadcast(lost), ["d", "_band"], "left")
+        .join(lost, ["d", "_band"], "left")
         .withColumn("role", role)
         .drop("_band", "_lost", "fine_out", "b_out", "unknown")
     )

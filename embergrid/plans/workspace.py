@@ -230,11 +230,14 @@ class Workspace:
 
     @cached_property
     def own_cells(self) -> DataFrame:
-        return grid.recorded_cells(self.detections, self.base)
+        """Cells of each area's record; from the grid if it has been built."""
+        known = self.__dict__.get("grid")
+        return self._keep(grid.recorded_cells(self.detections, self.base) if known is None else grid.distinct_cells(known), "own")
 
-    def links(self, cell_days: DataFrame) -> DataFrame:
-        return self.links_with(cell_days, self.own_cells)
+    @cached_property
+    def spans(self) -> DataFrame:
+        """The areas row by row: they change with the borders only."""
+        return self._keep(geo.area_spans(self.edges, self.base), "spans")
 
-    def links_with(self, cell_days: DataFrame, own: DataFrame) -> DataFrame:
-        inside = geo.cells_in_areas(cell_days, self.edges, self.base)
-        return geo.cell_area_link(inside, own, cell_days)
+    def links(self, cell_days: DataFrame) -> DataFrame:
+        return geo.cell_area_link(geo.cells_in_spans(cell_days, self.spans), self.own_cells, cell_days)

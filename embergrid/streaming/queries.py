@@ -68,11 +68,10 @@ def nowcast(w, home: str | None = None, source: DataFrame | None = None) -> Data
     home = home or scratch_path(spark, "nowcast")
     ranks = f"{home}/ranks"
     series, static = w.series, materialize(w.static, "static")
-    own = materialize(w.own_cells, "own")
     stream = stream_live.cell_days(stream_live.cleaned(_source(w) if source is None else source, w.base))
 
     def rank(current: DataFrame) -> DataFrame:
-        now = batch.nowcast_now(current, w.links_with(current, own), static, w.areas)
+        now = batch.nowcast_now(current, w.links(current), static, w.areas)
         return batch.nowcast_rank(now, batch.nowcast_history(current, series, w.cfg), w.cfg)
 
     def step(rows: DataFrame, number: int) -> None:
