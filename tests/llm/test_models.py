@@ -94,13 +94,34 @@ def test_best_matches_equal_brute_force(spark, block_rows):
     assert topk.nearest_profiles(df.limit(0)).count() == 0
 
 
-def test_cells_bound_every_component():
-    vectors = np.random.default_rng(6).integers(-3000, 3000, (500, 5)).astype(float)
-    vectors[:, 4] = 7
-    vectors[0, 3] = 1e300
-    cells, low, high = topk.cells_of(vectors, 6)
-    pick = lambda t: np.take_along_axis(t, cells.astype(int), axis=0)
-    assert (pick(low) <= vectors).all() and (vectors <= pick(high)).all() and cells.max() < 64
+def test_bounds_hold_for_every_pair():
+    draw = np.random.default_rng(6)
+    vectors = np.floor(draw.normal(size=(500, 5)) * 10.0 ** draw.integers(0, 7, (500, 1)))
+    vectors[:3] = [[7] * 5, [0] * 5, [1e300, -1e300, 0, 1, 2]]
+    queries = np.concatenate([vectors[::50], [[0, 0, 0, 0, 1], [-1, -1, -1, -1, -1]]])
+    cells, low, step = topk.cells_of(vectors.reshape(-1), np.full(500, 5))
+    lower, upper = topk.bounds_of(queries, cells.reshape(500, 5), low, step)
+    exact = np.array([[float(max(-(2**63), min(2**63, sum(int(a) * int(b) for a, b in zip(q, v))))) for v in vectors] for q in queries])
+    assert (lower <= exact).all() and (exact <= upper).all()
+    assert np.median((upper - lower)[1:, 3:] / np.abs(exact).max(axis=1)[1:, None]) < 0.01
+    for q in range(len(queries)):
+        kept = topk.possible(lower[q], upper[q], np.arange(500), 10)
+        assert set(np.lexsort((np.arange(500), -exact[q]))[:10]) <= set(kept)
+
+
+def test_copies_zeros_and_ties_do_not_multiply(spark, monkeypatch):
+    """A third of all rows is one vector, another third is zero: few rows are read all the same."""
+    draw = np.random.default_rng(8)
+    rows = [(i, v) for i in range(0, 1800, 3) for v in ([3.0] * 4,)] + [(i, [0.0] * 4) for i in range(1, 1800, 3)]
+    rows += [(i, draw.normal(size=4).tolist()) for i in range(2, 1800, 3)] + [(3, [3.0] * 4)] * 30
+    df = spark.createDataFrame(rows, "area bigint, profile array<double>")
+    read, plain = [], topk._read
+    monkeypatch.setattr(topk, "_read", lambda found, *rest: (read.append(found.count()), plain(found, *rest))[1])
+    asked = [0, 1, 2, 3, 100, 200, 300, 1799]
+    got = topk.nearest_profiles(df, spark.createDataFrame([(a,) for a in asked], "area bigint"), block_rows=100, query_rows=5).collect()
+    want = [r for r in _brute(rows, 10) if r[0] in asked]
+    assert sorted((r.area, r["rank"], r.other, r.score) for r in got) == want
+    assert len(want) == 10 * (len(asked) + 30) and sum(read) < 60 * (len(asked) + 30)
 
 
 def test_templates_reach_as_deep_as_the_paths_do(spark):
