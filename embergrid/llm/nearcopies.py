@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from random import Random
 
@@ -82,8 +82,8 @@ def _near(a: np.ndarray, b: np.ndarray, shared: int, max_bits: int) -> np.ndarra
     return (alike >= shared) & (np.bitwise_count(x).sum(axis=1) <= max_bits)
 
 
-def _links_in(key: np.ndarray, prints: np.ndarray, shared: int, max_bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links that connect whatever is within reach inside each run of equal keys.
+def _links_in(key: np.ndarray, prints: np.ndarray, near: Callable) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links that connect whatever is ``near`` inside each run of equal keys.
 
     Small runs compare all their members, run beside run. In a long run a linked member is set aside once it
     has been compared with all that is not linked yet, so a group of near copies costs few passes, not all pairs.
@@ -96,7 +96,7 @@ def _links_in(key: np.ndarray, prints: np.ndarray, shared: int, max_bits: int) -
         i = np.flatnonzero((key[gap:] == key[:-gap]) & small[gap:])
         if not len(i):
             continue
-        ok = _near(prints[i], prints[i + gap], shared, max_bits)
+        ok = near(prints[i], prints[i + gap])
         found.append((prints[i[ok]], prints[i[ok] + gap]))
     for start, size in zip(starts[sizes > 24].tolist(), sizes[sizes > 24].tolist()):
         rest = prints[start : start + size]
@@ -104,7 +104,7 @@ def _links_in(key: np.ndarray, prints: np.ndarray, shared: int, max_bits: int) -
             front, rest = [rest[0]], rest[1:]
             while front and len(rest):
                 one = front.pop()
-                ok = _near(one, rest, shared, max_bits)
+                ok = near(one, rest)
                 if ok.any():
                     hits = rest[ok]
                     found.append((np.broadcast_to(one, hits.shape), hits))
@@ -139,12 +139,14 @@ def near_links(
         return packed
 
     listed = prints.select(*names, F.explode(F.array(*[key(i, s) for i, s in enumerate(sets)])).alias("key"))
-    return links_by_key(listed, lanes=lanes, max_bits=max_bits, shared=shared, block_rows=block_rows)
+    return links_by_key(listed, names, lambda a, b: _near(a, b, shared, max_bits), node=lanes, block_rows=block_rows)
 
 
-def links_by_key(listed: DataFrame, *, lanes: int, max_bits: int, shared: int, block_rows: int = 50_000) -> DataFrame:
-    """(u, v): links between the fingerprints of (key, f0, ...) that connect what is within reach under each key."""
-    names = [f"f{k}" for k in range(lanes)]
+def links_by_key(listed: DataFrame, names: list[str], near: Callable, *, node: int, block_rows: int = 50_000) -> DataFrame:
+    """(u, v): links that connect what is near under each key of ``listed`` (key, names...), all of them long.
+
+    ``near`` gets rows of ``names`` as two arrays and tells which pairs are near. The first ``node`` names make a row's node.
+    """
     long = (
         listed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block_rows)
         .select("key", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
@@ -179,9 +181,10 @@ def links_by_key(listed: DataFrame, *, lanes: int, max_bits: int, shared: int, b
         if len(rows) < 2:
             return
         run = np.cumsum(np.r_[False, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])
-        found = _links_in(run, np.ascontiguousarray(rows[:, 2:]), shared, max_bits)
+        found = _links_in(run, np.ascontiguousarray(rows[:, 2:]), near)
         if found:
-            left, right = (np.unique(np.concatenate([np.concatenate(f, axis=1) for f in found]), axis=0)[:, s] for s in (slice(0, lanes), slice(lanes, None)))
+            pairs = np.unique(np.concatenate([np.concatenate([side[:, :node] for side in f], axis=1) for f in found]), axis=0)
+            left, right = pairs[:, :node], pairs[:, node:]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(side), pa.list_(pa.int64())) for side in (left, right)], names=["u", "v"]
             )

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from embergrid.llm import setcopies
 
@@ -72,7 +74,7 @@ def test_a_large_family_is_grouped_as_all_pairs_are(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "area bigint, document string")
     how = {"words": 5, "seed": 42, "similarity": 0.8}
     rows, sets = setcopies.near_sets(df, **how)
-    links = setcopies.similar_links(df, setcopies.families(sets), block=16, **how)
+    links = setcopies.similar_links(df, setcopies.families(sets, similarity=0.8), block=16, **how)
     named, root = {r.id: r.area for r in rows.collect()}, list(range(len(texts)))
     assert links.count() < len(texts) * 14
     for r in links.collect():
@@ -89,3 +91,34 @@ def test_rows_that_repeat_a_doc_id_are_judged_by_their_own_texts(spark):
     df = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, df, "").collect()]
     assert len(got) == 4 and {(1, " ".join(b)), (2, " ".join(a)), (None, near)} < set(got) and sum(i == 3 for i, _ in got) == 1
+
+
+def test_a_family_of_near_copies_costs_in_proportion_to_its_size(spark, monkeypatch):
+    draw = random.Random(5)
+    base = [f"w{draw.randrange(10**6)}" for _ in range(120)]
+    texts = [_edited(base, 0.01, draw) for _ in range(3000)] + [" ".join(base)]
+    df = spark.createDataFrame(list(enumerate(texts)), "area bigint, document string")
+    dealt, plain = [], setcopies._links_of
+    monkeypatch.setattr(setcopies, "_links_of", lambda groups, s: (dealt.append(groups.count()), plain(groups, s))[1])
+    got = setcopies.near_copies(df)
+    assert got.filter("component = 0").count() == len(texts) == got.count()
+    assert sum(dealt) < 2 * len(texts)
+
+
+def test_bounds_let_every_similar_pair_pass():
+    draw = np.random.default_rng(6)
+    for _ in range(300):
+        n = int(draw.integers(1, 1500))
+        a = draw.integers(0, 2**63, n, dtype=np.uint64)
+        k = int(n * draw.uniform(0, 0.2))
+        b = np.unique(np.concatenate([a[k:], draw.integers(0, 2**63, int(draw.integers(0, k + 1)), dtype=np.uint64)]))
+        a = np.unique(a)
+        if len(np.intersect1d(a, b)) < 0.8 * len(np.union1d(a, b)):
+            continue
+        common = np.sort(draw.choice(a, n // 3))
+        pa, pb = (setcopies.prefix(x, common, 0.8) for x in (a, b))
+        shared = np.intersect1d(pa, pb)
+        assert len(shared)
+        for key in shared:
+            rows = [np.r_[1, len(x), np.flatnonzero(p == key)[0], setcopies.parity_print(x)].astype(np.int64) for x, p in ((a, pa), (b, pb))]
+            assert setcopies.may_be_similar(rows[0], rows[1][None], 0.8).all()
