@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from embergrid.llm import bytebpe
@@ -189,3 +190,17 @@ def test_pipeline_stages_follow_each_other(spark, docs):
     assert {r.doc_id: r.ids_sha256 for r in whole} == mine and len(whole) == len(mine)
     texts = [docs[i].text for i in kept["near_dedup"]]
     assert len(set(texts)) == len(texts)
+
+
+def test_pipeline_sends_small_batches(spark):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["rows", "size"])
+
+    corpus_pipeline._bound_batches(spark)
+    text = F.repeat(F.lit("x"), F.when(F.col("id") < 20, 1_000_000).otherwise(100))
+    got = spark.range(0, 6000, 1, 1).select(text.alias("document")).mapInArrow(sizes, "rows long, size long").collect()
+    assert sum(r["rows"] for r in got) == 6000
+    assert all(r["rows"] <= 1000 and r["size"] < 2 * (4 << 20) for r in got)  # a batch ends with the text that fills it
